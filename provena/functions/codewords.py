@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from provena.functions import bits
 
@@ -138,12 +138,12 @@ def encode_codeword(data: Column, parity: int = 8) -> Column:
     return encode(data)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _blake2b_6(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else hashlib.blake2b(bytes(v), digest_size=6).digest())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _blake2b_2(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else hashlib.blake2b(bytes(v), digest_size=2).digest())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from provena.operators.evidence import first_hit_precedence
 
@@ -39,7 +39,7 @@ def hide_legacy(evidence: DataFrame, v4_candidates: DataFrame) -> DataFrame:
 
 # An embedding plug-in maps batches of image rows to (image_id, view_index, embedding); no model ships here.
 EmbeddingFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-EMBEDDING_SCHEMA = T.StructType.fromDDL("image_id string, view_index int, embedding array<float>")
+EMBEDDING_SCHEMA = "image_id string, view_index int, embedding array<float>"
 
 
 def embed_views(images: DataFrame, function: EmbeddingFunction, dimension: int) -> DataFrame:

@@ -8,53 +8,51 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+# One schema per registry table, as DDL.
+TABLES: dict[str, str] = {
+    "users": "user_id int, username string, role_key string",
+    "source_groups": (
+        "source_group_id string, owner_user_id int, original_image_sha256 binary, image_width int, image_height int, "
+        "original_media_id string, model_version string, feature_schema_version string, view_policy_version string, "
+        "status string, created_at timestamp, updated_at timestamp"
+    ),
+    "source_group_embeddings": (
+        "source_group_id string, view_index int, owner_user_id int, view_kind string, embedding array<float>, model_version string"
+    ),
+    "source_group_features": (
+        "source_group_id string, feature_kind string, schema_version string, model_version string, feature_bytes binary, feature_sha256 binary"
+    ),
+    "media_objects": (
+        "media_id string, owner_user_id int, variant string, storage_key string, content_type string, byte_size bigint, "
+        "sha256 binary, status string, created_at timestamp"
+    ),
+    "v4_records": (
+        "record_id string, source_group_id string, owner_user_id int, trace_id string, codec string, auth_tag binary, key_id string, "
+        "original_file_md5 binary, original_file_sha256 binary, watermarked_file_md5 binary, watermarked_file_sha256 binary, "
+        "original_pixel_sha256 binary, watermarked_pixel_sha256 binary, output_media_id string, thumbnail_media_id string, "
+        "evidence_uuid string, original_filename string, status string, created_at timestamp"
+    ),
+    "auth_sessions": (
+        "token_hash binary, user_id int, created_at timestamp, idle_expires_at timestamp, absolute_expires_at timestamp, "
+        "last_used_at timestamp, revoked_at timestamp"
+    ),
+    "rate_limit_buckets": "bucket_key binary, endpoint_class string, window_start timestamp, request_count int, updated_at timestamp",
+    "v4_counters": "owner_user_id int, counter_key string, counter_value bigint, updated_at timestamp",
+    "audit_events": (
+        "event_id string, actor_user_id int, action string, target_id string, outcome string, correlation_id string, created_at timestamp"
+    ),
+    "deep_forensics_jobs": (
+        "job_id string, owner_user_id int, requested_owner_user_id int, input_media_id string, status string, progress int, "
+        "lease_owner string, lease_expires_at timestamp, deadline_at timestamp, result_outcome string, result_media_id string, "
+        "result_evidence_id string, error_code string, error_detail string, created_at timestamp, updated_at timestamp"
+    ),
+    "keypoints": "owner_id string, kp_idx int, x float, y float, descriptor binary",
+}
 
 
-# One schema per registry table.
-TABLES: dict[str, T.StructType] = {
-    name: _schema(ddl)
-    for name, ddl in {
-        "users": "user_id int, username string, role_key string",
-        "source_groups": (
-            "source_group_id string, owner_user_id int, original_image_sha256 binary, image_width int, image_height int, "
-            "original_media_id string, model_version string, feature_schema_version string, view_policy_version string, "
-            "status string, created_at timestamp, updated_at timestamp"
-        ),
-        "source_group_embeddings": (
-            "source_group_id string, view_index int, owner_user_id int, view_kind string, embedding array<float>, model_version string"
-        ),
-        "source_group_features": (
-            "source_group_id string, feature_kind string, schema_version string, model_version string, feature_bytes binary, feature_sha256 binary"
-        ),
-        "media_objects": (
-            "media_id string, owner_user_id int, variant string, storage_key string, content_type string, byte_size bigint, "
-            "sha256 binary, status string, created_at timestamp"
-        ),
-        "v4_records": (
-            "record_id string, source_group_id string, owner_user_id int, trace_id string, codec string, auth_tag binary, key_id string, "
-            "original_file_md5 binary, original_file_sha256 binary, watermarked_file_md5 binary, watermarked_file_sha256 binary, "
-            "original_pixel_sha256 binary, watermarked_pixel_sha256 binary, output_media_id string, thumbnail_media_id string, "
-            "evidence_uuid string, original_filename string, status string, created_at timestamp"
-        ),
-        "auth_sessions": (
-            "token_hash binary, user_id int, created_at timestamp, idle_expires_at timestamp, absolute_expires_at timestamp, "
-            "last_used_at timestamp, revoked_at timestamp"
-        ),
-        "rate_limit_buckets": "bucket_key binary, endpoint_class string, window_start timestamp, request_count int, updated_at timestamp",
-        "v4_counters": "owner_user_id int, counter_key string, counter_value bigint, updated_at timestamp",
-        "audit_events": (
-            "event_id string, actor_user_id int, action string, target_id string, outcome string, correlation_id string, created_at timestamp"
-        ),
-        "deep_forensics_jobs": (
-            "job_id string, owner_user_id int, requested_owner_user_id int, input_media_id string, status string, progress int, "
-            "lease_owner string, lease_expires_at timestamp, deadline_at timestamp, result_outcome string, result_media_id string, "
-            "result_evidence_id string, error_code string, error_detail string, created_at timestamp, updated_at timestamp"
-        ),
-        "keypoints": "owner_id string, kp_idx int, x float, y float, descriptor binary",
-    }.items()
-}
+def table_schema(name: str) -> T.StructType:
+    """Parsed schema of a registry table (needs an active session)."""
+    return T.StructType.fromDDL(TABLES[name])
 
 
 @dataclass(frozen=True)

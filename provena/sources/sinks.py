@@ -20,7 +20,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Rows of one table: its base files and every batch whose marker was written."""
-    schema = schemas.TABLES[table]
+    schema = schemas.table_schema(table)
     batches = f"{root}/{table}/batches"
     base = f"{root}/{table}/base"
     rows = spark.read.schema(schema).parquet(base) if _exists(spark, base) else spark.createDataFrame([], schema)
@@ -66,7 +66,7 @@ def append_generation_batch(root: str, batch_id: str, tables: dict[str, DataFram
     if _exists(spark, f"{marker}/_SUCCESS"):
         return False
     for name, frame in tables.items():
-        ordered = frame.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name].fields])
+        ordered = frame.select(*[F.col(f.name).cast(f.dataType) for f in schemas.table_schema(name).fields])
         ordered.write.mode("overwrite").parquet(f"{root}/{name}/batches/batch_id={batch_id}")
     row = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.array(*map(F.lit, sorted(tables))).alias("tables"))
     row.write.mode("overwrite").json(marker)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("recall",)
+MODULES = ("recall", "registry", "reports")
 
 
 def registered():

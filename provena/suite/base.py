@@ -136,8 +136,8 @@ def tiles(spark: SparkSession, folder: str) -> DataFrame:
 # Sign bits of an embedding as a 64-bit code in two 32-bit halves (SQL side has no unsigned shift).
 SIGN_SQL = """signs AS (
   SELECT vec_id, label,
-         CAST(list_sum(list_transform(range(1, 33), i -> CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(32 - i AS INTEGER) ELSE 0 END)) AS BIGINT) AS hi,
-         CAST(list_sum(list_transform(range(33, 65), i -> CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(64 - i AS INTEGER) ELSE 0 END)) AS BIGINT) AS lo
+         CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(32 - i AS INTEGER) ELSE 0 END)) AS BIGINT) AS hi,
+         CAST(list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(64 - i AS INTEGER) ELSE 0 END)) AS BIGINT) AS lo
   FROM embeddings)"""
 
 
