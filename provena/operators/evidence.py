@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import bits, codewords, geometry, text, vectors
 from provena.operators.scale import exact_quantiles, ranked, top_rows
+from provena.session import cut_lineage, shuffle_partitions
 
 BITS = 64
 
@@ -52,7 +53,7 @@ def tile_observation(
     per_class = usable.groupBy("image_id", "carrier").agg(
         _per_bit(lambda i: F.avg(F.element_at("scores", i + 1) / F.col("energy"))).alias("mean_scores"),
         F.count(F.lit(1)).alias("tile_count"),
-        F.bit_or(F.shiftleft(F.lit(1), F.col("phase").cast("int"))).alias("phases"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("phase").cast("int"))).alias("phases"),
         F.min("coverage").alias("min_coverage"),
     ).where(F.col("tile_count") >= min_tiles)
 
@@ -158,7 +159,7 @@ def clipped_merge_v3(tiles: DataFrame, expected: DataFrame, max_errors: int = 8,
         .agg(
             _per_bit(lambda i: F.sum(F.element_at("scores", i + 1))).alias("sums"),
             F.count(F.lit(1)).alias("tiles"),
-            F.bit_or(F.shiftleft(F.lit(1), F.col("phase").cast("int"))).alias("phases"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("phase").cast("int"))).alias("phases"),
         )
         .where((F.col("tiles") >= 2) & (F.bit_count("phases") >= 2))
     )
@@ -282,44 +283,57 @@ def translation_vote(matches: DataFrame, tile_size: int = 128) -> DataFrame:
     tile grid). A feature index holds at most MAX_KEYPOINTS points and each matches once, so a pair
     is a bounded group; larger inputs fail instead of being cut.
     """
-    distinct = matches.groupBy("pair", "query_kp").agg(
-        *[F.first(c).alias(c) for c in ("qx", "qy", "tx", "ty", "rotation_degrees", "scale", "offset_x", "offset_y")]
-    ).where(F.assert_true(F.col("query_kp").between(0, MAX_KEYPOINTS - 1)).isNull())
-
-    def vote(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("query_kp")
-        pair, n = rows["pair"].iloc[0], len(rows)
-        angle, scale = math.radians(rows["rotation_degrees"].iloc[0]), float(rows["scale"].iloc[0])
-        linear = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]]) / scale
-        query, target = rows[["qx", "qy"]].to_numpy(float), rows[["tx", "ty"]].to_numpy(float)
-        moves = target - query @ linear.T
-
-        def near(center: np.ndarray, radius: float) -> np.ndarray:
-            return np.hypot(*(moves - center).T) <= radius
-
-        nothing = pd.DataFrame(columns=["pair", "dx", "dy", "good_matches", "inliers", "ratio", "median_error"])
-        if n < 3:
-            return nothing
-        support = [int(near(m, 6.0).sum()) for m in moves]
-        shift = np.median(moves[near(moves[int(np.argmax(support))], 6.0)], axis=0)
-        close = near(shift, 5.0)
-        if close.sum() < 3:
-            return nothing
-        shift = np.median(moves[close], axis=0)
-        offsets = rows[["offset_x", "offset_y"]].iloc[0].to_numpy(float)
-        if not np.isnan(offsets).any():
-            shift = offsets + np.rint((shift - offsets) / tile_size) * tile_size
-        error = np.hypot(*(moves - shift).T)
-        inside = error <= 5.0
-        if inside.sum() < 3:
-            return nothing
-        return pd.DataFrame(
-            {"pair": [pair], "dx": [shift[0]], "dy": [shift[1]], "good_matches": [n], "inliers": [int(inside.sum())],
-             "ratio": [inside.sum() / n], "median_error": [float(np.median(error[inside]))]}
-        )
+    return pair_rows(matches, ("qx", "qy", "tx", "ty"), ("rotation_degrees", "scale", "offset_x", "offset_y")).mapInPandas(
+        lambda batches: _translations(batches, tile_size),
+        "pair string, dx double, dy double, good_matches int, inliers int, ratio double, median_error double",
+    )
+
 
-    schema = "pair string, dx double, dy double, good_matches int, inliers int, ratio double, median_error double"
-    return distinct.groupBy("pair").applyInPandas(vote, schema)
+def pair_rows(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
+    """One row per pair: point arrays in keypoint order and the facts of the pair.
+
+    Each query keypoint counts once and indexes stop at MAX_KEYPOINTS, so the arrays are bounded.
+    """
+    order = F.struct(*points)
+    once = matches.groupBy("pair", "query_kp").agg(F.min(order).alias("p"), *[F.first(c).alias(c) for c in facts]).where(
+        F.assert_true(F.col("query_kp").between(0, MAX_KEYPOINTS - 1)).isNull()
+    )
+    gathered = once.groupBy("pair").agg(
+        F.array_sort(F.collect_list(F.struct("query_kp", "p"))).alias("rows"), *[F.first(c).alias(c) for c in facts]
+    )
+    n = shuffle_partitions(matches.sparkSession)
+    return gathered.repartition(n, "pair").select(
+        "pair", *[F.transform(F.col(f"rows.p.{c}"), lambda v: v.cast("double")).alias(c) for c in points], *facts
+    )
+
+
+def _translations(batches, tile_size: int):
+    columns = ["pair", "dx", "dy", "good_matches", "inliers", "ratio", "median_error"]
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            n = len(row.qx)
+            if n < 3:
+                continue
+            angle, scale = math.radians(row.rotation_degrees), float(row.scale)
+            linear = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]]) / scale
+            moves = np.c_[row.tx, row.ty] - np.c_[row.qx, row.qy] @ linear.T
+            near = lambda center, radius: np.hypot(*(moves - center).T) <= radius  # noqa: B023, E731
+            # The first match with the most supporters within 6 px, one row of distances at a time.
+            support = [int(near(m, 6.0).sum()) for m in moves]
+            shift = np.median(moves[near(moves[int(np.argmax(support))], 6.0)], axis=0)
+            close = near(shift, 5.0)
+            if close.sum() < 3:
+                continue
+            shift = np.median(moves[close], axis=0)
+            offsets = np.array([row.offset_x, row.offset_y], dtype=float)
+            if not np.isnan(offsets).any():
+                shift = offsets + np.rint((shift - offsets) / tile_size) * tile_size
+            error = np.hypot(*(moves - shift).T)
+            inside = error <= 5.0
+            if inside.sum() >= 3:
+                out.append((row.pair, shift[0], shift[1], n, int(inside.sum()), inside.sum() / n, float(np.median(error[inside]))))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def visual_consistency() -> Column:
@@ -566,8 +580,6 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int
     the sequential result. Equal boxes are collapsed first. Boxes with IoU >= t have widths within
     1/t and left edges within one width, so a join on a size class and a grid cell finds all pairs.
     """
-    from provena.session import cut_lineage
-
     place = ["image_id", "kind", "left", "top", "right", "bottom"]
     order = F.struct((-F.col("confidence")).alias("c"), F.col("box_id").alias("i"))
     distinct = boxes.groupBy(*place).agg(F.min(order).alias("o"))
@@ -600,23 +612,23 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int
     edges = a.join(b, ["image_id", "kind", "kx", "ky", "cx", "cy"]).where((F.col("a_o") < F.col("b_o")) & (iou >= threshold))
     edges = cut_lineage(edges.select("image_id", "kind", F.col("a_o").alias("strong"), F.col("b_o").alias("weak")).distinct())
     key = ["image_id", "kind"]
-    live = cut_lineage(distinct.select(*key, "o"))
-    accepted: DataFrame | None = None
+    end = lambda frame, name: frame.select(*key, F.col(name).alias("o")).distinct()
+    lost: DataFrame | None = None
     for _ in range(max_rounds):
-        blocked = edges.select(*key, F.col("weak").alias("o")).distinct()
-        won = live.join(blocked, [*key, "o"], "left_anti")
-        lost = edges.join(won.withColumnRenamed("o", "strong"), [*key, "strong"], "left_semi").select(*key, F.col("weak").alias("o")).distinct()
-        settled = won.unionByName(lost)
-        accepted = won if accepted is None else accepted.unionByName(won)
-        accepted = cut_lineage(accepted)
-        live = cut_lineage(live.join(settled, [*key, "o"], "left_anti"))
-        if live.isEmpty():
+        if edges.isEmpty():
             break
-        gone = settled
-        edges = edges.join(gone.withColumnRenamed("o", "strong"), [*key, "strong"], "left_anti")
-        edges = cut_lineage(edges.join(gone.withColumnRenamed("o", "weak"), [*key, "weak"], "left_anti"))
+        # A strong end that nothing blocks is accepted, so its weak ends are lost.
+        blocked = end(edges, "weak").withColumnRenamed("o", "strong").withColumn("_b", F.lit(True))
+        marked = edges.join(blocked, [*key, "strong"], "left")
+        beaten = cut_lineage(end(marked.where(F.col("_b").isNull()), "weak"))
+        lost = beaten if lost is None else lost.unionByName(beaten)
+        edges = marked.where(F.col("_b")).drop("_b")
+        for name in ("strong", "weak"):
+            edges = edges.join(beaten.withColumnRenamed("o", name), [*key, name], "left_anti")
+        edges = cut_lineage(edges)
     else:
         raise RuntimeError("overlap suppression did not settle; raise max_rounds")
-    return distinct.join(accepted, [*key, "o"], "left_semi").select(
+    accepted = distinct if lost is None else distinct.join(lost, [*key, "o"], "left_anti")
+    return accepted.select(
         *key, F.col("o.i").alias("box_id"), (-F.col("o.c")).alias("confidence"), "left", "top", "right", "bottom"
     )

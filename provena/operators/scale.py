@@ -185,12 +185,14 @@ def blocked_pairs(
     grid = sizes_q.join(sizes_t, part)
 
     def blocks(frame: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (
+        placed = (
             frame.join(grid, part)
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
             .drop("_nq", "_nt")
         )
+        # Fresh column identities: both sides may come from the same table.
+        return placed.select(*[F.col(c).alias(c) for c in placed.columns])
 
     left = blocks(queries, query_key, "_qb", "_nq", "_tb", "_nt")
     right = blocks(targets, target_key, "_tb", "_nt", "_qb", "_nq")
@@ -199,6 +201,9 @@ def blocked_pairs(
     def run(left_cell: pd.DataFrame, right_cell: pd.DataFrame) -> pd.DataFrame:
         return kernel(left_cell, right_cell)
 
+    # An explicit partition count: adaptive execution would fold small inputs into one Python task.
+    n = shuffle_partitions(queries.sparkSession)
+    left, right = left.repartition(n, *cell), right.repartition(n, *cell)
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)
 
 
