@@ -24,12 +24,22 @@ def _default(value: Column, other: str = "") -> Column:
     return F.coalesce(value, F.lit(other))
 
 
+def _tenths(number: Column, unit: int) -> Column:
+    """number / unit with one decimal, ties to even, in whole-number arithmetic."""
+    scaled = number.cast("bigint") * 10
+    whole = F.floor(scaled / unit).cast("bigint")
+    twice = F.pmod(scaled, F.lit(unit)) * 2
+    up = (twice > unit) | ((twice == unit) & (F.pmod(whole, F.lit(2)) == 1))
+    tenths = whole + up.cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
 def byte_size_text(size: Column) -> Column:
     return (
         F.when(size.isNull() | (size < 0), F.lit("-"))
         .when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, F.format_string("%.1f KB", size / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1f MB", size / F.lit(1024.0 * 1024.0)))
+        .when(size < 1024 * 1024, F.concat(_tenths(size, 1024), F.lit(" KB")))
+        .otherwise(F.concat(_tenths(size, 1024 * 1024), F.lit(" MB")))
     )
 
 
@@ -191,7 +201,27 @@ def display_time(raw: Column) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    return F.when(value.isNull() | F.isnan(value), F.lit("-")).otherwise(F.format_string("%.1f%%", value * 100))
+    """One-decimal percent of a share, rounded on the exact binary value with ties up.
+
+    A double below 128 is a whole number of 2^-56 (from 1/16 up), one below 2^17 of 2^-46 (from 64
+    up), so scaling is exact and the tenths are whole-number arithmetic.
+    """
+    percent = value * 100
+
+    def exact(fraction_bits: int) -> Column:
+        mask = F.lit(2**fraction_bits - 1)
+        scaled = (percent * float(2**fraction_bits)).cast("bigint")
+        part = scaled.bitwiseAND(mask) * 10
+        tenths = F.shiftright(scaled, fraction_bits) * 10 + F.shiftright(part, fraction_bits)
+        tenths = tenths + (part.bitwiseAND(mask) >= 2 ** (fraction_bits - 1)).cast("bigint")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("%"))
+
+    return (
+        F.when(value.isNull() | F.isnan(value), F.lit("-"))
+        .when((percent >= 0) & (percent < 127), exact(56))
+        .when((percent >= 0) & (percent < 2**16), exact(46))
+        .otherwise(F.format_string("%.1f%%", percent))
+    )
 
 
 def safe_image_url(raw: Column) -> Column:

@@ -583,27 +583,28 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int
     place = ["image_id", "kind", "left", "top", "right", "bottom"]
     order = F.struct((-F.col("confidence")).alias("c"), F.col("box_id").alias("i"))
     distinct = boxes.groupBy(*place).agg(F.min(order).alias("o"))
-    width, height = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    sized = distinct.withColumn("_w", F.floor(F.log2(F.greatest(F.lit(1), width))).cast("int")).withColumn(
-        "_h", F.floor(F.log2(F.greatest(F.lit(1), height))).cast("int")
-    )
 
-    def cells(frame: DataFrame, spread: int, prefix: str) -> DataFrame:
-        """Rows at every (size class, cell) they may meet; ``spread`` 0 = own cell only."""
-        around = F.sequence(F.lit(-spread), F.lit(spread))
+    def cells(frame: DataFrame, spread: bool, prefix: str) -> DataFrame:
+        """Rows at their own (size class, cell), or at every one where a partner may sit.
+
+        A partner's side is within a factor ``threshold`` and its edge within (1 - threshold) of the
+        larger side, which bounds both ranges to two or three entries an axis.
+        """
         rows = frame
-        for axis, size in (("x", "_w"), ("y", "_h")):
-            rows = rows.withColumn(f"k{axis}", F.explode(F.transform(around, lambda d: F.col(size) + d)))
-            start = "left" if axis == "x" else "top"
-            span = F.pow(F.lit(2.0), F.col(f"k{axis}") + 1)
-            rows = rows.withColumn(
-                f"c{axis}", F.explode(F.transform(around, lambda d: F.floor(F.col(start) / span).cast("bigint") + d))
-            )
+        for axis, low, high in (("x", "left", "right"), ("y", "top", "bottom")):
+            side = F.greatest(F.lit(1), F.col(high) - F.col(low)).cast("double")
+            level = lambda v: F.floor(F.log2(v)).cast("int")
+            classes = F.sequence(level(side * threshold), level(side / threshold)) if spread else F.array(level(side))
+            rows = rows.withColumn(f"k{axis}", F.explode(classes))
+            span = F.pow(F.lit(2.0), F.col(f"k{axis}") + 2)
+            reach = F.greatest(span / 2, side) * (1 - threshold) if spread else F.lit(0.0)
+            at = lambda v: F.floor(v / span).cast("bigint")  # noqa: B023, E731
+            rows = rows.withColumn(f"c{axis}", F.explode(F.sequence(at(F.col(low) - reach), at(F.col(low) + reach))))
         return rows.select(
             "image_id", "kind", "kx", "ky", "cx", "cy", *[F.col(c).alias(f"{prefix}{c}") for c in (*place[2:], "o")]
         )
 
-    a, b = cells(sized, 0, "a_"), cells(sized, 1, "b_")
+    a, b = cells(distinct, False, "a_"), cells(distinct, True, "b_")
     iw = F.greatest(F.lit(0), F.least("a_right", "b_right") - F.greatest("a_left", "b_left"))
     ih = F.greatest(F.lit(0), F.least("a_bottom", "b_bottom") - F.greatest("a_top", "b_top"))
     area = lambda p: (F.col(f"{p}right") - F.col(f"{p}left")) * (F.col(f"{p}bottom") - F.col(f"{p}top"))

@@ -138,6 +138,10 @@ JOB_STATE = "status string, lease double, deadline double"
 JOB_ROW = "job_id string, at timestamp, event string"
 
 
+def _moment(seconds: float) -> pd.Timestamp:
+    return pd.Timestamp(round(seconds * 1e6), unit="us")
+
+
 def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds: float = 1000) -> DataFrame:
     """events: ts, job_id, kind (create / claim / renew / complete / fail / cancel).
 
@@ -152,10 +156,10 @@ def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds
         def due(now: float) -> None:
             nonlocal status
             if status == "running" and lease <= now and lease <= deadline:
-                out.append((key[0], pd.Timestamp(lease, unit="s"), "lease_expired"))
+                out.append((key[0], _moment(lease), "lease_expired"))
                 status = "queued"
             if status in ("queued", "running") and deadline <= now:
-                out.append((key[0], pd.Timestamp(deadline, unit="s"), "past_deadline"))
+                out.append((key[0], _moment(deadline), "past_deadline"))
                 status = "overdue"
 
         if state.hasTimedOut:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("recall", "registry", "reports", "codes", "evidence")
+MODULES = ("recall", "registry", "reports", "codes", "evidence", "texts", "images", "streams")
 
 
 def registered():
