@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from provena.functions import codewords, crypto
-from provena.session import shuffle_partitions
+from provena.session import cut_lineage, shuffle_partitions
 from provena.operators import evidence, hamming, imaging, summaries
 from provena.plans import cascade, generate
 from provena.sources.images import media_manifest
@@ -226,3 +226,63 @@ def embedding_plugin(spark: SparkSession, folder: str) -> DataFrame:
 def file_evidence(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
     return media_manifest(files, F.lit("original")).select("path", "byte_size", "sha256", "content_type")
+
+
+GRID_POINTS = 64
+
+
+def _keypoints(frame: DataFrame, owner: Column) -> DataFrame:
+    """A fixed grid of points per image, described by digests of the text and the position."""
+    rows = frame.select(owner.cast("string").alias("owner_id"), "mark", "height", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("kp_idx"))
+    x, y = (F.col("kp_idx") % 8) * (WIDTH // 8), F.floor(F.col("kp_idx") / 8) * F.col("height") / 8
+    return rows.select("owner_id", "kp_idx", x.cast("float").alias("x"), y.cast("float").alias("y"), F.unhex(F.sha2(F.concat_ws(":", "mark", "kp_idx"), 256)).alias("descriptor"))
+
+
+@query("detect_batch")
+def detect_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole detection over documents as images: exact copies, then marked copies of registered texts.
+
+    Each distinct text is one source group with one record; every document is a suspect. English
+    suspects are the registered file itself, all others the marked image without its file.
+    """
+    from provena.plans.detect import Registry, Suspects
+    from provena.plans.detect import detect_batch as detect
+
+    docs = spread(table(spark, folder, "documents").where(F.length("text") > 0), "doc_id")
+    height, rgb = framed(F.col("text"), WIDTH, TILE_ROWS)
+    mark = F.sha2(F.encode("text", "UTF-8"), 256)
+    docs = docs.withColumn("mark", mark)
+    base = docs.select("doc_id", "lang", "text", "mark", F.lit(WIDTH).alias("width"), height.alias("height"), rgb.alias("rgb"))
+    first = docs.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    source = base.join(first, ["mark", "doc_id"], "left_semi")
+    owner = F.lit(1)
+    trace = F.concat(F.lit("trace-"), F.col("doc_id").cast("string"))
+    tag = crypto.auth_tag(KEY, F.lit(crypto.CODEC), F.lit("key-1"), owner, crypto.pixel_sha256(F.col("rgb")), trace)
+    content = F.encode("text", "UTF-8")
+    coded = source.withColumn("auth_tag", tag).withColumn("codeword", codewords.encode_codeword(F.col("auth_tag")))
+    stored = coded.select(
+        F.col("doc_id").alias("record_id"), F.col("doc_id").alias("source_group_id"), owner.alias("owner_user_id"), F.lit("active").alias("status"), trace.alias("trace_id"),
+        F.lit(crypto.CODEC).alias("codec"), F.lit("key-1").alias("key_id"), "auth_tag", crypto.pixel_sha256(F.col("rgb")).alias("original_pixel_sha256"),
+        crypto.file_md5(content).alias("original_file_md5"), crypto.file_sha256(content).alias("original_file_sha256"),
+        crypto.file_md5(F.col("rgb")).alias("watermarked_file_md5"), crypto.file_sha256(F.col("rgb")).alias("watermarked_file_sha256"),
+    )
+    protected = F.array().cast("array<struct<x:int,y:int>>")
+    stored = cut_lineage(stored)
+    marked = imaging.embed_codewords(coded.select(F.col("mark").alias("image_id"), "width", "height", "rgb", "codeword", protected.alias("protected")))
+    english = F.col("lang") == "en"
+    queries = base.drop("rgb").join(marked.select(F.col("image_id").alias("mark"), F.col("rgb").alias("marked")), "mark").select(
+        F.col("doc_id").alias("query_id"), owner.alias("user_id"), F.lit(False).alias("cross_owner"), F.when(english, content).otherwise(F.concat(content, F.lit(bytearray(b"!")))).alias("content"),
+        "width", "height", F.col("marked").alias("rgb"), "mark",
+    )
+    queries = cut_lineage(queries)
+    # Vectors from digests: equal texts meet, others are far apart.
+    vector = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.conv(F.substr("mark", (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("float") - F.lit(127.5).cast("float")))
+    slim = docs.select("doc_id", "mark", F.lit(WIDTH).alias("width"), height.alias("height"))
+    source = slim.join(first, ["mark", "doc_id"], "left_semi")
+    stored_views = source.select(F.col("doc_id").alias("source_group_id"), F.lit(0).alias("view_index"), owner.alias("owner_user_id"), vector.alias("embedding"))
+    query_views = slim.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("query_view"), vector.alias("embedding"))
+    registry = Registry(
+        stored, stored_views, _keypoints(source, F.col("doc_id")), source.select(F.col("doc_id").alias("source_group_id"), F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    )
+    suspects = Suspects(queries.drop("mark"), query_views, _keypoints(slim, F.col("doc_id")))
+    return detect(suspects, registry, {"key-1": KEY}, group_limit=3)
