@@ -29,7 +29,7 @@ def normalize_roles(documents: DataFrame, known_menus: tuple[str, ...] = MENU_KE
         F.trim("raw_key").alias("role_key"),
         F.coalesce(F.nullif("info.label", F.lit("")), F.trim("raw_key")).alias("label"),
         F.trim("raw_key").isin(*SYSTEM_ROLES).alias("is_system"),
-        F.array_distinct(F.filter(F.transform(F.coalesce("info.menus", F.array().cast("array<string>")), F.trim), lambda m: m != "")).alias("menus"),
+        F.array_distinct(F.filter(F.transform(F.coalesce("info.menus", F.array().cast("array<string>")), lambda m: F.trim(m)), lambda m: m != "")).alias("menus"),
         F.col("info.menus").isNotNull().alias("has_menus"),
     )
     links = roles.select("role_key", F.posexplode("menus").alias("position_index", "menu_key"))
