@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from provena.functions import bits
+from provena.functions.geometry import let
 
 DATA_BYTES = 8
 
@@ -34,42 +35,42 @@ def acceptance(
 ) -> Column:
     """STRUCT(accepted, erasure_count, corrected_symbols, bit_errors, method) for two codewords."""
     size = DATA_BYTES + parity
-    left, right = bits.byte_values(observed, size), bits.byte_values(expected, size)
-    wrong = F.zip_with(left, right, lambda a, b: F.when(a != b, F.lit(1)).otherwise(F.lit(0)))
-    # Bytes from least to most trusted; equal confidences keep byte order.
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                F.arrays_zip(confidences.alias("c"), wrong.alias("w"), F.sequence(F.lit(0), F.lit(size - 1)).alias("i")),
-                lambda z: F.struct(z["c"].alias("c"), z["i"].alias("i"), z["w"].alias("w")),
-            )
-        ),
-        lambda z: z["w"],
-    )
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    left_over = {f: total(F.slice(ordered, f + 1, size - f)) for f in erasure_counts}
-    bit_errors = total(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))))
-    erased = F.coalesce(*[F.when(2 * left_over[f] + f <= parity, F.lit(f)) for f in erasure_counts])
-    corrected = F.coalesce(*[F.when(2 * left_over[f] + f <= parity, left_over[f] + f) for f in erasure_counts])
+    # Per byte: (confidence, position, number of wrong bits), from least to most trusted.
+    zipped = F.arrays_zip(
+        confidences.alias("c"), bits.byte_values(observed, size).alias("a"), bits.byte_values(expected, size).alias("b")
+    )
+    ordered = F.array_sort(
+        F.transform(zipped, lambda z, i: F.struct(z["c"].alias("c"), i.alias("i"), F.bit_count(z["a"].bitwiseXOR(z["b"])).alias("n")))
+    )
     usable = (F.octet_length(observed) == size) & (F.octet_length(expected) == size) & (F.size(confidences) == size)
     if check_confidences:
         usable = usable & valid_confidences(confidences, size)
-    near = bit_errors <= max_bit_errors
-    rows = F.struct(
-        (erased.isNotNull() | near).alias("accepted"),
-        F.coalesce(erased, F.lit(0)).alias("erasure_count"),
-        F.coalesce(corrected, total(wrong)).alias("corrected_symbols"),
-        bit_errors.alias("bit_errors"),
-        F.when(erased.isNotNull(), F.lit("reed_solomon")).otherwise(F.lit("expected_codeword_distance")).alias("method"),
-    )
+    wrong = lambda rows: total(F.transform(rows, lambda z: F.when(z["n"] > 0, F.lit(1)).otherwise(F.lit(0))))
+
+    def solve(rows: Column) -> Column:
+        tried = F.transform(
+            F.array(*map(F.lit, erasure_counts)), lambda f: F.struct(f.alias("f"), wrong(F.slice(rows, f + 1, F.lit(size) - f)).alias("e"))
+        )
+        solved = F.get(F.filter(tried, lambda t: t["e"] * 2 + t["f"] <= parity), F.lit(0))
+        return F.struct(solved.alias("s"), total(F.transform(rows, lambda z: z["n"])).alias("n"), wrong(rows).alias("w"))
+
+    def decide(v: Column) -> Column:
+        by_code, near = v["s"].isNotNull(), v["n"] <= max_bit_errors
+        shown = lambda solved, other: F.when(by_code, solved).when(near, other)
+        return F.struct(
+            F.coalesce(by_code | near, F.lit(False)).alias("accepted"),
+            shown(v["s"]["f"], F.lit(0)).alias("erasure_count"),
+            shown(v["s"]["f"] + v["s"]["e"], v["w"]).alias("corrected_symbols"),
+            shown(v["n"], v["n"]).alias("bit_errors"),
+            shown(F.lit("reed_solomon"), F.lit("expected_codeword_distance")).alias("method"),
+        )
+
     nothing = F.struct(
-        F.lit(False).alias("accepted"),
-        F.lit(None).cast("int").alias("erasure_count"),
-        F.lit(None).cast("int").alias("corrected_symbols"),
-        F.lit(None).cast("int").alias("bit_errors"),
+        F.lit(False).alias("accepted"), *[F.lit(None).cast("int").alias(c) for c in ("erasure_count", "corrected_symbols", "bit_errors")],
         F.lit(None).cast("string").alias("method"),
     )
-    return F.when(F.coalesce(usable, F.lit(False)), F.when(rows["accepted"], rows).otherwise(nothing)).otherwise(nothing)
+    return F.when(F.coalesce(usable, F.lit(False)), let(let(ordered, solve), decide)).otherwise(nothing)
 
 
 def acceptance_v2(observed: Column, expected: Column, confidences: Column) -> Column:

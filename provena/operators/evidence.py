@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import bits, codewords, geometry, text, vectors
-from provena.operators.scale import exact_quantiles, ranked, top_rows
+from provena.operators.scale import exact_quantiles, pinned, ranked, top_rows
 from provena.session import cut_lineage, shuffle_partitions
 
 BITS = 64
@@ -45,8 +45,7 @@ def tile_observation(
     """
     energy = vectors.median_abs(F.col("scores"), BITS)
     usable = (
-        tiles.where((F.col("coverage") >= min_coverage) & (F.size("scores") == BITS))
-        .withColumn("energy", energy)
+        pinned(tiles.where((F.col("coverage") >= min_coverage) & (F.size("scores") == BITS)), energy=energy)
         .where((F.col("energy") > 1e-9) & ~F.isnan("energy") & (F.col("energy") < float("inf")))
         .withColumn("carrier", bits.carrier_class(F.col("tile_x"), F.col("tile_y")))
     )
@@ -128,7 +127,7 @@ def phase_merge_v2(tiles: DataFrame, expected: DataFrame) -> DataFrame:
         median = (F.element_at(sizes, 4) + F.element_at(sizes, 5)) / 2
         return F.element_at(sizes, 1) / F.greatest(F.lit(1e-6), median)
 
-    observed = phased.withColumn("scores", scores).select(
+    observed = pinned(phased, scores=scores).select(
         "image_id",
         bits.bits_to_bytes(_sign_bits(F.col("scores")), 24).alias("observed"),
         F.transform(F.sequence(F.lit(0), F.lit(23)), confidence).alias("confidences"),
@@ -137,7 +136,7 @@ def phase_merge_v2(tiles: DataFrame, expected: DataFrame) -> DataFrame:
     )
     joined = observed.join(expected, "image_id")
     rule = codewords.acceptance_v2(F.col("observed"), F.col("codeword"), F.col("confidences"))
-    return joined.withColumn("r", rule).select(
+    return pinned(joined, r=rule).select(
         "image_id", "trace_id", "observed", F.col("r.accepted").alias("accepted"), F.col("r.bit_errors").alias("bit_errors"),
         F.col("r.erasure_count").alias("erasure_count"), F.col("r.corrected_symbols").alias("corrected_symbols"),
         F.col("r.method").alias("recovery_method"), "phase_tiles", "mean_abs_score",
@@ -151,9 +150,9 @@ def clipped_merge_v3(tiles: DataFrame, expected: DataFrame, max_errors: int = 8,
     """
     scale = F.greatest(F.lit(1e-6), vectors.median_abs(F.col("scores"), BITS))
     clipped = F.transform("scores", lambda s: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), s.cast("double") / F.col("scale"))))
-    rows = tiles.where(F.col("coverage") >= 0.70).withColumn("scale", scale).withColumn("scores", clipped)
+    rows = pinned(pinned(tiles.where(F.col("coverage") >= 0.70), scale=scale), scores=clipped)
     if permuted:
-        rows = rows.withColumn("scores", bits.to_logical_order(F.col("scores"), F.col("phase"), bits.PHASE_SEED_V3, 3))
+        rows = pinned(rows, scores=bits.to_logical_order(F.col("scores"), F.col("phase"), bits.PHASE_SEED_V3, 3))
     merged = (
         rows.groupBy("image_id")
         .agg(

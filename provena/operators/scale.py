@@ -207,6 +207,15 @@ def blocked_pairs(
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)
 
 
+def pinned(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often later expressions use them.
+
+    A plain projection may be merged into its users and repeated per use; a one-row generator is not.
+    """
+    kept = [c for c in frame.columns if c not in columns]
+    return frame.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def top_rows(frame: DataFrame, group: Sequence[str], order: Iterable[Column], limit: int, rank: str = "rank") -> DataFrame:
     """First ``limit`` rows a group; Spark cuts each map task to ``limit`` rows before the shuffle."""
     from pyspark.sql import Window

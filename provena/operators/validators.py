@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provena.functions import text
+from provena.operators.scale import pinned
+from provena.session import cut_lineage
 
 # Fixed values of the two manifests and the report contract.
 NEGATIVE_CATEGORIES = ("photo", "illustration", "ui", "low_texture", "high_texture", "similar_composition")
@@ -26,21 +28,34 @@ METADATA_TEXTS = ("benchmark", "algorithm_version", "generated_at", "python_vers
 class Item:
     """Typed access to one JSON object held as VARIANT."""
 
-    def __init__(self, column: str = "item"):
+    def __init__(self, column: str = "item", pinned_fields: tuple[str, ...] = ()):
         self.column = F.col(column)
+        self.pinned_fields = pinned_fields
+
+    def pin(self, frame: DataFrame) -> DataFrame:
+        """Read kind and text of the named fields once a row; the rules then use plain columns."""
+        columns = {}
+        for name in self.pinned_fields:
+            columns[f"{name}__kind"] = F.schema_of_variant(F.try_variant_get(self.column, f"$.{name}", "variant"))
+            columns[f"{name}__text"] = F.try_variant_get(self.column, f"$.{name}", "string")
+        return pinned(frame, **columns)
 
     def kind(self, name: str) -> Column:
         """Schema name of the field; NULL when the field is absent, VOID for JSON null."""
+        if name in self.pinned_fields:
+            return F.col(f"{name}__kind")
         return F.schema_of_variant(F.try_variant_get(self.column, f"$.{name}", "variant"))
 
     def has(self, name: str) -> Column:
-        return F.try_variant_get(self.column, f"$.{name}", "variant").isNotNull()
+        return self.kind(name).isNotNull()
 
     def text(self, name: str) -> Column:
-        return F.when(self.kind(name) == "STRING", F.try_variant_get(self.column, f"$.{name}", "string"))
+        value = F.col(f"{name}__text") if name in self.pinned_fields else F.try_variant_get(self.column, f"$.{name}", "string")
+        return F.when(self.kind(name) == "STRING", value)
 
     def integer(self, name: str) -> Column:
-        return F.when(self.kind(name) == "BIGINT", F.try_variant_get(self.column, f"$.{name}", "bigint"))
+        value = F.col(f"{name}__text").try_cast("bigint") if name in self.pinned_fields else F.try_variant_get(self.column, f"$.{name}", "bigint")
+        return F.when(self.kind(name) == "BIGINT", value)
 
     def is_null(self, name: str) -> Column:
         return ~self.has(name) | (self.kind(name) == "VOID")
@@ -122,13 +137,14 @@ def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: D
     ``files`` is the file evidence table of the media manifest (path, byte_size, sha256, format);
     without it the file rules are not evaluated.
     """
-    doc = Item()
-    items = explode_items(manifests, "samples")
+    doc = Item(pinned_fields=("id", "category", "relative_path", "status", "sha256"))
+    head_doc = Item()
+    items = cut_lineage(doc.pin(explode_items(manifests, "samples")))
     sizes = items.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("n"))
     top = manifests.select("manifest_id", F.try_parse_json("document").alias("item")).join(sizes, "manifest_id", "left")
     slot_rules = [
-        (doc.integer("target_slots").isNull(), "target_slots must be an integer"),
-        (doc.integer("target_slots") != expected_slots, f"target_slots must equal expected_slots ({expected_slots})"),
+        (head_doc.integer("target_slots").isNull(), "target_slots must be an integer"),
+        (head_doc.integer("target_slots") != expected_slots, f"target_slots must equal expected_slots ({expected_slots})"),
         (F.coalesce("n", F.lit(0)) != expected_slots, f"samples length must equal expected_slots ({expected_slots})"),
     ]
     head = header_errors(manifests, "samples").unionByName(
@@ -167,8 +183,9 @@ def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: D
 
 def route_manifest_errors(manifests: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(manifest_id, index, rule, message) for platform route manifests."""
-    doc = Item()
-    items = explode_items(manifests, "routes")
+    doc = Item(pinned_fields=ROUTE_FIELDS)
+    # Parsed once and written: the duplicate and coverage rules read the items again.
+    items = cut_lineage(doc.pin(explode_items(manifests, "routes")))
     present = items.select("manifest_id", doc.text("route").alias("route")).distinct()
     wanted = manifests.select("manifest_id", F.explode(F.array(*map(F.lit, ROUTES))).alias("route"))
     absent = wanted.join(present, ["manifest_id", "route"], "left_anti").select(

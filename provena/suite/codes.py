@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from provena.functions import bits, codewords, crypto
 from provena.operators import hamming
+from provena.operators.scale import pinned
 from provena.suite.base import SIGN_SQL, query, sign_code, table
 from provena.suite.reports import _hmac_sql
 
@@ -212,19 +213,19 @@ def _observed(spark: SparkSession, folder: str, size: int) -> DataFrame:
     )
     joined = F.unhex(F.array_join(F.transform(mixed, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
     confidence = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substr("c", (i + 33).cast("int"), F.lit(1)), 16, 10).cast("double") / 16)
-    return docs.select("doc_id", F.substring("e", 1, size).alias("expected"), joined.alias("observed"), confidence.alias("confidences"))
+    return pinned(docs, expected=F.substring("e", 1, size), observed=joined, confidences=confidence).select("doc_id", "expected", "observed", "confidences")
 
 
 @query("codeword_acceptance", "WITH " + _CODEWORD_SQL.format(n=16, counts="range(0, 9)", parity=8, radius=16))
 def codeword_acceptance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _observed(spark, folder, 16)
-    return rows.select("doc_id", codewords.acceptance(F.col("observed"), F.col("expected"), F.col("confidences")).alias("r")).select("doc_id", "r.*")
+    return pinned(rows, r=codewords.acceptance(F.col("observed"), F.col("expected"), F.col("confidences"))).select("doc_id", "r.*")
 
 
 @query("codeword_acceptance_v2", "WITH " + _CODEWORD_SQL.format(n=24, counts="[0, 2, 4, 6]", parity=16, radius=32))
 def codeword_acceptance_v2(spark: SparkSession, folder: str) -> DataFrame:
     rows = _observed(spark, folder, 24)
-    return rows.select("doc_id", codewords.acceptance_v2(F.col("observed"), F.col("expected"), F.col("confidences")).alias("r")).select("doc_id", "r.*")
+    return pinned(rows, r=codewords.acceptance_v2(F.col("observed"), F.col("expected"), F.col("confidences"))).select("doc_id", "r.*")
 
 
 @query(
