@@ -12,9 +12,6 @@ from provena.session import cut_lineage
 NEGATIVE_CATEGORIES = ("photo", "illustration", "ui", "low_texture", "high_texture", "similar_composition")
 STATUSES = ("pending_collection", "collected")
 ROUTES = ("wechat", "browser", "target_platform")
-NEGATIVE_PREFIX = "tests/fixtures/commercial/samples/negative"
-SOURCE_PREFIX = "tests/fixtures/commercial/samples/real-platform/source"
-RECEIVED_PREFIX = "tests/fixtures/commercial/samples/real-platform/received"
 ROUTE_FIELDS = (
     "source_id", "route", "attempt", "sent_at", "received_at", "source_relative_path", "output_relative_path",
     "source_sha256", "received_sha256", "status", "operator", "device", "software", "software_version",
@@ -25,6 +22,12 @@ REPORT_FIELDS = ("metadata", "summary", "cases", "settings", "verdict", "failed_
 METADATA_TEXTS = ("benchmark", "algorithm_version", "generated_at", "python_version", "platform")
 
 
+# Folders that collected files must lie under; pass others where a dataset keeps them elsewhere.
+NEGATIVE_PREFIX = "samples/negative"
+SOURCE_PREFIX = "samples/real-platform/source"
+RECEIVED_PREFIX = "samples/real-platform/received"
+
+
 class Item:
     """Typed access to one JSON object held as VARIANT."""
 
@@ -131,7 +134,9 @@ def _file_rules(checked: Column, path_field: str, hash_field: str, expected: Col
     ]
 
 
-def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: DataFrame | None = None) -> DataFrame:
+def negative_manifest_errors(
+    manifests: DataFrame, expected_slots: int, files: DataFrame | None = None, prefix: str = NEGATIVE_PREFIX
+) -> DataFrame:
     """(manifest_id, index, rule, message); index -1 is the manifest itself.
 
     ``files`` is the file evidence table of the media manifest (path, byte_size, sha256, format);
@@ -151,7 +156,7 @@ def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: D
         _rows(top, ["manifest_id"], slot_rules).withColumn("rule", F.col("rule") + 10)
     )
     path = doc.text("relative_path")
-    safe = text.is_safe_path(path, NEGATIVE_PREFIX)
+    safe = text.is_safe_path(path, prefix)
     status = doc.text("status")
     marked = (
         items.join(_repeats(items, F.when(doc.filled("id"), doc.text("id")), "dup_id"), ["manifest_id", "index"], "left")
@@ -165,7 +170,7 @@ def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: D
         (F.col("dup_id"), F.concat(F.lit("id duplicates '"), doc.text("id"), F.lit("'"))),
         (~F.coalesce(doc.text("category").isin(*NEGATIVE_CATEGORIES), F.lit(False)), "category must be one of: " + ", ".join(NEGATIVE_CATEGORIES)),
         (~doc.has("sha256"), "sha256 is required"),
-        (~safe, f"relative_path must be a safe POSIX path under {NEGATIVE_PREFIX}"),
+        (~safe, f"relative_path must be a safe POSIX path under {prefix}"),
         (F.col("dup_path"), F.concat(F.lit("relative_path duplicates normalized path '"), path, F.lit("'"))),
         (safe & ~good_ext, "relative_path must use a supported image extension"),
         (~F.coalesce(status.isin(*STATUSES), F.lit(False)), "status must be one of: " + ", ".join(STATUSES)),
@@ -181,7 +186,9 @@ def negative_manifest_errors(manifests: DataFrame, expected_slots: int, files: D
     return head.select("manifest_id", F.lit(-1).alias("index"), "rule", "message").unionByName(body)
 
 
-def route_manifest_errors(manifests: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def route_manifest_errors(
+    manifests: DataFrame, files: DataFrame | None = None, source_prefix: str = SOURCE_PREFIX, received_prefix: str = RECEIVED_PREFIX
+) -> DataFrame:
     """(manifest_id, index, rule, message) for platform route manifests."""
     doc = Item(pinned_fields=ROUTE_FIELDS)
     # Parsed once and written: the duplicate and coverage rules read the items again.
@@ -194,7 +201,7 @@ def route_manifest_errors(manifests: DataFrame, files: DataFrame | None = None)
     head = header_errors(manifests, "routes").unionByName(absent)
 
     source, output, status = doc.text("source_relative_path"), doc.text("output_relative_path"), doc.text("status")
-    safe_source, safe_output = text.is_safe_path(source, SOURCE_PREFIX), text.is_safe_path(output, RECEIVED_PREFIX)
+    safe_source, safe_output = text.is_safe_path(source, source_prefix), text.is_safe_path(output, received_prefix)
     attempt = doc.integer("attempt")
     good_route = F.coalesce(doc.text("route").isin(*ROUTES), F.lit(False))
     good_attempt = F.coalesce(attempt > 0, F.lit(False))
@@ -236,11 +243,11 @@ def route_manifest_errors(manifests: DataFrame, files: DataFrame | None = None)
     rules += [
         (collected & doc.filled("reviewer") & (doc.text("reviewer") == doc.text("operator")), "reviewer must differ from operator for collected route"),
         (collected & ~F.coalesce(doc.text("rejection_reason") == "", F.lit(False)), "rejection_reason must be empty for collected route"),
-        (~safe_source, f"source_relative_path must be a safe POSIX path under {SOURCE_PREFIX}"),
+        (~safe_source, f"source_relative_path must be a safe POSIX path under {source_prefix}"),
         (safe_source & ~text.has_image_extension(source), "source_relative_path must use a supported image extension"),
         (safe_source & doc.filled("source_id") & (name(source) != F.concat(doc.text("source_id"), suffix(source))),
          F.concat(F.lit("source_relative_path basename must equal '"), doc.text("source_id"), F.lit(".<image-ext>'"))),
-        (~safe_output, f"output_relative_path must be a safe POSIX path under {RECEIVED_PREFIX}"),
+        (~safe_output, f"output_relative_path must be a safe POSIX path under {received_prefix}"),
         (safe_output & ~text.has_image_extension(output), "output_relative_path must use a supported image extension"),
         (safe_output & keyed & (name(output) != F.concat(stem, suffix(output))),
          F.concat(F.lit("output_relative_path basename must equal '"), stem, F.lit(".<image-ext>'"))),

@@ -148,11 +148,11 @@ def manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "metric_distribution",
     """SELECT l_returnflag AS fidelity, round(min(l_extendedprice), 6) AS min, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
-       round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1""",
+       round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1""",
 )
 def metric_distribution(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("fidelity"), F.col("l_extendedprice").alias("psnr"))
-    return summaries.metric_distribution(rows, ["fidelity"], "psnr").withColumn("mean", F.round("mean", 4))
+    return summaries.metric_distribution(rows, ["fidelity"], "psnr")
 
 
 @query(
