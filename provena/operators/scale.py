@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from provena.session import cut_lineage, shuffle_partitions
 
 # A group this small is cheap for one task (percentile's value map, one sort).
-SMALL_GROUP_ROWS = 200_000
+SMALL_GROUP_ROWS = 1_000_000
 # One block pair of a blocked comparison holds at most about this many rows a side.
 BLOCK_ROWS = 2048
 # Keys with more than 1/HOT_FRACTION of all rows are split; there are at most HOT_FRACTION of them.
