@@ -255,3 +255,67 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def batch_of(schema: pa.Schema | list[str], arrays: list) -> pa.RecordBatch:
     names = schema if isinstance(schema, list) else schema.names
     return pa.RecordBatch.from_arrays([a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays], names)
+
+
+# --- learned operators ---------------------------------------------------------------------------
+
+LETTERS = byte_table(words=bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_label: tuple[int, int], chars: int, extra: tuple[str, ...] = ()) -> pa.Table:
+    """A bounded sample of labelled texts for a model: at most ``per_label`` rows of label 0 and of 1, the first
+    by the hash of their id, of which texts up to ``chars`` characters are used. Learning alone is bounded; scores
+    see every text whole."""
+    picked = None
+    for value in (0, 1):
+        own = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(value).alias("_label"))
+        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label[value])
+        picked = own if picked is None else picked.union(own)
+    texts = documents.select("doc_id", "text", *extra).where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", *extra, F.col("_label").alias("label"))
+    return rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+
+
+def word_grams(words: Words, rows: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of some words, each word framed by marks, and the number of grams of each."""
+    lengths = (words.ends - words.starts)[rows]
+    framed = lengths + 2
+    ends = np.cumsum(framed)
+    begins = ends - framed
+    data = np.full(int(ends[-1]) if len(ends) else 0, 1, np.uint64)
+    inner = np.ones(len(data), bool)
+    inner[begins] = False
+    inner[ends - 1] = False
+    take = np.repeat(words.starts[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    data[inner] = words.data[take]
+    owner = np.repeat(np.arange(len(rows)), framed)
+    parts, owners = [], []
+    for size in sizes:
+        n = len(data) - size + 1
+        if n <= 0:
+            continue
+        code = np.full(n, size, np.uint64)
+        for j in range(size):
+            code = code * np.uint64(257) + data[j : j + n]
+        whole = owner[:n] == owner[size - 1 :]
+        parts.append((mixed(code[whole]) % np.uint64(buckets)).astype(np.int64))
+        owners.append(owner[:n][whole])
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
+    grams, own = np.concatenate(parts), np.concatenate(owners)
+    order = np.argsort(own, kind="stable")
+    return grams[order], np.bincount(own, minlength=len(rows))
+
+
+def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over consecutive segments of rows; an empty segment sums to zero."""
+    out = np.zeros((len(counts), *values.shape[1:]), values.dtype)
+    full = counts > 0
+    if full.any():
+        begins = (np.cumsum(counts) - counts)[full]
+        out[full] = np.add.reduceat(values, begins, axis=0)
+    return out
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from provena.llm import decontaminate, substring
+import public_tokenizers
+
+from provena.llm import bpe, common, decontaminate, language, licenses, quality, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,68 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _learned(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    return labels.where(F.coalesce(common.remainder("doc_id", modulus) != held, F.lit(True)))
+
+
+def _with_decision(scored: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scored.withColumns({"held_out": common.remainder("doc_id", modulus) == held, "predicted": (F.col("score") >= 0.7).cast("int")})
+
+
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    labels = _learned(table(spark, folder, "labels"), 3, 1)
+    return _with_decision(toxicity.score(table(spark, folder, "documents"), labels), 3, 1)
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    labels = _learned(table(spark, folder, "labels"), 4, 2)
+    return _with_decision(quality.score(table(spark, folder, "documents"), labels), 4, 2)
+
+
+def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"), common.scratch_folder(spark))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+head AS (SELECT h, max(page_id) AS head FROM p WHERE octet_length(b) >= 1000 GROUP BY h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN head USING (h)"""
+
+
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = language.identify(documents, _learned(documents, 3, 1))
+    return found.withColumn("held_out", common.remainder("doc_id", 3) == 1)
+
+
+def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -63,11 +127,21 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": toxicity_scores,
+    "op2_quality": quality_scores,
+    "op3_warc": warc_round_trip,
     "op4_decontamination": decontamination,
+    "op5_license_scan": license_scan,
+    "op7_language": language_id,
+    "op8_exact_topk": exact_topk,
+    "op9_byte_bpe": byte_bpe,
     "op10_substring_dedup": substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": WARC_SQL,
     "op4_decontamination": DECONTAMINATION_SQL,
+    "op5_license_scan": licenses.oracle(),
+    "op8_exact_topk": TOPK_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
 }
