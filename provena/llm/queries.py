@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from provena.llm import bpe, common, decontaminate, language, licenses, quality, substring, topk, toxicity, warc
+from provena.llm import bpe, common, decontaminate, jaccard, language, licenses, quality, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,30 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# Pairs of distinct sets by shared shingles, then the least reachable document by a recursive walk.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS t
+  FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS h FROM s GROUP BY doc_id),
+heads AS (SELECT h, min(doc_id) AS head FROM z GROUP BY h),
+hs AS (SELECT s.doc_id, t, n FROM s JOIN z USING (doc_id) JOIN heads ON head = s.doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM hs a JOIN hs b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+walk(node, seen) AS (SELECT head, head FROM heads UNION SELECT walk.node, edges.b FROM walk JOIN edges ON edges.a = walk.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM walk GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN heads USING (h) LEFT JOIN comp ON comp.node = heads.head"""
+
+
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     found = language.identify(documents, _learned(documents, 3, 1))
@@ -132,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": warc_round_trip,
     "op4_decontamination": decontamination,
     "op5_license_scan": license_scan,
+    "op6_ngram_jaccard": jaccard_join,
     "op7_language": language_id,
     "op8_exact_topk": exact_topk,
     "op9_byte_bpe": byte_bpe,
@@ -142,6 +167,7 @@ ORACLES: dict[str, str] = {
     "op3_warc": WARC_SQL,
     "op4_decontamination": DECONTAMINATION_SQL,
     "op5_license_scan": licenses.oracle(),
+    "op6_ngram_jaccard": JACCARD_SQL,
     "op8_exact_topk": TOPK_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
 }
