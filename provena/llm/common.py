@@ -40,7 +40,17 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_folder(spark)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: all that used them is itself written."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,9 +59,15 @@ def partitions(spark: SparkSession) -> int:
 
 def one_row_each(texts: DataFrame) -> DataFrame:
     """(doc_id, text) with one row an id: of rows that repeat an id, the least text stands for all."""
-    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return texts
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return distinct_rows(texts, "doc_id")
+
+
+def distinct_rows(frame: DataFrame, key: str) -> DataFrame:
+    """One row a key, the least of those that repeat it. Nothing moves where no key repeats."""
+    if frame.groupBy(key).count().where("count > 1").isEmpty():
+        return frame
+    others = [c for c in frame.columns if c != key]
+    return frame.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(*[c if c == key else F.col(f"_r.{c}").alias(c) for c in frame.columns])
 
 
 def rekeyed(column: str) -> Column:

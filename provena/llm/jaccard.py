@@ -232,6 +232,8 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
         pairs = pairs.join(one, F.col("b") == F.col("_id")).where(F.arrays_overlap("_q", "_p")).select("a", "b")
     ties = shared.where((F.col("held") > PAIR_CLASSES) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     families = common.written(components(pairs.union(ties)).select("node", F.col("component").alias("family")))
+    brief = common.written(profiles.select("doc_id", "n_shingles", "class"))
+    common.discard(shared, profiles)
 
     # First cells: every block in itself, and every block of a large family against its block 0.
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
@@ -259,6 +261,6 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     reached = components(links).select(F.col("node").alias("head"), "component")
     named = classes.join(reached, "head", "left").select("key", F.col("head").alias("class_id"), F.coalesce("component", "head").alias("component_id"))
     alone = F.encode(F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")
-    everyone = profiles.select("doc_id", "n_shingles", F.when(linked, F.col("class")).otherwise(alone).alias("key"))
+    everyone = brief.select("doc_id", "n_shingles", F.when(linked, F.col("class")).otherwise(alone).alias("key"))
     out = common.skew_join(everyone, named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -142,7 +142,9 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, with_text: bool
     shards = texts.join(hits, same).select("doc_id", "text", "phrases")
     located = common.written(shards.mapInArrow(lambda b: _located(b, window), f"doc_id {kind}, h1 bigint, h2 int, start int"))
     again = located.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.struct("h1", "h2").alias("_again"))
-    starts = located.join(again, F.struct("h1", "h2") == F.col("_again")).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("starts"))
+    starts = common.written(located.join(again, F.struct("h1", "h2") == F.col("_again")).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("starts")))
+    brief = common.written(profile.drop("prints"))
+    common.discard(located, profile)
     cleaned = texts.join(starts, same).select("doc_id", "text", "starts")
     fields = f"doc_id {kind}, spans array<struct<start:bigint,length:bigint>>, n_removed bigint, digest string, kept string"
     cleaned = cleaned.mapInArrow(lambda b: _cleaned(b, window), fields)
@@ -150,7 +152,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, with_text: bool
     cleaned = cleaned.select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in names])
 
     # A class of several documents recurs as a whole if it has a window at all.
-    copies = common.skew_join(profile.select("doc_id", "class", "n_words", "digest"), classes, "class")
+    copies = common.skew_join(brief, classes, "class")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     out = copies.join(cleaned, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())

@@ -260,3 +260,22 @@ def score(documents: DataFrame, labelled: DataFrame, per_label: tuple[int, int]
     shared = documents.sparkSession.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["label"].to_numpy()))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _scored(b, shared.value, 0.0), f"doc_id {kind}, score double, n_windows bigint")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], net: Network | None, text: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in common.chunks(batch, text):
+            if net is not None:
+                best, _ = text_logits(net, Lexicon(part.column(text)))
+                part = part.filter(pa.array(common.sigmoid(best.astype(np.float64)) < threshold))
+            yield part
+
+
+def reject(documents: DataFrame, labelled: DataFrame, threshold: float = 0.7, per_label: tuple[int, int] = PER_LABEL, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with all their columns; else as ``score``."""
+    rows = common.training_rows(documents, labelled, "toxic", per_label, train_chars)
+    shared = documents.sparkSession.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["label"].to_numpy()))
+    # Columns travel under plain numbers, whatever their names.
+    numbered = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    text = f"c{documents.columns.index('text')}"
+    return numbered.mapInArrow(lambda b: _clean(b, shared.value, text, threshold), numbered.schema).toDF(*documents.columns)

@@ -170,9 +170,7 @@ def round_trip(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> Dat
     gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html")
-    if not rows.groupBy("page_id").count().where("count > 1").isEmpty():
-        rows = rows.groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("r")).select("page_id", "r.url", "r.html")
+    rows = common.distinct_rows(pages.select("page_id", "url", "html"), "page_id")
     write_archives(archive_plan(rows), path, segment)
     records = read_archives(spark, path).select("record_id", "type", "refers_to", "digest", F.length("payload").cast("bigint").alias("bytes"), "problem")
     records = common.written(records)
