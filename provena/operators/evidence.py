@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import bits, codewords, geometry, text, vectors
-from provena.operators.scale import exact_quantiles, pinned, ranked, top_rows
+from provena.operators.scale import blocked_pairs, exact_quantiles, pinned, ranked, top_rows
 from provena.session import cut_lineage, shuffle_partitions
 
 BITS = 64
@@ -265,9 +263,9 @@ def inlier_stats(points: DataFrame, max_error: float = 5.0) -> DataFrame:
     px, py = geometry.project(F.col("homography"), F.col("qx").cast("double"), F.col("qy").cast("double"))
     errors = points.withColumn("error", F.sqrt((px - F.col("tx")) ** 2 + (py - F.col("ty")) ** 2))
     errors = errors.withColumn("inlier", F.coalesce(F.col("error") <= max_error, F.lit(False)))
-    counts = errors.groupBy("pair").agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"))
-    median = exact_quantiles(errors.where("inlier"), ["pair"], "error", {"median_error": 0.5})
-    joined = counts.join(median, "pair", "left").withColumn("ratio", F.col("inliers") / F.col("matches"))
+    errors = errors.withColumn("inlier_error", F.when(F.col("inlier"), F.col("error")))
+    median = exact_quantiles("inlier_error", {"median_error": 0.5})
+    joined = errors.groupBy("pair").agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"), *median).withColumn("ratio", F.col("inliers") / F.col("matches"))
     accepted = (F.col("inliers") >= 18) & ((F.col("ratio") >= 0.32) | (F.col("inliers") >= 256)) & (F.col("median_error") <= 5.0)
     return joined.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
@@ -278,14 +276,62 @@ MAX_KEYPOINTS = 3072
 def translation_vote(matches: DataFrame, tile_size: int = 128) -> DataFrame:
     """Matches with a known rotation and scale vote a translation per pair.
 
-    matches: pair, query_kp, qx, qy, tx, ty, rotation_degrees, scale, offset_x, offset_y (NULL = no
-    tile grid). A feature index holds at most MAX_KEYPOINTS points and each matches once, so a pair
-    is a bounded group; larger inputs fail instead of being cut.
+    matches: pair, query_kp, qx, qy, tx, ty, rotation_degrees, scale, offset_x, offset_y (NULL = no tile grid),
+    query_width, query_height, target_width, target_height. Every match shifts its query point onto its target
+    point. The shift with most others within 6 px (the first of equals) starts; the median of those, then of the
+    ones within 5 px of it, is the translation, snapped to the tile grid. Pairs with fewer than 3 supporters at
+    any point, or with an implausible transform, give no row.
+
+    Neighbours meet in 6 px cells. A feature index holds at most MAX_KEYPOINTS points and each matches once, so a
+    pair is bounded; larger inputs fail instead of being cut.
     """
-    return pair_rows(matches, ("qx", "qy", "tx", "ty"), ("rotation_degrees", "scale", "offset_x", "offset_y")).mapInPandas(
-        lambda batches: _translations(batches, tile_size),
-        "pair string, dx double, dy double, good_matches int, inliers int, ratio double, median_error double",
-    )
+    facts = ("rotation_degrees", "scale", "offset_x", "offset_y", "query_width", "query_height", "target_width", "target_height")
+    once = _match_once(matches, ("qx", "qy", "tx", "ty"), facts)
+    turn = F.radians("rotation_degrees")
+    cos, sin = F.cos(turn) / F.col("scale"), F.sin(turn) / F.col("scale")
+    at = lambda name: F.col(f"p.{name}").cast("double")
+    moves = once.select(
+        "pair", "query_kp", *facts, cos.alias("cos"), sin.alias("sin"),
+        (at("tx") - (cos * at("qx") - sin * at("qy"))).alias("mx"), (at("ty") - (sin * at("qx") + cos * at("qy"))).alias("my"),
+    )
+    moves = cut_lineage(moves)
+    gap = lambda x, y: F.sqrt((F.col("mx") - F.col(x)) * (F.col("mx") - F.col(x)) + (F.col("my") - F.col(y)) * (F.col("my") - F.col(y)))
+    cell = lambda v, by=0: (F.floor(F.col(v) / 6.0) + by).cast("bigint")
+    around = F.array(*[F.struct(cell("mx", i).alias("cx"), cell("my", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    others = moves.select("pair", F.col("mx").alias("ox"), F.col("my").alias("oy"), F.inline(around))
+    near = moves.select("pair", "query_kp", "mx", "my", cell("mx").alias("cx"), cell("my").alias("cy")).join(others, ["pair", "cx", "cy"]).where(gap("ox", "oy") <= 6.0)
+    support = near.groupBy("pair", "query_kp", "mx", "my").agg(F.count(F.lit(1)).alias("n"))
+    seed = support.groupBy("pair").agg(F.min_by(F.struct("mx", "my"), F.struct(-F.col("n"), F.col("query_kp"))).alias("c"))
+
+    def middle(center: DataFrame, radius: float) -> DataFrame:
+        """Median shift, and number, of the matches within a radius of a centre per pair."""
+        own = moves.join(center.select("pair", F.col("c.mx").alias("ox"), F.col("c.my").alias("oy")), "pair").where(gap("ox", "oy") <= radius)
+        return own.groupBy("pair").agg(F.struct(F.median("mx").alias("mx"), F.median("my").alias("my")).alias("c"), F.count(F.lit(1)).alias("n"))
+
+    settled = middle(middle(seed, 6.0), 5.0).where(F.col("n") >= 3)
+    snap = lambda v, by: F.coalesce(F.col(by) + F.rint((F.col(v) - F.col(by)) / F.lit(float(tile_size))) * tile_size, F.col(v))
+    gridded = F.col("offset_x").isNotNull() & F.col("offset_y").isNotNull()
+    shift = moves.join(settled.select("pair", F.col("c.mx").alias("dx"), F.col("c.my").alias("dy")), "pair").withColumns(
+        {"dx": F.when(gridded, snap("dx", "offset_x")).otherwise(F.col("dx")), "dy": F.when(gridded, snap("dy", "offset_y")).otherwise(F.col("dy"))}
+    )
+    error = gap("dx", "dy")
+    found = shift.groupBy("pair", "dx", "dy").agg(
+        F.count(F.lit(1)).alias("good_matches"), F.count_if(error <= 5.0).alias("inliers"), F.median(F.when(error <= 5.0, error)).alias("median_error"),
+        *[F.first(c).alias(c) for c in ("cos", "sin", *facts[4:])],
+    ).where(F.col("inliers") >= 3)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    found = found.withColumn("homography", F.array(F.col("cos"), -F.col("sin"), F.col("dx"), F.col("sin"), F.col("cos"), F.col("dy"), zero, zero, one))
+    found = found.where(geometry.plausible_matched(F.col("homography"), *map(F.col, facts[4:])))
+    return found.select(
+        "pair", "homography", "dx", "dy", F.col("good_matches").cast("int").alias("good_matches"), F.col("inliers").cast("int").alias("inliers"),
+        (F.col("inliers") / F.col("good_matches")).alias("ratio"), "median_error",
+    )
+
+
+def _match_once(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
+    """One row per query keypoint of a pair: its least match and the facts of the pair."""
+    once = matches.groupBy("pair", "query_kp").agg(F.min(F.struct(*points)).alias("p"), *[F.first(c).alias(c) for c in facts])
+    return once.where(F.assert_true(F.col("query_kp").between(0, MAX_KEYPOINTS - 1)).isNull())
 
 
 def pair_rows(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
@@ -293,11 +339,7 @@ def pair_rows(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...
 
     Each query keypoint counts once and indexes stop at MAX_KEYPOINTS, so the arrays are bounded.
     """
-    order = F.struct(*points)
-    once = matches.groupBy("pair", "query_kp").agg(F.min(order).alias("p"), *[F.first(c).alias(c) for c in facts]).where(
-        F.assert_true(F.col("query_kp").between(0, MAX_KEYPOINTS - 1)).isNull()
-    )
-    gathered = once.groupBy("pair").agg(
+    gathered = _match_once(matches, points, facts).groupBy("pair").agg(
         F.array_sort(F.collect_list(F.struct("query_kp", "p"))).alias("rows"), *[F.first(c).alias(c) for c in facts]
     )
     n = shuffle_partitions(matches.sparkSession)
@@ -306,35 +348,6 @@ def pair_rows(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...
     )
 
 
-def _translations(batches, tile_size: int):
-    columns = ["pair", "dx", "dy", "good_matches", "inliers", "ratio", "median_error"]
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            n = len(row.qx)
-            if n < 3:
-                continue
-            angle, scale = math.radians(row.rotation_degrees), float(row.scale)
-            linear = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]]) / scale
-            moves = np.c_[row.tx, row.ty] - np.c_[row.qx, row.qy] @ linear.T
-            near = lambda center, radius: np.hypot(*(moves - center).T) <= radius  # noqa: B023, E731
-            # The first match with the most supporters within 6 px, one row of distances at a time.
-            support = [int(near(m, 6.0).sum()) for m in moves]
-            shift = np.median(moves[near(moves[int(np.argmax(support))], 6.0)], axis=0)
-            close = near(shift, 5.0)
-            if close.sum() < 3:
-                continue
-            shift = np.median(moves[close], axis=0)
-            offsets = np.array([row.offset_x, row.offset_y], dtype=float)
-            if not np.isnan(offsets).any():
-                shift = offsets + np.rint((shift - offsets) / tile_size) * tile_size
-            error = np.hypot(*(moves - shift).T)
-            inside = error <= 5.0
-            if inside.sum() >= 3:
-                out.append((row.pair, shift[0], shift[1], n, int(inside.sum()), inside.sum() / n, float(np.median(error[inside]))))
-        yield pd.DataFrame(out, columns=columns)
-
-
 def visual_consistency() -> Column:
     """Rule on (inliers, ratio, residual): a standard match or a strong small crop."""
     standard = (F.col("inliers") >= 18) & (F.col("ratio") >= 0.32) & (F.col("residual") >= 0.08)
@@ -396,15 +409,29 @@ def signal_match(windows: DataFrame, patterns: DataFrame, markers: DataFrame) ->
     """Correlate window signals with candidate patterns behind the marker gate of 0.055.
 
     windows: query_id, window_id, signal; patterns: query_id, trace_id, pattern (the candidates of
-    that query, few by contract); markers: marker (one row). Score = 0.7 marker + 0.3 best.
+    that query); markers: marker (one row). Score = 0.7 marker + 0.3 best. A query with many windows and patterns
+    is compared in blocks, of which each returns the two best patterns of a window.
     """
     size = F.size("signal")
     gated = windows.join(F.broadcast(markers.limit(1))).withColumn(
         "marker_score", vectors.dot(F.col("signal"), F.col("marker")) / size
     ).where(F.col("marker_score") >= 0.055).drop("marker")
-    scored = gated.join(patterns, "query_id").select(
-        "query_id", "window_id", "trace_id", "marker_score", (vectors.dot(F.col("signal"), F.col("pattern")) / size).alias("pattern_score")
-    )
+
+    def two_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "window_id", "marker_score", "trace_id", "pattern_score"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        right = right.sort_values("trace_id")
+        signal = np.stack([np.asarray(v, np.float64) for v in left.signal])
+        scores = signal @ np.stack([np.asarray(v, np.float64) for v in right.pattern]).T / signal.shape[1]
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+        row = np.repeat(np.arange(len(left)), order.shape[1])
+        out = left[["query_id", "window_id", "marker_score"]].iloc[row].reset_index(drop=True)
+        return out.assign(trace_id=right.trace_id.to_numpy()[order.ravel()], pattern_score=scores[row, order.ravel()])[columns]
+
+    types = {c: frame.schema[c].dataType.simpleString() for frame in (windows, patterns) for c in frame.columns}
+    schema = f"query_id {types['query_id']}, window_id {types['window_id']}, marker_score double, trace_id {types['trace_id']}, pattern_score double"
+    scored = blocked_pairs(gated, patterns.select("query_id", "trace_id", "pattern"), "query_id", "window_id", "trace_id", two_best, schema)
     two = top_rows(scored, ["query_id", "window_id"], [F.col("pattern_score").desc(), F.col("trace_id")], 2)
     return two.groupBy("query_id", "window_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("trace_id"))).alias("trace_id"),
@@ -571,7 +598,7 @@ def keypoint_quota(points: DataFrame, limit: int = 3072, grid: int = 8, octaves:
     return placed.where(F.col("rank") <= limit).select("image_id", "kp_idx", "selection_pass", "rank")
 
 
-def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int = 200) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Greedy overlap suppression per (image, kind) in rounds over a spatial join.
 
     boxes: image_id, kind, box_id, confidence, left, top, right, bottom (integers). A box is accepted
@@ -614,9 +641,8 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int
     key = ["image_id", "kind"]
     end = lambda frame, name: frame.select(*key, F.col(name).alias("o")).distinct()
     lost: DataFrame | None = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    # Each round settles the strongest undecided box of every chain, so the rounds end.
+    while not edges.isEmpty():
         # A strong end that nothing blocks is accepted, so its weak ends are lost.
         blocked = end(edges, "weak").withColumnRenamed("o", "strong").withColumn("_b", F.lit(True))
         marked = edges.join(blocked, [*key, "strong"], "left")
@@ -626,8 +652,6 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.55, max_rounds: int
         for name in ("strong", "weak"):
             edges = edges.join(beaten.withColumnRenamed("o", name), [*key, name], "left_anti")
         edges = cut_lineage(edges)
-    else:
-        raise RuntimeError("overlap suppression did not settle; raise max_rounds")
     accepted = distinct if lost is None else distinct.join(lost, [*key, "o"], "left_anti")
     return accepted.select(
         *key, F.col("o.i").alias("box_id"), (-F.col("o.c")).alias("confidence"), "left", "top", "right", "bottom"

@@ -108,9 +108,9 @@ def match_group_tag(queries: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def records_of_groups(recalled: DataFrame, records: DataFrame) -> DataFrame:
-    """Active records in scope of every recalled group; records of a hot group are spread out."""
+    """Active records in scope of every recalled group; hot groups are split on both sides."""
     active = records.where(F.col("status") == "active").select("source_group_id", "record_id", "owner_user_id")
-    return split_hot_keys(active, recalled, ["source_group_id"], "record_id").where(_scope()).select(
+    return split_hot_keys(active, recalled, ["source_group_id"], "record_id", spread_right="query_id").where(_scope()).select(
         "query_id", "source_group_id", "record_id"
     )
 

@@ -9,12 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from provena.session import cut_lineage, shuffle_partitions
 
-# A group this small is cheap for one task (percentile's value map, one sort).
-SMALL_GROUP_ROWS = 1_000_000
 # One block pair of a blocked comparison holds at most about this many rows a side.
 BLOCK_ROWS = 2048
-# Keys with more than 1/HOT_FRACTION of all rows are split; there are at most HOT_FRACTION of them.
-HOT_FRACTION = 1000
 
 
 def _name(item: str | Column) -> Column:
@@ -65,97 +61,46 @@ def ranked(
     return joined.select(*frame.columns, rank, *([total] if total else []))
 
 
-def exact_quantiles(
-    frame: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probabilities: dict[str, float],
-    method: str = "linear",
-) -> DataFrame:
-    """Exact quantiles per group: ``linear`` interpolation or ``nearest`` rank (ceil(p*n))."""
-    rows = frame.where(F.col(value).isNotNull())
-    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= SMALL_GROUP_ROWS:
-        maker = "percentile" if method == "linear" else "percentile_disc"
-        exprs = []
-        for name, p in probabilities.items():
-            text = (
-                f"percentile(`{value}`, {p}D)"
-                if maker == "percentile"
-                else f"percentile_disc({p}D) WITHIN GROUP (ORDER BY `{value}`)"
-            )
-            exprs.append(F.expr(text).alias(name))
-        return rows.groupBy(*group).agg(*exprs)
-    # Large groups: collapse equal values first, then place the distinct values by rank.
-    from pyspark.sql import Window
+def exact_quantiles(value: str, probabilities: dict[str, float], method: str = "linear") -> list[Column]:
+    """Aggregate columns of exact quantiles: ``linear`` interpolation or ``nearest`` rank (ceil(p*n)).
 
-    spark = frame.sparkSession
-    weighted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_w"))
-    keys = [*group, value]
-    placed = cut_lineage(
-        weighted.repartitionByRange(shuffle_partitions(spark), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    runs = placed.groupBy(*group, "_pid").agg(F.sum("_w").alias("_n"))
-    over_group = Window.partitionBy(*group)
-    runs = runs.withColumn(
-        "_base",
-        F.coalesce(
-            F.sum("_n").over(over_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).withColumn("_total", F.sum("_n").over(over_group))
-    inside = Window.partitionBy(*group, "_pid").orderBy(value)
-    cum = placed.join(runs, [*group, "_pid"]).withColumn("_end", F.col("_base") + F.sum("_w").over(inside))
-    cum = cum.withColumn("_start", F.col("_end") - F.col("_w"))
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= index) & (index < F.col("_end")), F.col(value)))
-
-    picks, outs = [], []
-    for name, p in probabilities.items():
-        if method == "linear":
-            position = F.lit(float(p)) * (F.col("_total") - 1)
-            picks += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}")]
-            part = F.lit(float(p)) * (F.col("_t") - 1)
-            share = part - F.floor(part)
-            outs.append(
-                (F.col(f"_lo_{name}") * (1 - share) + F.col(f"_hi_{name}") * share).alias(name)
-            )
-        else:
-            position = F.greatest(F.ceil(F.lit(float(p)) * F.col("_total")) - 1, F.lit(0))
-            picks.append(at(position).alias(name))
-            outs.append(F.col(name))
-    return cum.groupBy(*group).agg(F.max("_total").alias("_t"), *picks).select(*group, *outs)
-
-
-def split_hot_keys(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, how: str = "inner", salts: int = 32
-) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks; other keys are untouched.
+    They belong into the aggregate that also takes counts, ends and means, so rows are read once; groups of NULL
+    keep their row. The buffer of a group holds its distinct values with their counts.
+    """
+    if method == "linear":
+        return [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
+    return [F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY `{value}`)").alias(name) for name, p in probabilities.items()]
+
+
+def split_hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, how: str = "inner", spread_right: str | None = None) -> DataFrame:
+    """Equi-join whose hot keys are spread over many tasks; other keys are untouched.
 
-    Only keys holding more than 1/HOT_FRACTION of the left rows are salted, so the hot-key list
-    has at most HOT_FRACTION rows and is safe to broadcast.
+    A key with more rows than an even shuffle partition of its side is cut into parts of that size: left rows
+    by ``spread_by``, and with ``spread_right`` (inner joins) right rows as well, each side repeated for the parts
+    of the other. At most as many keys a side as there are shuffle partitions are hot, so their list is safe to broadcast.
     """
-    total = left.count()
-    hot = (
-        left.groupBy(*keys).count()
-        .where(F.col("count") > F.lit(max(total // HOT_FRACTION, 10_000)))
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    marked_left = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0))
-    )
-    marked_right = right.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return marked_left.drop("_hot").withColumn("_salt", F.col("_salt").cast("int")).join(
-        marked_right.drop("_hot"), [*keys, "_salt"], how
-    ).drop("_salt")
+    partitions = shuffle_partitions(left.sparkSession)
+
+    def hot(frame: DataFrame, name: str) -> DataFrame:
+        share = frame.count() / partitions
+        sizes = frame.groupBy(*keys).count().where(F.col("count") > F.lit(max(share, 1.0)))
+        return sizes.select(*keys, F.ceil(F.col("count") / F.lit(max(share, 1.0))).cast("int").alias(name))
+
+    parts = hot(left, "_nl")
+    if spread_right:
+        parts = parts.join(hot(right, "_nr"), list(keys), "full")
+    else:
+        parts = parts.withColumn("_nr", F.lit(1))
+
+    def placed(frame: DataFrame, own: str, by: str | None, other: str) -> DataFrame:
+        rows = frame.join(F.broadcast(parts), list(keys), "left")
+        n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
+        mine = F.pmod(F.xxhash64(by), n_own).cast("int") if by else F.lit(0)
+        side = {"_nl": "_sl", "_nr": "_sr"}
+        rows = rows.withColumns({side[own]: mine, side[other]: F.sequence(F.lit(0), n_other - 1)})
+        return rows.withColumn(side[other], F.explode(side[other])).drop("_nl", "_nr")
+
+    return placed(left, "_nl", spread_by, "_nr").join(placed(right, "_nr", spread_right, "_nl"), [*keys, "_sl", "_sr"], how).drop("_sl", "_sr")
 
 
 def blocked_pairs(

@@ -139,24 +139,31 @@ def manifest_counts(samples: DataFrame) -> DataFrame:
     )
 
 
+def _spread(value: str) -> list[Column]:
+    ends = [F.min(value).alias("min"), F.avg(value).alias("mean")]
+    spread = exact_quantiles(value, {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return [ends[0], *spread, ends[1]]
+
+
+_SPREAD = ("min", "p5", "p50", "p95", "mean")
+
+
 def metric_distribution(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    spread = exact_quantiles(rows, group, value, {"p5": 0.05, "p50": 0.5, "p95": 0.95})
-    ends = rows.groupBy(*group).agg(F.min(value).alias("min"), F.avg(value).alias("mean"))
-    return ends.join(spread, group).select(*group, *[F.round(c, 6).alias(c) for c in ("min", "p5", "p50", "p95", "mean")])
+    found = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(*_spread(value))
+    return found.select(*group, *[F.round(c, 6).alias(c) for c in _SPREAD])
 
 
 def latency_percentiles(cases: DataFrame, group: list[str], value: str = "detection_ms") -> DataFrame:
     """Nearest-rank P50 and P95 and the maximum."""
-    ranks = exact_quantiles(cases, group, value, {"p50": 0.5, "p95": 0.95}, "nearest")
-    return ranks.join(cases.groupBy(*group).agg(F.max(value).alias("max")), group)
+    ranks = exact_quantiles(value, {"p50": 0.5, "p95": 0.95}, "nearest")
+    return cases.where(F.col(value).isNotNull()).groupBy(*group).agg(*ranks, F.max(value).alias("max"))
 
 
 def stage_timing(events: DataFrame) -> DataFrame:
-    """stage, duration_ms, candidate_count, fallback_count to per-stage statistics."""
-    counts = events.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("candidate_count").alias("candidates"), F.sum("fallback_count").alias("fallbacks")
-    )
-    return counts.join(metric_distribution(events, ["stage"], "duration_ms"), "stage")
+    """stage, duration_ms, candidate_count, fallback_count to per-stage statistics; stages without a duration are left out."""
+    counts = [F.count(F.lit(1)).alias("events"), F.sum("candidate_count").alias("candidates"), F.sum("fallback_count").alias("fallbacks")]
+    found = events.groupBy("stage").agg(*counts, *_spread("duration_ms")).where(F.col("min").isNotNull())
+    return found.select("stage", "events", "candidates", "fallbacks", *[F.round(c, 6).alias(c) for c in _SPREAD])
 
 
 def same_source_versions(records: DataFrame) -> DataFrame:

@@ -67,6 +67,19 @@ class Item:
         return F.coalesce(F.length(self.text(name)) > 0, F.lit(False))
 
 
+def _of_objects(rules: list[tuple[Column, Column | str]]) -> list[tuple[Column, Column | str]]:
+    """An item that is not an object breaks one rule; the others hold for objects only."""
+    is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    return [(~is_object, "must be an object"), *[(is_object & broken, message) for broken, message in rules]]
+
+
+def _quoted(value: Column) -> Column:
+    """A text between quotes: single ones, or double ones if it holds single quotes only."""
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    double = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def _rows(frame: DataFrame, keys: list[str], rules: list[tuple[Column, Column | str]]) -> DataFrame:
     """Broken rules as rows; rules are (broken, message)."""
     entries = []
@@ -118,7 +131,7 @@ def _with_files(items: DataFrame, path: Column, files: DataFrame | None, prefix:
     return items.join(renamed, path == F.col(f"{prefix}path"), "left").drop(f"{prefix}path")
 
 
-def _file_rules(checked: Column, path_field: str, hash_field: str, expected: Column, extension: Column, prefix: str, noun: str) -> list:
+def _file_rules(checked: Column, path_field: str, hash_field: str, expected: Column, extension: Column, prefix: str, noun: str, artifact: str = "") -> list:
     missing = F.col(f"{prefix}byte_size").isNull()
     size, found, form = F.col(f"{prefix}byte_size"), F.col(f"{prefix}sha256"), F.col(f"{prefix}format")
     formats = F.create_map(
@@ -128,7 +141,7 @@ def _file_rules(checked: Column, path_field: str, hash_field: str, expected: Col
     return [
         (checked & missing, f"{path_field} does not exist for collected {noun}"),
         (checked & (size == 0), f"{path_field} is empty for collected {noun}"),
-        (there & expected.rlike(text.SHA256_TEXT) & (F.lower(found) != F.lower(expected)), f"{hash_field} does not match file bytes"),
+        (there & expected.rlike(text.SHA256_TEXT) & (F.lower(found) != F.lower(expected)), f"{hash_field} does not match {artifact}file bytes"),
         (there & form.isNull(), f"{path_field} is not a decodable image"),
         (there & form.isNotNull() & (form != F.try_element_at(formats, extension)), F.concat(F.lit(f"{path_field} decoded format "), form, F.lit(" does not match suffix "), extension)),
     ]
@@ -165,7 +178,6 @@ def negative_manifest_errors(
     marked = _with_files(marked, path, files, "f_")
     good_ext = text.has_image_extension(path)
     rules = [
-        (~F.schema_of_variant("item").startswith("OBJECT"), "must be an object"),
         (~doc.filled("id"), "id must be a nonempty string"),
         (F.col("dup_id"), F.concat(F.lit("id duplicates '"), doc.text("id"), F.lit("'"))),
         (~F.coalesce(doc.text("category").isin(*NEGATIVE_CATEGORIES), F.lit(False)), "category must be one of: " + ", ".join(NEGATIVE_CATEGORIES)),
@@ -182,7 +194,7 @@ def negative_manifest_errors(
     ]
     if files is not None:
         rules += _file_rules((status == "collected") & safe & good_ext, "relative_path", "sha256", doc.text("sha256"), text.extension(path), "f_", "sample")
-    body = _rows(marked, ["manifest_id", "index"], rules)
+    body = _rows(marked, ["manifest_id", "index"], _of_objects(rules))
     return head.select("manifest_id", F.lit(-1).alias("index"), "rule", "message").unionByName(body)
 
 
@@ -215,16 +227,15 @@ def route_manifest_errors(
     pending, collected = status == "pending_collection", status == "collected"
     name = lambda p: F.element_at(F.split(p, "/"), -1)
     suffix = lambda p: F.regexp_extract(name(p), r"^.+(\.[^.]+)$", 1)
-    stem = F.concat(doc.text("source_id"), F.lit("--"), doc.text("route"), F.lit("--attempt-"), F.lpad(attempt.cast("string"), 3, "0"))
+    stem = F.concat(doc.text("source_id"), F.lit("--"), doc.text("route"), F.lit("--attempt-"), F.when(attempt < 1000, F.lpad(attempt.cast("string"), 3, "0")).otherwise(attempt.cast("string")))
     sent, received = (text.rfc3339_time(doc.text(c)) for c in ("sent_at", "received_at"))
 
-    rules = [(~F.schema_of_variant("item").startswith("OBJECT"), "must be an object")]
-    rules += [(~doc.has(f), f"{f} is required") for f in ROUTE_FIELDS]
+    rules = [(~doc.has(f), f"{f} is required") for f in ROUTE_FIELDS]
     rules += [
         (~doc.filled("source_id"), "source_id must be a nonempty string"),
         (~good_route, "route must be one of: " + ", ".join(ROUTES)),
         (~good_attempt, "attempt must be a positive integer"),
-        (F.col("dup_attempt"), "duplicates source_id/route/attempt"),
+        (F.col("dup_attempt"), F.concat(F.lit("duplicates source_id/route/attempt ("), _quoted(doc.text("source_id")), F.lit(", "), _quoted(doc.text("route")), F.lit(", "), attempt.cast("string"), F.lit(")"))),
     ]
     rules += [(doc.has(f) & doc.text(f).isNull(), f"{f} must be a string") for f in ROUTE_TEXTS]
     for f in ("sent_at", "received_at"):
@@ -263,12 +274,12 @@ def route_manifest_errors(
         (~F.coalesce(status.isin(*STATUSES), F.lit(False)), "status must be one of: " + ", ".join(STATUSES)),
     ]
     if files is not None:
-        for path, safe, field, digest, prefix in (
-            (source, safe_source, "source_relative_path", "source_sha256", "s_"),
-            (output, safe_output, "output_relative_path", "received_sha256", "o_"),
+        for path, safe, field, digest, prefix, artifact in (
+            (source, safe_source, "source_relative_path", "source_sha256", "s_", "source "),
+            (output, safe_output, "output_relative_path", "received_sha256", "o_", "output "),
         ):
-            rules += _file_rules(collected & safe & text.has_image_extension(path), field, digest, doc.text(digest), text.extension(path), prefix, "route")
-    body = _rows(marked, ["manifest_id", "index"], rules)
+            rules += _file_rules(collected & safe & text.has_image_extension(path), field, digest, doc.text(digest), text.extension(path), prefix, "route", artifact)
+    body = _rows(marked, ["manifest_id", "index"], _of_objects(rules))
     return head.select("manifest_id", F.lit(-1).alias("index"), "rule", "message").unionByName(body)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from provena import schemas
 from provena.operators.listing import keep_latest
+from provena.session import cut_lineage
 
 MARKER = "_batches"
 MARKER_SCHEMA = "batch_id string, tables array<string>"
@@ -32,39 +33,64 @@ def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return rows.unionByName(appended.select(*rows.columns))
 
 
+IDENTITIES = {"owner_trace": ["owner_user_id", "trace_id"], "group_tag": ["source_group_id", "auth_tag"]}
+
+
 def split_collisions(batch: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to append, rejected rows with a reason) under the two identity rules of a record.
 
-    Clashes inside the batch keep the first record id; the registry always wins.
+    The same as adding record by record in the order of their ids: what clashes with the registry or with a row that
+    went in is rejected, and blocks nobody itself. Rows with a null in an identity don't clash by it.
+
+    Works in rounds: a row that is the least undecided one of all its identities goes in, and the others of those
+    identities are out. Every round decides the least undecided row, and most rows need one round.
     """
-    rules = {"owner_trace": ["owner_user_id", "trace_id"], "group_tag": ["source_group_id", "auth_tag"]}
-    marked = batch
-    for name, keys in rules.items():
-        first = batch.groupBy(*keys).agg(F.min("record_id").alias(f"_first_{name}"))
-        taken = records.select(*keys).distinct().withColumn(f"_taken_{name}", F.lit(True))
-        marked = marked.join(first, keys, "left").join(taken, keys, "left")
-    reason = F.coalesce(
-        *[
-            F.when(F.col(f"_taken_{n}") | (F.col("record_id") != F.col(f"_first_{n}")), F.lit(f"collision:{n}"))
-            for n in rules
-        ]
-    )
-    marked = marked.withColumn("reason", reason)
-    return (
-        marked.where(F.col("reason").isNull()).select(*batch.columns),
-        marked.where(F.col("reason").isNotNull()).select(*batch.columns, "reason"),
-    )
+    key = {name: F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.struct(*columns)) for name, columns in IDENTITIES.items()}
+    keyed = cut_lineage(batch.select("record_id", *[expression.alias(name) for name, expression in key.items()]))
+    taken = {name: records.select(expression.alias(name)).where(F.col(name).isNotNull()).distinct() for name, expression in key.items()}
+    undecided = keyed
+    for name in IDENTITIES:
+        undecided = undecided.join(taken[name], name, "left_anti")
+    undecided = cut_lineage(undecided)
+    went_in: DataFrame | None = None
+    while not undecided.isEmpty():
+        marked = undecided
+        for name in IDENTITIES:
+            least = undecided.groupBy(name).agg(F.min("record_id").alias(f"_{name}"))
+            marked = marked.join(least, name, "left")
+        first = cut_lineage(marked.where(" AND ".join(f"({n} IS NULL OR record_id = _{n})" for n in IDENTITIES)).select(keyed.columns))
+        went_in = first if went_in is None else went_in.unionByName(first)
+        undecided = undecided.join(first.select("record_id"), "record_id", "left_anti")
+        for name in IDENTITIES:
+            undecided = undecided.join(first.select(name), name, "left_anti")
+        undecided = cut_lineage(undecided)
+    if went_in is None:
+        went_in = keyed.limit(0)
+    accepted = batch.join(went_in.select("record_id"), "record_id", "left_semi").select(*batch.columns)
+    marked = keyed.join(went_in.select("record_id"), "record_id", "left_anti")
+    for name in IDENTITIES:
+        held = went_in.where(F.col(name).isNotNull()).select(name, F.col("record_id").alias(f"_in_{name}"))
+        marked = marked.join(held, name, "left").join(taken[name].withColumn(f"_taken_{name}", F.lit(True)), name, "left")
+    reason = F.coalesce(*[F.when(F.col(f"_taken_{n}") | (F.col(f"_in_{n}") < F.col("record_id")), F.lit(f"collision:{n}")) for n in IDENTITIES])
+    rejected = batch.join(marked.select("record_id", reason.alias("reason")), "record_id").select(*batch.columns, "reason")
+    return accepted, rejected
 
 
 def append_generation_batch(root: str, batch_id: str, tables: dict[str, DataFrame]) -> bool:
     """Append all tables of a batch or none: data first, the marker row last.
 
+    Records that clash by an identity fail the batch (``split_collisions`` tells which to leave out beforehand).
     Repeating a batch id is a no-op once its marker exists; a half-written batch is overwritten.
     """
     spark = next(iter(tables.values())).sparkSession
     marker = f"{root}/{MARKER}/{batch_id}"
     if _exists(spark, f"{marker}/_SUCCESS"):
         return False
+    if "v4_records" in tables:
+        _, rejected = split_collisions(tables["v4_records"], committed(spark, root, "v4_records"))
+        clash = rejected.select("record_id", "reason").first()
+        if clash:
+            raise ValueError(f"record {clash.record_id}: {clash.reason}")
     for name, frame in tables.items():
         ordered = frame.select(*[F.col(f.name).cast(f.dataType) for f in schemas.table_schema(name).fields])
         ordered.write.mode("overwrite").parquet(f"{root}/{name}/batches/batch_id={batch_id}")

@@ -18,7 +18,6 @@ from provena.operators.matching import exact_file_match
 THROTTLE_LIMIT, THROTTLE_WINDOW = 5, "300 seconds"
 IDLE_SECONDS, ABSOLUTE_SECONDS = 1800, 86400
 AUDIT_COLUMNS = ("event_id", "actor_user_id", "action", "target_id", "outcome", "correlation_id", "created_at")
-TERMINAL = ("completed", "failed", "cancelled")
 # Stages of the detection telemetry.
 STAGES = ("decode", "exact_lookup", "dino_recall", "geometry", "observation", "authentication", "total")
 
@@ -134,7 +133,7 @@ def sessions(events: DataFrame, idle: float = IDLE_SECONDS, absolute: float = AB
 
 # --- jobs ----------------------------------------------------------------------------------------
 
-JOB_STATE = "status string, lease double, deadline double"
+JOB_STATE = "status string, owner string, lease double, deadline double, reported boolean"
 JOB_ROW = "job_id string, at timestamp, event string"
 
 
@@ -142,25 +141,46 @@ def _moment(seconds: float) -> pd.Timestamp:
     return pd.Timestamp(round(seconds * 1e6), unit="us")
 
 
+def job_step(state: tuple, kind: str, worker: str | None, now: float, lease_seconds: float, deadline_seconds: float) -> tuple:
+    """One event on one job: (status, lease owner, lease end, deadline, lease end reported).
+
+    Queued jobs, and running ones whose lease is over, can be claimed before their deadline. Only the owner of a
+    running job renews it (before the deadline) or finishes it; anyone cancels what is not finished.
+    """
+    status, owner, lease, deadline, reported = state
+    if kind == "create" and not status:
+        return "queued", "", 0.0, now + deadline_seconds, False
+    running = status == "running"
+    free = status == "queued" or (running and lease < now)
+    if (kind == "claim" and worker and free and now < deadline) or (kind == "renew" and running and owner == worker and now < deadline):
+        return "running", worker, now + lease_seconds, deadline, False
+    if kind in ("complete", "fail") and running and owner == worker:
+        return {"complete": "completed", "fail": "failed"}[kind], "", 0.0, deadline, False
+    if kind == "cancel" and status in ("queued", "running"):
+        return "cancelled", "", 0.0, deadline, False
+    return state
+
+
 def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds: float = 1000) -> DataFrame:
-    """events: ts, job_id, kind (create / claim / renew / complete / fail / cancel).
+    """events: ts, job_id, worker_id, kind (create / claim / renew / complete / fail / cancel).
 
     Emits lease_expired and past_deadline rows from event-time timers; a terminal state wins and
-    releases the job's state.
+    releases the job's state. Events that the rules of ``job_step`` refuse change nothing.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, lease, deadline = state.get if state.exists else ("", 0.0, 0.0)
+        held = tuple(state.get) if state.exists else ("", "", 0.0, 0.0, False)
         out: list[tuple] = []
 
         def due(now: float) -> None:
-            nonlocal status
-            if status == "running" and lease <= now and lease <= deadline:
+            nonlocal held
+            status, owner, lease, deadline, reported = held
+            if status == "running" and not reported and lease < now and lease <= deadline:
                 out.append((key[0], _moment(lease), "lease_expired"))
-                status = "queued"
+                held = (status, owner, lease, deadline, True)
             if status in ("queued", "running") and deadline <= now:
                 out.append((key[0], _moment(deadline), "past_deadline"))
-                status = "overdue"
+                held = ("overdue", owner, lease, deadline, True)
 
         if state.hasTimedOut:
             due(state.getCurrentWatermarkMs() / 1000)
@@ -168,20 +188,15 @@ def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds
             for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples(index=False):
                 now = row.ts.timestamp()
                 due(now)
-                if status in TERMINAL:
-                    continue
-                if row.kind == "create":
-                    status, deadline = "queued", now + deadline_seconds
-                elif status in ("queued", "running") and row.kind in ("claim", "renew"):
-                    status, lease = "running", now + lease_seconds
-                elif row.kind in ("complete", "fail", "cancel"):
-                    status = {"complete": "completed", "fail": "failed", "cancel": "cancelled"}[row.kind]
+                held = job_step(held, row.kind, row.worker_id, now, lease_seconds, deadline_seconds)
+        status, _, lease, deadline, reported = held
         if status in ("queued", "running"):
-            state.update((status, lease, deadline))
-            soonest = min(lease, deadline) if status == "running" else deadline
+            state.update(held)
+            # A lease is over once time has passed its end.
+            soonest = min(lease + 0.001, deadline) if status == "running" and not reported else deadline
             state.setTimeoutTimestamp(max(int(soonest * 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists or status:
-            state.remove() if state.exists else None
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["job_id", "at", "event"])
 
     return events.groupBy("job_id").applyInPandasWithState(step, JOB_ROW, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from provena.functions import bits, geometry
 from provena.operators import evidence, filters
@@ -210,16 +210,32 @@ def inlier_stats(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.inlier_stats(rows).withColumn("median_error", F.round("median_error", 6)).withColumn("ratio", F.round("ratio", 6)).select("pair", "matches", "inliers", "median_error", "ratio", "accepted")
 
 
-@query("translation_vote")
+@query(
+    "translation_vote",
+    """WITH m AS (SELECT l_orderkey AS pair, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS kp,
+                  (l_partkey + 130 + l_discount * 40) - CAST(l_partkey AS DOUBLE) AS mx, (l_quantity + 260 + l_tax * 40) - l_quantity AS my FROM lineitem),
+       sup AS (SELECT a.pair, a.kp, a.mx, a.my, count(*) AS n FROM m a JOIN m b ON a.pair = b.pair AND sqrt((a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my)) <= 6 GROUP BY ALL),
+       seed AS (SELECT pair, mx AS ox, my AS oy FROM sup QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, kp) = 1),
+       c1 AS (SELECT pair, median(mx) AS ox, median(my) AS oy FROM m JOIN seed USING (pair) WHERE sqrt((mx - ox) * (mx - ox) + (my - oy) * (my - oy)) <= 6 GROUP BY 1),
+       c2 AS (SELECT pair, median(mx) AS dx, median(my) AS dy FROM m JOIN c1 USING (pair) WHERE sqrt((mx - ox) * (mx - ox) + (my - oy) * (my - oy)) <= 5 GROUP BY 1 HAVING count(*) >= 3),
+       e AS (SELECT pair, dx, dy, sqrt((mx - dx) * (mx - dx) + (my - dy) * (my - dy)) AS err FROM m JOIN c2 USING (pair))
+       SELECT CAST(pair AS VARCHAR) AS pair, round(any_value(dx), 6) AS dx, round(any_value(dy), 6) AS dy, CAST(count(*) AS INTEGER) AS good_matches, CAST(count(*) FILTER (err <= 5) AS INTEGER) AS inliers,
+              round(count(*) FILTER (err <= 5) / count(*), 6) AS ratio, round(median(err) FILTER (err <= 5), 6) AS median_error
+       FROM e WHERE pair % 10 <> 0 GROUP BY pair HAVING count(*) FILTER (err <= 5) >= 3""",
+)
 def translation_vote(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items of an order as point matches of one pair (sequential medians have no SQL form here)."""
+    """Line items of an order as point matches of one pair; every tenth order has a target far too large."""
     lines = table(spark, folder, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    side = F.when(F.col("l_orderkey") % 10 == 0, F.lit(10000)).otherwise(F.lit(1200))
     rows = lines.select(
-        F.col("l_orderkey").cast("string").alias("pair"), F.pmod(F.col("l_linenumber") * 100 + F.col("l_suppkey"), F.lit(3072)).cast("int").alias("query_kp"),
+        F.col("l_orderkey").cast("string").alias("pair"), (F.row_number().over(order) - 1).alias("query_kp"),
         F.col("l_partkey").cast("double").alias("qx"), F.col("l_quantity").alias("qy"), (F.col("l_partkey") + 130 + F.col("l_discount") * 40).alias("tx"), (F.col("l_quantity") + 260 + F.col("l_tax") * 40).alias("ty"),
         F.lit(0.0).alias("rotation_degrees"), F.lit(1.0).alias("scale"), F.lit(None).cast("int").alias("offset_x"), F.lit(None).cast("int").alias("offset_y"),
+        F.lit(1000).alias("query_width"), F.lit(1000).alias("query_height"), side.alias("target_width"), side.alias("target_height"),
     )
-    return evidence.translation_vote(rows)
+    found = evidence.translation_vote(rows)
+    return found.select("pair", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"), "good_matches", "inliers", F.round("ratio", 6).alias("ratio"), F.round("median_error", 6).alias("median_error"))
 
 
 @query(
@@ -435,19 +451,17 @@ def spectrum_snr(spark: SparkSession, folder: str) -> DataFrame:
     "signal_match",
     """WITH mk AS (SELECT embedding AS m FROM embeddings ORDER BY vec_id LIMIT 1),
        w AS (SELECT e.label AS query_id, vec_id AS window_id, embedding AS s, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(m AS DOUBLE[])) * 30 / 64 AS marker FROM embeddings e, mk),
-       p AS (SELECT label AS query_id, vec_id AS trace_id, embedding AS p FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 8),
+       p AS (SELECT label AS query_id, vec_id AS trace_id, embedding AS p FROM embeddings),
        d AS (SELECT w.query_id, window_id, trace_id, marker, list_inner_product(CAST(s AS DOUBLE[]), CAST(p AS DOUBLE[])) * 30 / 64 AS sc, row_number() OVER (PARTITION BY w.query_id, window_id ORDER BY list_inner_product(CAST(s AS DOUBLE[]), CAST(p AS DOUBLE[])) DESC, trace_id) AS rk
              FROM w JOIN p USING (query_id) WHERE marker >= 0.055 QUALIFY rk <= 2)
        SELECT query_id, window_id, max(CASE WHEN rk = 1 THEN trace_id END) AS trace_id, round(max(marker) * 0.7 + max(CASE WHEN rk = 1 THEN sc END) * 0.3, 6) AS score, round(coalesce(max(CASE WHEN rk = 2 THEN sc END), -1), 6) AS second_score FROM d GROUP BY ALL""",
 )
 def signal_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings as tile signals; the first eight vectors of a label are its candidate patterns."""
-    from provena.operators.scale import top_rows
-
+    """Embeddings as tile signals; all vectors of a label are its candidate patterns."""
     rows = table(spark, folder, "embeddings")
     scaled = F.transform("embedding", lambda v: v.cast("double") * 30)
     windows = rows.select(F.col("label").alias("query_id"), F.col("vec_id").alias("window_id"), scaled.alias("signal"))
-    patterns = top_rows(rows, ["label"], [F.col("vec_id")], 8).select(F.col("label").alias("query_id"), F.col("vec_id").alias("trace_id"), F.col("embedding").alias("pattern"))
+    patterns = rows.select(F.col("label").alias("query_id"), F.col("vec_id").alias("trace_id"), F.col("embedding").alias("pattern"))
     marker = rows.agg(F.min_by("embedding", "vec_id").alias("marker"))
     found = evidence.signal_match(windows, patterns, marker)
     return found.select("query_id", "window_id", "trace_id", F.round("score", 6).alias("score"), F.round("second_score", 6).alias("second_score"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from provena.functions import codewords, crypto
 from provena.session import cut_lineage, shuffle_partitions
 from provena.operators import evidence, hamming, imaging, summaries
 from provena.plans import cascade, generate
-from provena.sources.images import media_manifest
 from provena.suite.base import query, table
 from provena.suite.reports import _hmac_sql
 
@@ -83,13 +82,6 @@ def embed_extract_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("image_id", codewords.acceptance(F.col("codeword"), F.col("wanted"), F.col("confidences")).alias("r")).select("image_id", "r.*")
 
 
-@query("detect_pilot")
-def detect_pilot(spark: SparkSession, folder: str) -> DataFrame:
-    """Pilot estimate of every embedded image (texts are harsh carriers, so many give none)."""
-    found = imaging.detect_pilot(imaging.embed_codewords(_tagged(spark, folder)).where(F.col("error").isNull()))
-    return found.select("image_id", "rotation_degrees", "scale", F.round("confidence", 6).alias("confidence"), "supported_peaks", "offset_x", "offset_y")
-
-
 @query(
     "aligned_tiles",
     "WITH " + _TILES + " SELECT image_id, tile_x, tile_y, phase, round((128 - CASE tile_x WHEN 0 THEN 2 ELSE 0 END) * (128 - CASE tile_y WHEN 0 THEN 3 ELSE 0 END) / 16384, 6) AS coverage FROM g",
@@ -158,10 +150,11 @@ def registered_original(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("robust_homography")
 def robust_homography(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items of a supplier's day-of-month as point matches with noise; similarity first."""
+    """Line items of a supplier as point matches with noise; similarity first."""
     lines = table(spark, folder, "lineitem")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     rows = lines.select(
-        F.col("l_suppkey").cast("string").alias("pair"), F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(3072)).cast("int").alias("query_kp"),
+        F.col("l_suppkey").cast("string").alias("pair"), (F.row_number().over(order) - 1).alias("query_kp"),
         F.pmod("l_partkey", F.lit(800)).cast("double").alias("qx"), (F.col("l_quantity") * 11).alias("qy"),
         (F.pmod("l_partkey", F.lit(800)) * 1.02 + 4 + F.col("l_discount") * 20).alias("tx"), (F.col("l_quantity") * 11 * 1.02 + 7 + F.col("l_tax") * 20).alias("ty"),
         F.lit(800).alias("query_width"), F.lit(600).alias("query_height"), F.lit(820).alias("target_width"), F.lit(620).alias("target_height"),
@@ -257,15 +250,6 @@ def embedding_plugin(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("image_id", "view_index", F.round(F.array_max("embedding").cast("double"), 5).alias("peak"))
 
 
-@query(
-    "file_evidence",
-    "SELECT doc_id AS path, CAST(octet_length(encode(text)) AS BIGINT) AS byte_size, sha256(text) AS sha256, 'application/octet-stream' AS content_type FROM documents",
-)
-def file_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return media_manifest(files, F.lit("original")).select("path", "byte_size", "sha256", "content_type")
-
-
 GRID_POINTS = 64
 
 
@@ -327,4 +311,4 @@ def detect_batch(spark: SparkSession, folder: str) -> DataFrame:
         stored, stored_views, _keypoints(source, F.col("doc_id")), source.select(F.col("doc_id").alias("source_group_id"), F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     )
     suspects = Suspects(queries.drop("mark"), query_views, _keypoints(slim, F.col("doc_id")))
-    return detect(suspects, registry, {"key-1": KEY}, group_limit=3)
+    return detect(suspects, registry, {"key-1": KEY})

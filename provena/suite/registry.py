@@ -87,32 +87,45 @@ def media_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "append_generation_batch",
-    """WITH """ + RECORDS_SQL + """,
-b AS (SELECT record_id, owner_user_id, source_name AS trace_id, owner_user_id AS source_group_id, substr(original_file_md5, 1, 3) AS auth_tag FROM records),
-f AS (SELECT *, min(record_id) OVER (PARTITION BY owner_user_id, trace_id) AS a, min(record_id) OVER (PARTITION BY source_group_id, auth_tag) AS g FROM b)
-SELECT record_id, CASE WHEN record_id <> a THEN 'collision:owner_trace' WHEN record_id <> g THEN 'collision:group_tag' ELSE 'appended' END AS result FROM f""",
+    """WITH RECURSIVE k AS (
+  SELECT doc_id AS record_id, doc_id % 5 = 4 AS old, concat(doc_id % 7, '|', source, '-', n_chars % 10) AS k1, concat(doc_id % 7, '|', substr(md5(text), 1, 3)) AS k2 FROM documents),
+b AS (SELECT *, row_number() OVER (ORDER BY record_id) AS i FROM k WHERE NOT old),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS record_id, '' AS result, (SELECT list(k1) FROM k WHERE old) AS a1, (SELECT list(k2) FROM k WHERE old) AS a2
+  UNION ALL
+  SELECT b.i, b.record_id, CASE WHEN list_contains(a1, k1) THEN 'collision:owner_trace' WHEN list_contains(a2, k2) THEN 'collision:group_tag' ELSE 'appended' END,
+         CASE WHEN list_contains(a1, k1) OR list_contains(a2, k2) THEN a1 ELSE list_append(a1, k1) END,
+         CASE WHEN list_contains(a1, k1) OR list_contains(a2, k2) THEN a2 ELSE list_append(a2, k2) END
+  FROM s JOIN b ON b.i = s.i + 1)
+SELECT record_id, result FROM s WHERE i > 0""",
 )
 def append_generation_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Row-level result of a batch append: which rows go in, which clash on an identity rule."""
-    batch = records(spark, folder).select(
-        "record_id", "owner_user_id", F.col("source_name").alias("trace_id"), F.col("owner_user_id").alias("source_group_id"),
+    """Row-level result of a batch append: which rows go in, which clash with the registry or with a row that went in."""
+    rows = records(spark, folder).select(
+        "record_id", "owner_user_id", F.concat("source_name", F.lit("-"), (F.col("n_chars") % 10).cast("string")).alias("trace_id"), F.col("owner_user_id").alias("source_group_id"),
         F.substring("original_file_md5", 1, 3).alias("auth_tag"),
     )
-    kept, rejected = sinks.split_collisions(batch, batch.limit(0))
+    old = F.col("record_id") % 5 == 4
+    kept, rejected = sinks.split_collisions(rows.where(~old), rows.where(old))
     return kept.select("record_id", F.lit("appended").alias("result")).unionByName(rejected.select("record_id", F.col("reason").alias("result")))
 
 
 @query(
     "upsert_features",
-    """SELECT vec_id // 5 AS source_group_id, CASE vec_id % 2 WHEN 0 THEN 'orb' ELSE 'superpoint' END AS feature_kind,
-              max(vec_id) AS feature_ref FROM embeddings GROUP BY ALL""",
+    """WITH r AS (SELECT vec_id // 5 AS source_group_id, CASE vec_id % 2 WHEN 0 THEN 'orb' ELSE 'superpoint' END AS feature_kind, vec_id AS feature_ref, label FROM embeddings),
+            old AS (SELECT source_group_id, feature_kind, -max(feature_ref) AS feature_ref FROM r WHERE source_group_id % 3 <> 0 GROUP BY ALL),
+            new AS (SELECT source_group_id, feature_kind, max(feature_ref) AS feature_ref FROM r WHERE source_group_id % 2 = 0 GROUP BY ALL)
+       SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (source_group_id, feature_kind)""",
 )
 def upsert_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups not divisible by 3 are stored; even ones arrive again, so a third is replaced, kept and added each."""
     rows = table(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 5).cast("bigint").alias("source_group_id"),
         F.when(F.col("vec_id") % 2 == 0, F.lit("orb")).otherwise(F.lit("superpoint")).alias("feature_kind"), F.col("vec_id").alias("feature_ref"),
     )
-    return sinks.upsert_features(rows.limit(0), rows.withColumn("sequence", F.col("feature_ref") + 1))
+    stored = rows.where(F.col("source_group_id") % 3 != 0).groupBy("source_group_id", "feature_kind").agg((-F.max("feature_ref")).alias("feature_ref"))
+    arriving = rows.where(F.col("source_group_id") % 2 == 0)
+    return sinks.upsert_features(stored, arriving.withColumn("sequence", F.col("feature_ref") + 1))
 
 
 @query("backfill_owners", "SELECT o_orderkey AS record_id, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE o_custkey END AS owner_user_id FROM orders")

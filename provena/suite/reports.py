@@ -234,10 +234,10 @@ def _release_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
     digest = lambda salt: F.array(F.sha2(F.concat(F.lit(salt), F.col("report_id").cast("string")), 256))
     report = F.struct(
-        F.lit("a" * 40).alias("git_commit"), F.lit("v4").alias("schema_id"), F.lit(crypto.CODEC).alias("codec"),
-        names(("dinov2", "superpoint", "lightglue"), F.lit("pinned")).alias("model_versions"), names(("dinov2", "superpoint", "lightglue"), F.lit(True)).alias("model_health"),
+        F.lit("c0ffee1234" * 4).alias("git_commit"), F.lit("v4").alias("schema_id"), F.lit(crypto.CODEC).alias("codec"),
+        names(("dinov2", "superpoint", "lightglue"), F.lit("2025.2")).alias("model_versions"), names(("dinov2", "superpoint", "lightglue"), F.lit(True)).alias("model_health"),
         F.create_map(F.lit("development"), digest("d"), F.lit("release"), digest("r"), F.lit("blind"), digest("b")).alias("manifest_hashes"),
-        F.lit(20260729).alias("random_seed"), names(("cpu", "gpu", "ram_bytes"), F.lit("32")).alias("hardware"), digest("x").alias("raw_artifact_hashes"),
+        F.lit(90210).alias("random_seed"), names(("cpu", "gpu", "ram_bytes"), F.lit("32")).alias("hardware"), digest("x").alias("raw_artifact_hashes"),
         F.lit(True).alias("query_plan_ok"), F.col("wrong").alias("sensitive_log_leaks"), suites.alias("suites"),
     )
     return m.select("report_id", F.to_json(report).alias("report"))

@@ -96,7 +96,7 @@ def lease_monitor(spark: SparkSession, folder: str) -> DataFrame:
     """Users as jobs: sign-ups create, views claim, clicks renew, purchases complete, errors fail."""
     out = work_folder(spark, "leases")
     names = F.create_map(*[F.lit(x) for x in ("signup", "create", "view", "claim", "click", "renew", "purchase", "complete", "error", "fail")])
-    rows = events_stream(spark, folder).select("ts", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), F.element_at(names, F.col("event_type")).alias("kind"))
+    rows = events_stream(spark, folder).select("ts", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), (F.col("event_id") % 2).cast("string").alias("worker_id"), F.element_at(names, F.col("event_type")).alias("kind"))
     monitors.run_available(monitors.lease_monitor(rows), out, "append")
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
     return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
