@@ -58,7 +58,7 @@ def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             scores = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
         else:
             scores = q @ c.T
-        state = {s: np.array(batch.column(s)[i].as_py(), np.int64) for s in ("low", "width")}
+        state = {s: np.array(batch.column(s)[i].as_py(), np.int64) for s in ("low", "width", "span")}
         yield q_ids, c_ids, scores, state
 
 
@@ -66,8 +66,9 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     """Counts by bin, from the top, as far down as the cell itself could hold the kth score."""
     for batch in batches:
         for q_ids, c_ids, scores, state in _cells(batch):
-            bins = (scores - state["low"][:, None]) // np.maximum(state["width"], 1)[:, None]
-            use = (bins >= 0) & (bins < BINS) & (q_ids[:, None] != c_ids[None])
+            below = scores - state["low"][:, None]
+            bins = below // state["width"][:, None]
+            use = (below >= 0) & (below < state["span"][:, None]) & (q_ids[:, None] != c_ids[None])
             n = len(q_ids)
             flat = (np.arange(n)[:, None] * BINS + bins)[use]
             counts = np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
@@ -118,13 +119,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024)
 
     def cells(state: DataFrame) -> DataFrame:
         """Query blocks with their ranges beside each candidate block; keys are even, blocks are bounded."""
-        held = state.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("query_id", "low", "width"))).alias("s"))
-        held = blocks.join(held, ["dim", "q_block"]).select("dim", "q_ids", "q_vectors", F.col("s.low").alias("low"), F.col("s.width").alias("width"))
+        held = state.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("query_id", "low", "width", "span"))).alias("s"))
+        held = blocks.join(held, ["dim", "q_block"]).select("dim", "q_ids", "q_vectors", F.col("s.low").alias("low"), F.col("s.width").alias("width"), F.col("s.span").alias("span"))
         return held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(candidates, ["dim", "block"]).drop("block").repartition(common.partitions(spark))
 
     parts = max(1, math.ceil(asked.count() / QUERY_ROWS))
     width = max(1, -(-(2 * reach + 1) // BINS))
-    state = asked.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("q_block"), F.col("vec_id").alias("query_id"), F.lit(-reach).cast("bigint").alias("low"), F.lit(width).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"))
+    state = asked.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("q_block"), F.col("vec_id").alias("query_id"), F.lit(-reach).cast("bigint").alias("low"), F.lit(width).cast("bigint").alias("width"), F.lit(2 * reach + 1).cast("bigint").alias("span"), F.lit(0).cast("bigint").alias("above"))
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     while True:
         counts = cells(state).mapInArrow(lambda b: _histograms(b, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
@@ -132,12 +133,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024)
         # The kth score lies in the first bin that reaches k; with fewer candidates everything is kept.
         found = upto.where(F.col("upto") >= k).groupBy("query_id").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"))).alias("f"))
         last = width == 1
-        width = max(1, -(-width // BINS))
+        span, width = width, max(1, -(-width // BINS))
         state = common.written(
             state.join(found, "query_id", "left").select(
                 "dim", "q_block", "query_id",
                 F.when(F.col("f").isNull(), F.lit(-reach)).otherwise(F.col("low") + F.col("f.bin") * F.col("width")).cast("bigint").alias("low"),
                 F.lit(width).cast("bigint").alias("width"),
+                F.lit(span).cast("bigint").alias("span"),
                 F.coalesce("f.above", "above").alias("above"),
             )
         )
