@@ -219,7 +219,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
         spare = np.cumsum(lexicon.per_text) - lexicon.per_text + (rng.random(len(texts)) * lexicon.per_text).astype(np.int64)
         rows = np.concatenate([chosen, spare[labels == 0]])
         target = np.concatenate([labels, np.zeros((labels == 0).sum(), np.int64)])
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 96)):
+        # Few texts make small steps, so that there are enough of them.
+        for part in np.array_split(rng.permutation(len(rows)), max(len(rows) // 96, min(16, len(rows) // 8), 1)):
             windows = lexicon.windows(rows[part])
             used, local = np.unique(windows, return_inverse=True)
             used = used[used < len(lexicon.buckets)]
