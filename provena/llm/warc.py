@@ -37,11 +37,14 @@ def unframed(body: bytes) -> bytes:
         line = body.find(b"\r\n", at)
         if line < 0:
             raise ValueError("chunk without size")
-        size = int(body[at:line].split(b";")[0], 16)
+        digits = body[at:line].split(b";")[0].strip()
+        if not digits or digits.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("chunk without size")
+        size = int(digits, 16)
         if size == 0:
             return b"".join(out)
         begin = line + 2
-        if size < 0 or body[begin + size : begin + size + 2] != b"\r\n":
+        if body[begin + size : begin + size + 2] != b"\r\n":
             raise ValueError("chunk is cut short")
         out.append(body[begin : begin + size])
         at = begin + size + 2
@@ -157,7 +160,9 @@ def archive_plan(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.length("payload") >= revisit_from)
     heads = large.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null").select("digest", "head")
-    found = common.skew_join(rows, heads, "digest", "left")
+    # A written table has a known size: a short list of heads is broadcast and the payloads stay where they are; a
+    # long one is shuffled with the pages, where a hot digest can be split.
+    found = rows.join(common.written(heads), "digest", "left")
     return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
 
 
