@@ -355,12 +355,17 @@ def visual_consistency() -> Column:
     return standard | strong
 
 
+def _place(candidates: DataFrame) -> Column:
+    """Ties go to the first record in listing order where the candidates carry it, else to the smaller id."""
+    return F.col("position_index") if "position_index" in candidates.columns else F.col("record_id")
+
+
 def residual_evidence(candidates: DataFrame) -> DataFrame:
     """Best consistent candidate per query by (residual, inliers, ratio), shown from residual 0.12."""
     best = candidates.where(F.col("robust_watermark") & visual_consistency()).groupBy("query_id").agg(
         F.min_by(
             F.struct("record_id", "trace_id", "inliers", "ratio", "residual"),
-            F.struct(-F.col("residual"), -F.col("inliers"), -F.col("ratio"), F.col("record_id")),
+            F.struct(-F.col("residual"), -F.col("inliers"), -F.col("ratio"), _place(candidates)),
         ).alias("b")
     )
     return best.select("query_id", "b.*").where(F.col("residual") >= 0.12)
@@ -373,7 +378,7 @@ def visual_match_verdict(candidates: DataFrame) -> DataFrame:
     best = kept.groupBy("query_id").agg(
         F.min_by(
             F.struct("record_id", "inliers", "ratio", "residual"),
-            F.struct(-F.col("inliers"), -F.col("ratio"), F.col("record_id")),
+            F.struct(-F.col("inliers"), -F.col("ratio"), _place(candidates)),
         ).alias("b")
     )
     return best.select("query_id", "b.*").where(strong).withColumn("confidence", text.confidence_residual(F.col("residual")))
@@ -480,7 +485,7 @@ def aligned_verdict(decoded: DataFrame, candidate_limit: int = 8) -> DataFrame:
     return one.select(
         "query_id", "b.record_id", "b.trace_id", "b.bit_errors",
         text.confidence_aligned(F.col("b.bit_errors")).alias("confidence"),
-        F.element_at(methods, F.col("b.version")).alias("method"),
+        F.coalesce(F.try_element_at(methods, F.col("b.version")), F.element_at(methods, F.lit(1))).alias("method"),
     )
 
 

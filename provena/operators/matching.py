@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provena.functions import text
+from provena import schemas
+from provena.operators.filters import check_violations
 from provena.operators.scale import split_hot_keys
 
 MAX_RECALLED_GROUPS = 40
@@ -211,6 +214,32 @@ def orphan_rows(child: DataFrame, child_keys: Sequence[str], parent: DataFrame,
     return complete.join(known, match, "left_anti")
 
 
+def constraint_violations(tables: dict[str, DataFrame], rules: dict[str, schemas.Constraints] | None = None) -> DataFrame:
+    """(table, kind, rule, row_key) of everything that breaks the declared rules of the given tables.
+
+    ``check`` and ``foreign`` name the row, ``unique`` the values of the repeated key. Rules on tables that are not
+    given are left out; NULL passes checks and keys with a NULL never clash, as in SQL.
+    """
+    rules = schemas.constraints() if rules is None else rules
+    found = []
+
+    def add(rows: DataFrame, table: str, kind: str, rule: Column, key: Column) -> None:
+        found.append(rows.select(F.lit(table).alias("table"), F.lit(kind).alias("kind"), rule.alias("rule"), key.cast("string").alias("row_key")))
+
+    for name, frame in tables.items():
+        own = rules[name]
+        if own.checks:
+            add(check_violations(frame, own.key, own.checks), name, "check", F.col("constraint"), F.col(own.key))
+        for rule, keys in own.unique.items():
+            shown = [(F.hex(k) if t == "binary" else F.col(k).cast("string")).alias(k) for k, t in frame.select(*keys).dtypes]
+            whole = frame.dropna(subset=list(keys)).select(*shown)
+            add(duplicate_keys(whole, keys), name, "unique", F.lit(rule), F.concat_ws("|", *keys))
+        for rule, (child_keys, parent, parent_keys) in own.foreign.items():
+            if parent in tables:
+                add(orphan_rows(frame, child_keys, tables[parent], parent_keys), name, "foreign", F.lit(rule), F.col(own.key))
+    return reduce(DataFrame.unionByName, found)
+
+
 def region_tiles(regions: DataFrame, tile_size: int = 128) -> DataFrame:
     """Complete tiles that touch a region; columns image_id, image_width, image_height, left..bottom."""
     size = F.lit(tile_size)

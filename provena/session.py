@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,20 @@ def build_session(master: str | None = None, app: str = "provena", **extra: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors that don't have it installed, as a zip made on the driver.
+
+    Arrow functions are pickled by name, so workers import ``provena``. Needless where every node has the package
+    installed, or where ``--py-files`` named it.
+    """
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="provena-package-")) / "provena.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -438,6 +438,42 @@ def orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
     return matching.orphan_rows(table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), ["l_orderkey"], parent, ["o_orderkey"])
 
 
+def _registry_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Documents as source groups and records that break some of the declared rules."""
+    docs = table(spark, folder, "documents")
+    text = F.encode("text", "UTF-8")
+    owner = (F.col("doc_id") % 7).cast("int")
+    groups = docs.select(
+        F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("source_group_id"), owner.alias("owner_user_id"), F.unhex(F.sha2(text, 256)).alias("original_image_sha256"),
+        F.col("n_chars").cast("int").alias("image_width"), (F.col("n_chars") % 50).cast("int").alias("image_height"),
+        F.when(F.col("lang") == "fr", F.lit("hidden")).otherwise(F.lit("active")).alias("status"),
+    )
+    md5, sha = F.unhex(F.md5(text)), F.unhex(F.sha2(text, 256))
+    tag = F.substring(md5, F.lit(1), F.when(F.col("lang") == "es", F.lit(7)).otherwise(F.lit(8)))
+    rows = docs.select(
+        F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), F.concat(F.lit("g"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("source_group_id"),
+        owner.alias("owner_user_id"), F.concat("source", F.lit("-"), (F.col("n_chars") % 100).cast("string")).alias("trace_id"), tag.alias("auth_tag"), F.lit("active").alias("status"),
+        md5.alias("original_file_md5"), md5.alias("watermarked_file_md5"), sha.alias("original_file_sha256"), sha.alias("watermarked_file_sha256"), sha.alias("original_pixel_sha256"), sha.alias("watermarked_pixel_sha256"),
+    )
+    return {"source_groups": groups, "v4_records": rows}
+
+
+@query(
+    "constraint_violations",
+    """WITH d AS (SELECT *, doc_id % 7 AS owner, doc_id - doc_id % 2 AS g, source || '-' || n_chars % 100 AS trace, substr(upper(md5(text)), 1, CASE lang WHEN 'es' THEN 14 ELSE 16 END) AS tag FROM documents)
+       SELECT 'source_groups' AS "table", 'check' AS kind, 'positive_dimensions' AS rule, 'g' || doc_id AS row_key FROM d WHERE n_chars % 50 = 0
+       UNION ALL SELECT 'source_groups', 'check', 'known_status', 'g' || doc_id FROM d WHERE lang = 'fr'
+       UNION ALL SELECT 'source_groups', 'unique', 'owner_sha256', owner || '|' || upper(sha256(text)) FROM d GROUP BY owner, sha256(text) HAVING count(*) > 1
+       UNION ALL SELECT 'v4_records', 'check', 'auth_tag_length', 'r' || doc_id FROM d WHERE lang = 'es'
+       UNION ALL SELECT 'v4_records', 'unique', 'owner_trace', owner || '|' || trace FROM d GROUP BY owner, trace HAVING count(*) > 1
+       UNION ALL SELECT 'v4_records', 'unique', 'group_tag', 'g' || g || '|' || tag FROM d GROUP BY g, tag HAVING count(*) > 1
+       UNION ALL SELECT 'v4_records', 'foreign', 'group_owner', 'r' || doc_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d p WHERE p.doc_id = d.g AND p.owner = d.owner)""",
+)
+def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything in a registry made of the documents that breaks the declared rules, by kind."""
+    return matching.constraint_violations(_registry_tables(spark, folder))
+
+
 _BOX_SQL = """boxes AS (SELECT l_orderkey AS image_id, 1920 AS image_width, 1080 AS image_height, l_partkey % 1800 AS "left", l_suppkey * 9 AS top,
    l_partkey % 1800 + CAST(l_quantity * 8 AS BIGINT) AS "right", l_suppkey * 9 + CAST(l_quantity * 6 AS BIGINT) AS bottom FROM lineitem)"""
 
@@ -710,11 +746,10 @@ def unique_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """Authenticated hits of each suspect reduced to success, ambiguous or not found."""
     asked = suspects(spark, folder)
     files = matching.file_digests(filters.active_only(records(spark, folder))).select("record_id", "owner_user_id", "md5", "sha256").distinct()
-    # One row per digest and owner with its smallest two records decides the count rule.
-    two = files.groupBy("owner_user_id", "md5", "sha256").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    # The two smallest records of a digest and owner decide the outcome; a digest shared by many records stays short.
+    two = files.groupBy("owner_user_id", "md5", "sha256").agg(F.array_distinct(F.array(F.min("record_id"), F.max("record_id"))).alias("ids"))
     joined = asked.join(two, ["md5", "sha256"]).where(F.col("cross_owner") | (F.col("user_id") == F.col("owner_user_id")))
-    counted = joined.groupBy("query_id").agg(F.sum("n").alias("n"), F.min("a").alias("r"))
-    return matching.outcome_columns(asked.select("query_id").join(counted, "query_id", "left"), "n", "r")
+    return evidence.unique_outcome(joined.select("query_id", F.explode("ids").alias("record_id")), asked)
 
 
 @query(
