@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text
 from provena.operators.filters import not_deleted
@@ -45,13 +45,17 @@ def sorted_listing(records: DataFrame, mode: str = "created_desc") -> DataFrame:
 
 
 def page(records: DataFrame, order: Sequence[str | Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """Rows of one page; the page number is clamped to the last page. ``order`` ends in a unique column."""
-    placed = ranked(records, [], order, "row_no", "_total")
-    last = F.greatest(F.lit(1), F.ceil(F.col("_total") / size))
-    wanted = F.least(F.greatest(F.lit(number), F.lit(1)), last)
-    return placed.where(
-        (F.col("row_no") > (wanted - 1) * size) & (F.col("row_no") <= wanted * size)
-    ).withColumn("page", wanted.cast("bigint")).withColumn("total_pages", last.cast("bigint")).drop("_total")
+    """Rows of one page; the page number is clamped to the last page. ``order`` ends in a unique column.
+
+    A count and a top of ``page * size`` rows: every task keeps no more, and nothing is written.
+    """
+    last = max(1, -(-records.count() // size))
+    wanted = min(max(number, 1), last)
+    skipped = (wanted - 1) * size
+    rows = records.orderBy(*order).offset(skipped).limit(size)
+    # At most ``size`` rows are left for the window.
+    placed = rows.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("bigint") + skipped)
+    return placed.withColumn("page", F.lit(wanted).cast("bigint")).withColumn("total_pages", F.lit(last).cast("bigint"))
 
 
 def position_index(records: DataFrame) -> DataFrame:
