@@ -205,7 +205,7 @@ def generate_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
     groups = spark.createDataFrame([], "source_group_id string, owner_user_id int, original_image_sha256 binary, image_width int, image_height int")
     stored = spark.createDataFrame([], "source_group_id string, auth_tag binary, status string")
-    made = generate.generate_batch(requests, groups, stored, "key-1", KEY)
+    made = generate.generate_batch(requests, groups, stored, "key-1", KEY, generate.Versions("m", "f", "v"))
     rows = made["v4_records"].where(F.octet_length("watermarked_pixel_sha256") == 32)
     return rows.select("request_id", "owner_user_id", "trace_id", F.hex("auth_tag").alias("auth_tag"))
 
