@@ -32,11 +32,10 @@ def file_digests(records: DataFrame, order: str | None = None, with_pixels: bool
     return records.select("record_id", *extra, *[c for c in ("owner_user_id",) if c in records.columns], F.inline(F.array(*kinds)))
 
 
-def exact_file_match(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """Verdict per query from (md5, sha256) equality with either stored file of an active record.
+def digest_index(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active records by digest pair, per owner and over all owners: record count and smallest id.
 
-    The registry is first reduced to one row per digest pair (record count, smallest id), so a
-    digest shared by very many records never multiplies rows. Queries carry their own scope.
+    A digest shared by very many records is one row, so it never multiplies rows of a lookup.
     """
     files = (
         file_digests(records.where(F.col("status") == "active"))
@@ -46,9 +45,16 @@ def exact_file_match(queries: DataFrame, records: DataFrame) -> DataFrame:
     by_owner = files.groupBy("owner_user_id", "md5", "sha256").agg(
         F.count(F.lit(1)).alias("n_records"), F.min("record_id").alias("first_id")
     )
-    by_all = by_owner.groupBy("md5", "sha256").agg(
-        F.sum("n_records").alias("n_records"), F.min("first_id").alias("first_id")
-    )
+    return by_owner, by_owner.groupBy("md5", "sha256").agg(F.sum("n_records").alias("n_records"), F.min("first_id").alias("first_id"))
+
+
+def exact_file_match(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """Verdict per query from (md5, sha256) equality with either stored file of an active record; queries carry their scope."""
+    return indexed_file_match(queries, *digest_index(records))
+
+
+def indexed_file_match(queries: DataFrame, by_owner: DataFrame, by_all: DataFrame) -> DataFrame:
+    """``exact_file_match`` against a registry that ``digest_index`` has reduced."""
     scoped = queries.where(~F.col("cross_owner")).join(
         by_owner.withColumnRenamed("owner_user_id", "user_id"), ["user_id", "md5", "sha256"], "left"
     )

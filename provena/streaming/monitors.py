@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provena.operators.listing import keep_latest
-from provena.operators.matching import exact_file_match
+from provena.operators.matching import digest_index, indexed_file_match
+from provena.session import cut_lineage
 
 THROTTLE_LIMIT, THROTTLE_WINDOW = 5, "300 seconds"
 IDLE_SECONDS, ABSOLUTE_SECONDS = 1800, 86400
@@ -81,6 +82,29 @@ def late_events(batch: DataFrame, watermark: Column, event_time: str = "ts") ->
     return batch.where(F.col(event_time) < watermark)
 
 
+def late_sink(events: DataFrame, folder: str, delay: str = "10 minutes", event_time: str = "ts") -> None:
+    """Drain a stream and keep the rows that come later than the watermark allows in ``folder``/late.
+
+    The watermark of a micro-batch is the latest event time of the batches before it, less the delay. Each batch
+    leaves its rows and its latest time below its own number, so that a re-run batch replaces itself.
+    """
+    marks = f"batch_id bigint, latest {events.schema[event_time].dataType.simpleString()}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        latest = None
+        if batch_id:
+            seen = batch.sparkSession.read.schema(marks).option("recursiveFileLookup", True).parquet(f"{folder}/marks")
+            latest = seen.where(F.col("batch_id") < batch_id).agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("w")).first().w
+        limit = F.lit(latest).cast(events.schema[event_time].dataType)
+        late_events(batch, limit, event_time).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        own = batch.agg(F.max(event_time).alias("latest")).select(F.lit(batch_id).cast("bigint").alias("batch_id"), "latest")
+        own.write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+        batch.unpersist()
+
+    events.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
 # --- sessions ------------------------------------------------------------------------------------
 
 SESSION_STATE = "issued double, last double, user bigint, revoked boolean, known boolean"
@@ -207,9 +231,10 @@ def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds
 
 def exact_match_stream(suspects: DataFrame, records: DataFrame, delay: str = "1 hour") -> DataFrame:
     """suspects: ts, query_id, user_id, cross_owner, md5, sha256. Repeated content within the
-    watermark is answered once; the registry is a static table reduced to one row per digest."""
+    watermark is answered once; the registry is reduced to one row per digest, once for all micro-batches."""
+    by_owner, by_all = (cut_lineage(index) for index in digest_index(records))
     once = suspects.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "cross_owner", "md5", "sha256"])
-    return exact_file_match(once.drop("ts"), records)
+    return indexed_file_match(once.drop("ts"), by_owner, by_all)
 
 
 def audit_append(events: DataFrame) -> DataFrame:

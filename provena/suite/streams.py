@@ -133,10 +133,21 @@ def audit_append(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("event_id", "actor_user_id", "action")
 
 
+ARRIVALS = 4
+
+
 @query(
     "late_events",
-    "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'",
+    f"""WITH a AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_id % 101 % {ARRIVALS} AS arrival FROM events),
+       m AS (SELECT arrival, max(ts) AS latest FROM a GROUP BY 1)
+       SELECT event_id FROM a WHERE ts < (SELECT max(latest) FROM m WHERE m.arrival < a.arrival) - INTERVAL 10 DAY""",
 )
 def late_events(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return monitors.late_events(rows, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id")
+    """Events dealt into four arrivals, one micro-batch each; what is ten days late goes to the side table."""
+    out = work_folder(spark, "late")
+    rows = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 101 % ARRIVALS).alias("arrival"))
+    for arrival in range(ARRIVALS):
+        rows.where(F.col("arrival") == arrival).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    monitors.late_sink(stream, out, "10 days")
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{out}/late").select("event_id")
