@@ -2,12 +2,13 @@
 
 Archives are text files whose line separator is the end of a record, so Spark's own writer makes them. A block
 longer than a segment goes out as a first record and continuations; a segment bounds the size of a record, and
-records per file bound the size of an archive. Reading parses whole archives, groups segments by the id of their
+records per file bound the size of an archive. Archives are gzipped. Reading parses whole archives, groups segments by the id of their
 origin, orders them by number, verifies the total length and takes the chunked framing off.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -20,6 +21,7 @@ from provena.llm import common
 SEGMENT_BYTES, FRAME_BYTES, FILE_RECORDS = 4096, 1000, 2048
 REVISIT_FROM = 1000
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b"
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -84,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     """Write pages(page_id, url, payload, digest, refers_to) below ``path``; rows with ``refers_to`` become revisits."""
     records = pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda b: _records(b, segment), "value binary")
     # Bytes pass through unchanged: the cast relabels them, and the writer copies them.
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +95,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             data, at, rows, held = content.as_buffer().to_pybytes(), 0, [], 0
+            if data.startswith(GZIP):
+                data = gzip.decompress(data)
             while data.startswith(b"WARC/", at):
                 stop = data.index(END, at)
                 fields = dict(line.split(": ", 1) for line in data[at:stop].decode().split("\r\n")[1:])
