@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from provena.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2 << 20
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0xD6E8FEB86659FD93
@@ -39,7 +40,13 @@ def written(frame: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: lineage ends, sizes are known."""
     spark = frame.sparkSession
     path = scratch_folder(spark)
-    frame.write.parquet(path)
+    # What was shuffled for the table is of no use once the table is written.
+    kept = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if kept is None else spark.conf.set(CLEAN_SHUFFLES, kept)
     table = spark.read.schema(frame.schema).parquet(path)
     table.scratch_path = path
     return table
