@@ -126,13 +126,21 @@ def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "recommend_config",
-    _CONFIG_SQL + """, ok AS (SELECT * FROM configs WHERE probe_recall >= 0.5)
-       SELECT 'PASS' AS verdict, fidelity, round(min_ssim, 6) AS min_ssim, round(min_psnr, 6) AS min_psnr, probe_recall FROM ok ORDER BY min_ssim DESC, min_psnr DESC, probe_recall DESC, fidelity DESC LIMIT 1""",
+    """WITH c AS (SELECT l_orderkey / 10.0 AS fidelity, l_extendedprice / 1000 AS psnr, 1 - l_tax AS ssim, l_linestatus = 'O' AS marked, l_discount > 0.03 AS success, l_discount > 0.03 AND l_tax < 0.07 AS correct FROM lineitem),
+       g AS (SELECT CAST(fidelity AS DOUBLE) AS fidelity, min(psnr) AS min_psnr, min(ssim) AS min_ssim, bool_and(psnr >= 2 AND ssim >= 0.95) AS quality_pass, count(*) FILTER (marked AND success AND NOT correct) AS wrong,
+                count(*) FILTER (NOT marked AND success) AS false_positive, coalesce(round(count(*) FILTER (marked AND correct) / nullif(count(*) FILTER (marked), 0), 6), 0) AS probe_recall FROM c GROUP BY 1)
+       SELECT 'PASS' AS verdict, fidelity, round(min_ssim, 6) AS min_ssim, round(min_psnr, 6) AS min_psnr, probe_recall FROM g
+       WHERE quality_pass AND wrong = 0 AND false_positive = 0 AND probe_recall >= 0.95 ORDER BY g.min_ssim DESC, g.min_psnr DESC, probe_recall DESC, fidelity DESC LIMIT 1""",
 )
 def recommend_config(spark: SparkSession, folder: str) -> DataFrame:
-    """Driver cases never pass every gate, so only the recall gate is asked here."""
-    rows = _configs(spark, folder).withColumn("quality_pass", F.lit(True)).withColumn("wrong", F.lit(0)).withColumn("false_positive", F.lit(0))
-    best = summaries.recommend_config(rows, 0.5)
+    """Orders as configurations: each of the four gates turns some of them down."""
+    lines = table(spark, folder, "lineitem").withColumn("fidelity", F.col("l_orderkey") / 10.0)
+    quality = lines.select("fidelity", (F.col("l_extendedprice") / 1000).alias("psnr"), (1 - F.col("l_tax")).alias("ssim")).withColumn("pass", gates.quality_pass(2.0, 0.95))
+    found = F.col("l_discount") > 0.03
+    probes = lines.select(
+        "fidelity", F.when(F.col("l_linestatus") == "O", F.lit("watermarked")).otherwise(F.lit("unwatermarked")).alias("case_type"), found.alias("success"), (found & (F.col("l_tax") < 0.07)).alias("correct_trace"),
+    )
+    best = summaries.recommend_config(summaries.config_summary(quality, probes))
     return best.withColumn("min_ssim", F.round("min_ssim", 6)).withColumn("min_psnr", F.round("min_psnr", 6))
 
 
@@ -304,23 +312,32 @@ def report_reusable(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "write_report",
-    "WITH " + CASES_SQL + """ SELECT attack AS report_id, 'attack' AS benchmark, 7 AS seed, count(*) AS total, count(*) FILTER (success) AS found,
-       CASE WHEN count(*) FILTER (success AND NOT correct_trace) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM cases GROUP BY 1""",
+    """WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) AS report_id, l_discount > 0.03 AS success, l_discount > 0.03 AND l_tax < 0.07 AS correct_trace, l_extendedprice AS detection_ms FROM lineitem)
+       SELECT report_id, 'attack' AS benchmark, 7 AS seed, count(*) AS total, count(*) FILTER (success) AS found,
+       CASE WHEN count(*) FILTER (success AND NOT correct_trace) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, count(*) AS case_rows, round(sum(detection_ms), 2) AS case_ms FROM c GROUP BY 1""",
 )
 def write_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested report documents per attack, read back from their JSON."""
-    m = cases(spark, folder).groupBy("attack").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("success").alias("found"), F.count_if(F.col("success") & ~F.col("correct_trace")).alias("wrong")
+    """Orders as reports with their lines as case rows (a few each), read back from their JSON."""
+    found = F.col("l_discount") > 0.03
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("report_id"), F.col("l_linestatus").alias("case_type"), found.alias("success"),
+        (found & (F.col("l_tax") < 0.07)).alias("correct_trace"), F.col("l_extendedprice").alias("detection_ms"),
+    )
+    m = rows.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("success").alias("found"), F.count_if(F.col("success") & ~F.col("correct_trace")).alias("wrong"),
+        F.collect_list(F.struct("case_type", "success", "correct_trace", "detection_ms")).alias("cases"),
     )
     verdict = F.when(F.col("wrong") > 0, F.lit("FAIL")).otherwise(F.lit("PASS"))
     body = sinks.report_rows(
-        F.col("attack"), F.struct(F.lit("attack").alias("benchmark"), F.lit(7).alias("seed")), F.struct("total", "found"), F.array(F.struct(F.col("attack"))),
+        F.col("report_id"), F.struct(F.lit("attack").alias("benchmark"), F.lit(7).alias("seed")), F.struct("total", "found"), F.col("cases"),
         F.struct(F.lit(1).alias("rounds")), verdict, F.when(F.col("wrong") > 0, F.array(F.lit("wrong_trace"))).otherwise(F.array().cast("array<string>")),
     )
     get = lambda p, t: F.get_json_object("report", p).cast(t)
+    back = F.from_json(F.get_json_object("report", "$.cases"), "array<struct<case_type:string,detection_ms:double>>")
     return m.select(*body).select(
         "report_id", get("$.metadata.benchmark", "string").alias("benchmark"), get("$.metadata.seed", "int").alias("seed"), get("$.summary.total", "bigint").alias("total"),
-        get("$.summary.found", "bigint").alias("found"), get("$.verdict", "string").alias("verdict"),
+        get("$.summary.found", "bigint").alias("found"), get("$.verdict", "string").alias("verdict"), F.size(back).cast("bigint").alias("case_rows"),
+        F.round(F.aggregate(back, F.lit(0.0), lambda n, c: n + c["detection_ms"]), 2).alias("case_ms"),
     )
 
 
