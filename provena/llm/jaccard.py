@@ -12,7 +12,8 @@ only links which join something new, so a large group of near copies costs no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ COUNT_BITS = 20
 # Tokens of up to this many classes make pairs; classes of a block in a cell of a family.
 PAIR_CLASSES, BLOCK_CLASSES = 32, 128
 _CHUNKS = 64
+_SALTS = [(j + 1) * 0x632BE59BD9B4E019 % (1 << 64) for j in range(8)]
 
 
 def shingle_sets(words: common.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +58,29 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-size * percent // 100) + 1
 
 
-def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of a partition by count bucket, in a fixed number of array rows."""
-    total = np.zeros(1 << COUNT_BITS, np.int32)
+def _bucket(tokens: np.ndarray, order: int) -> np.ndarray:
+    return (common.mixed(tokens ^ np.uint64(_SALTS[order])) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], shingle: int, orders: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of a partition by count bucket of each order, in a fixed number of packed rows."""
+    total = np.zeros((orders, 1 << COUNT_BITS), np.int32)
     for batch in batches:
         for part in common.chunks(batch, "text"):
             tokens, _ = shingle_sets(common.Words(part.column("text"), common.WHITE_LOWER), shingle)
-            total += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+            for j in range(orders):
+                total[j] += np.bincount(_bucket(tokens, j), minlength=total.shape[1]).astype(np.int32)
     if total.any():
-        yield common.batch_of(["slice", "counts"], [np.arange(_CHUNKS, dtype=np.int32), pa.array([x.tobytes() for x in np.split(total, _CHUNKS)], pa.binary())])
+        yield _packed(enumerate(total.reshape(orders * _CHUNKS, -1)))
+
+
+def _packed(slices: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    numbers, counts = zip(*slices, strict=True)
+    return common.batch_of(["slice", "counts"], [np.array(numbers, np.int32), pa.array([zlib.compress(x.astype(np.int32).tobytes(), 1) for x in counts], pa.binary())])
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int32)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,26 +88,27 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for slice_, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(counts, np.int32).astype(np.int64)
+            own = _unpacked(counts).astype(np.int64)
             total[slice_] = total[slice_] + own if slice_ in total else own
     if total:
-        yield common.batch_of(["slice", "counts"], [pa.array(total, pa.int32()), pa.array([np.minimum(x, 1 << 30).astype(np.int32).tobytes() for x in total.values()], pa.binary())])
+        yield _packed((n, np.minimum(x, np.iinfo(np.int32).max)) for n, x in total.items())
 
 
-def token_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingle counts over all texts, in 2^20 buckets of the shingle hash (4 MB whatever the corpus)."""
-    rows = texts.select("text").mapInArrow(lambda b: _counts(b, shingle), "slice int, counts binary")
+def token_counts(texts: DataFrame, shingle: int, orders: int) -> np.ndarray:
+    """Shingle counts over all texts, in 2^20 buckets for each order (4 MB an order, whatever the corpus).
+
+    They only steer the orders: any counts give right results, better ones give shorter lists of candidates.
+    """
+    rows = texts.select("text").mapInArrow(lambda b: _counts(b, shingle, orders), "slice int, counts binary")
     rows = rows.repartition(_CHUNKS, "slice").mapInArrow(_added, "slice int, counts binary")
-    total = np.zeros((_CHUNKS, (1 << COUNT_BITS) // _CHUNKS), np.int32)
+    total = np.zeros((orders * _CHUNKS, (1 << COUNT_BITS) // _CHUNKS), np.int32)
     for row in rows.toLocalIterator():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int32)
-    return total.ravel()
+        total[row["slice"]] = _unpacked(row["counts"])
+    return total.reshape(orders, -1)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, orders: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "class", *[f"prefix{j}" for j in range(orders)]]
-    # Halving classes: rarer classes come first in every order, and each order breaks ties in its own way.
-    rarity = np.log2(np.maximum(counts, 1)).round().astype(np.uint64)
     for batch in batches:
         for part in common.chunks(batch, "text"):
             tokens, sizes = shingle_sets(common.Words(part.column("text"), common.WHITE_LOWER), shingle)
@@ -102,10 +119,10 @@ def _profiles(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, ord
             take = np.where(sizes > 0, prefix_length(sizes, percent), 0)
             begins = np.cumsum(sizes) - sizes
             index = np.repeat(begins - (np.cumsum(take) - take), take) + np.arange(take.sum())
-            rank = rarity[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(58)
             prefixes = []
             for j in range(orders):
-                place = rank | (common.mixed(tokens ^ np.uint64((j + 1) * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(6))
+                # Rare first by the counts of this order, ties by its hash.
+                place = counts[j][_bucket(tokens, j)].astype(np.uint64) << np.uint64(32) | common.mixed(tokens ^ np.uint64(_SALTS[j])) & np.uint64(0xFFFFFFFF)
                 prefixes.append(common.as_lists(common.signed(tokens[np.lexsort((place, owner))][index]), take))
             yield common.batch_of(names, [part.column("doc_id"), sizes.astype(np.int64), classes, *prefixes])
 
@@ -209,7 +226,7 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     """
     spark = documents.sparkSession
     texts = common.one_row_each(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    counts = spark.sparkContext.broadcast(token_counts(texts, shingle))  # 4 MB at any size
+    counts = spark.sparkContext.broadcast(token_counts(texts, shingle, orders))  # 4 MB an order at any size
     lists = [f"prefix{j}" for j in range(orders)]
     fields = "doc_id bigint, n_shingles bigint, class binary, " + ", ".join(f"{p} array<bigint>" for p in lists)
     profiles = common.written(texts.mapInArrow(lambda b: _profiles(b, shingle, percent, orders, counts.value), fields))
