@@ -209,7 +209,7 @@ def _cell(table: pa.Table, shingle: int, percent: int) -> pa.Table:
 
 def _compared(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """cells(node, label, family, left, right, side) with their texts, each cell compared in one task."""
-    own = texts.join(cells, F.col("doc_id") == F.col("node")).select("node", "label", "family", "left", "right", "side", "text")
+    own = texts.join(cells.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "label", "family", "left", "right", "side", "text")
     return common.written(own.groupBy("family", "left", "right").applyInArrow(lambda t: _cell(t, shingle, percent), "a bigint, b bigint"))
 
 
@@ -232,7 +232,8 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     profiles = common.written(texts.mapInArrow(lambda b: _profiles(b, shingle, percent, orders, counts.value), fields))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = common.written(profiles.where(linked).groupBy(F.col("class").alias("key")).agg(F.min("doc_id").alias("head")))
-    heads = profiles.join(classes.select(F.col("head").alias("doc_id")), "doc_id")
+    # Merge joins: what grows with the corpus is shuffled alike at every size.
+    heads = profiles.join(classes.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id")
 
     # Prefix tokens of the first order that several classes share.
     places = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode(lists[0]).alias("token"))
@@ -244,7 +245,7 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     pairs = few.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
     # The other orders: what shares nothing in one of their prefixes can't be similar enough.
     for p in lists[1:]:
-        one = heads.select(F.col("doc_id").alias("_id"), F.col(p).alias("_p"))
+        one = heads.select(F.col("doc_id").alias("_id"), F.col(p).alias("_p")).hint("merge")
         pairs = pairs.join(one, F.col("a") == F.col("_id")).select("a", "b", F.col("_p").alias("_q"))
         pairs = pairs.join(one, F.col("b") == F.col("_id")).where(F.arrays_overlap("_q", "_p")).select("a", "b")
     ties = shared.where((F.col("held") > PAIR_CLASSES) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
