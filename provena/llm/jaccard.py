@@ -209,7 +209,7 @@ def _cell(table: pa.Table, shingle: int, percent: int) -> pa.Table:
 
 def _compared(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """cells(node, label, family, left, right, side) with their texts, each cell compared in one task."""
-    own = texts.join(cells.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "label", "family", "left", "right", "side", "text")
+    own = texts.join(cells, F.col("doc_id") == F.col("node")).select("node", "label", "family", "left", "right", "side", "text")
     return common.written(own.groupBy("family", "left", "right").applyInArrow(lambda t: _cell(t, shingle, percent), "a bigint, b bigint"))
 
 
@@ -260,6 +260,9 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     own = placed.select("node", F.col("node").alias("label"), "family", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(2).alias("side"))
     first = placed.where("blocks > 1 and block > 0").select("node", F.col("node").alias("label"), "family", F.lit(0).alias("left"), F.col("block").alias("right"), F.lit(1).alias("side"))
     pivot = placed.where("blocks > 1 and block = 0").select("node", F.col("node").alias("label"), "family", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"))
+    # Texts move once, those of families alone; the cells read them from there.
+    members = placed.select(F.col("node").alias("_n")).hint("merge")
+    texts = common.written(texts.join(members, F.col("doc_id") == F.col("_n")).select("doc_id", "text"))
     links = _compared(own.union(first).union(pivot), texts, shingle, percent)
 
     # Large families: whoever is outside the largest part meets everyone else.
