@@ -63,6 +63,15 @@ RULES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "unlicense": ("Unlicense", ("unlicense",), ()),
 }
 
+# Sentences whose notices hold marks inside, and the words that a part after such a mark begins with. The sentence
+# is found whole, cut at all of these places, or at some of them.
+CUTS: dict[str, tuple[str, ...]] = {
+    "gpl-free": ("you can redistribute", "either version 3"),
+    "gpl2-free": ("you can redistribute", "either version 2"),
+    "gpl-warranty": ("without even",),
+    "mpl-notice": ("2 0",),
+}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A sentence ends at a mark before white space, or at a blank line. Single line ends only wrap it.
 BREAK = r"[.!?;:]+[ \t\r\n]+|\r?\n[ \t]*\r?\n"
@@ -83,25 +92,65 @@ def _check(sentences: dict[str, str], rules: dict) -> None:
             raise ValueError(f"rule {name} names unknown sentences or rules")
 
 
-def scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: dict | None = None) -> DataFrame:
+def _parts(text: str, starts: tuple[str, ...]) -> list[str]:
+    """A sentence cut before each of ``starts``."""
+    out = []
+    for start in starts:
+        head, found, tail = text.partition(f" {start}")
+        if not found:
+            raise ValueError(f"{start!r} is not inside its sentence")
+        out.append(head)
+        text = start + tail
+    return [*out, text]
+
+
+def _pieces(sentences: dict[str, str], cuts: dict[str, tuple[str, ...]]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Identifiers by text, of whole sentences and of runs of parts, and the part identifiers of each cut sentence.
+
+    Parts have identifiers of their own (``@`` and a number), by their text: sentences may share them.
+    """
+    ids: dict[str, str] = {}
+    wholes = {name: [(part, ids.setdefault(part, f"@{len(ids)}")) for part in _parts(sentences[name], starts)] for name, starts in cuts.items()}
+    known = {}
+    for parts in wholes.values():
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                known[" ".join(text for text, _ in parts[i:j])] = [id_ for _, id_ in parts[i:j]]
+    known |= {text: [name] for name, text in sentences.items()}
+    return known, {name: [id_ for _, id_ in parts] for name, parts in wholes.items()}
+
+
+def scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: dict | None = None, cuts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Licences of documents(doc_id, text): ``doc_id, sentences`` (identifiers found, in order), ``rules`` (rules that
     match, sorted) and ``licenses`` (their licences, sorted).
 
     Sentences are read twice, cut at every line end and cut at blank lines only, so that wrapped sentences and short
-    lines are both found; the second reading adds what spans lines. Null and empty texts give empty lists; each row
-    gives a row, repeated ones too; other columns are ignored.
+    lines are both found; the second reading adds what spans lines. A sentence of ``cuts`` is also found in parts that
+    follow each other, with nothing known between them; parts alone are no sentence. Null and empty texts give empty
+    lists; each row gives a row, repeated ones too; other columns are ignored.
     """
+    if cuts is None:
+        cuts = CUTS if sentences is None else {}
     sentences = SENTENCES if sentences is None else sentences
     rules = RULES if rules is None else rules
     _check(sentences, rules)
-    known = F.create_map(*[F.lit(x) for name, text in sentences.items() for x in (text, name)])
+    pieces, wholes = _pieces(sentences, cuts)
+    known = F.create_map(*[F.lit(x) for text, ids in pieces.items() for x in (text, "><".join(ids))])
     # Texts without any first three words of a known sentence need no cutting. The words may be wrapped.
     starts = sorted({r"[^a-z0-9]+".join(s.split()[:3]) for s in sentences.values()})
     likely = F.translate("text", UPPER, LOWER).rlike("|".join(starts))
 
     def found(pattern: str) -> Column:
         ids = F.transform(F.split("text", pattern), lambda s: F.element_at(known, normal(F.regexp_replace(s, r"[.!?;:]+$", ""))))
-        return F.filter(ids, lambda i: i.isNotNull())
+        return whole(F.filter(ids, lambda i: i.isNotNull()))
+
+    def whole(ids: Column) -> Column:
+        """Parts that follow each other joined to their sentence; other parts go."""
+        text = F.concat(F.lit("<"), F.array_join(ids, "><"), F.lit(">"))
+        for name, parts in wholes.items():
+            text = F.replace(text, F.lit(f"<{'><'.join(parts)}>"), F.lit(f"<{name}>"))
+        text = F.regexp_replace(F.regexp_replace(text, "<@[0-9]+>", ""), "^<|>$", "")
+        return F.when(F.exists(ids, lambda i: i.startswith("@")), F.filter(F.split(text, "><"), lambda i: i != "")).otherwise(ids)
 
     none = F.expr("cast(array() as array<string>)")
     lines, blocks = F.when(likely, found(LINE_BREAK)), F.when(likely, found(BREAK))
