@@ -125,7 +125,7 @@ def scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: d
     match, sorted) and ``licenses`` (their licences, sorted).
 
     Sentences are read twice, cut at every line end and cut at blank lines only, so that wrapped sentences and short
-    lines are both found; the second reading adds what spans lines. A sentence of ``cuts`` is also found in parts that
+    lines are both found; what both readings find is put in one order by place. A sentence of ``cuts`` is also found in parts that
     follow each other, with nothing known between them; parts alone are no sentence. Null and empty texts give empty
     lists; each row gives a row, repeated ones too; other columns are ignored.
     """
@@ -135,14 +135,20 @@ def scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: d
     rules = RULES if rules is None else rules
     _check(sentences, rules)
     pieces, wholes = _pieces(sentences, cuts)
+    none = F.expr("cast(array() as array<string>)")
     known = F.create_map(*[F.lit(x) for text, ids in pieces.items() for x in (text, "><".join(ids))])
     # Texts without any first three words of a known sentence need no cutting. The words may be wrapped.
     starts = sorted({r"[^a-z0-9]+".join(s.split()[:3]) for s in sentences.values()})
     likely = F.translate("text", UPPER, LOWER).rlike("|".join(starts))
 
-    def found(pattern: str) -> Column:
-        ids = F.transform(F.split("text", pattern), lambda s: F.element_at(known, normal(F.regexp_replace(s, r"[.!?;:]+$", ""))))
-        return whole(F.filter(ids, lambda i: i.isNotNull()))
+    def known_id(piece: Column) -> Column:
+        return F.element_at(known, normal(piece))
+
+    # Blocks of the second reading; the first cuts each of them at its line ends.
+    read = F.transform(F.split("text", BREAK), lambda b: F.struct(known_id(b).alias("block"), F.when(b.contains("\n"), F.filter(F.transform(F.split(b, "\r?\n"), known_id), lambda i: i.isNotNull())).alias("lines")))
+    # A block begins where its first line does, so its own identifier goes first. Equal to that of a line, it is that
+    # line: all others are empty then.
+    found = F.flatten(F.transform(read, lambda r: F.array_compact(F.concat(F.when(F.array_contains(r["lines"], r["block"]), none).otherwise(F.array(r["block"])), F.coalesce(r["lines"], none)))))
 
     def whole(ids: Column) -> Column:
         """Parts that follow each other joined to their sentence; other parts go."""
@@ -152,10 +158,8 @@ def scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: d
         text = F.regexp_replace(F.regexp_replace(text, "<@[0-9]+>", ""), "^<|>$", "")
         return F.when(F.exists(ids, lambda i: i.startswith("@")), F.filter(F.split(text, "><"), lambda i: i != "")).otherwise(ids)
 
-    none = F.expr("cast(array() as array<string>)")
-    lines, blocks = F.when(likely, found(LINE_BREAK)), F.when(likely, found(BREAK))
-    rows = documents.select("doc_id", F.coalesce(lines, none).alias("_lines"), F.coalesce(blocks, none).alias("_blocks"))
-    rows = rows.select("doc_id", F.when(F.size("_blocks") > F.size("_lines"), F.col("_blocks")).otherwise(F.col("_lines")).alias("sentences"))
+    rows = documents.select("doc_id", F.coalesce(F.when(likely, found), none).alias("_found"))
+    rows = rows.select("doc_id", whole(F.col("_found")).alias("sentences"))
     text = F.concat(F.lit("<"), F.array_join("sentences", "><"), F.lit(">"))
     hits = [F.when(text.like("%" + "%".join(f"<{p}>" for p in parts) + "%"), F.lit(name)) for name, (_, parts, _) in sorted(rules.items())]
     rows = rows.withColumn("_all", F.array_compact(F.array(*hits)) if hits else none)
