@@ -64,17 +64,44 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def one_row_each(texts: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row an id: of rows that repeat an id, the least text stands for all."""
-    return distinct_rows(texts, "doc_id")
-
-
-def distinct_rows(frame: DataFrame, key: str) -> DataFrame:
-    """One row a key, the least of those that repeat it. Nothing moves where no key repeats."""
-    if frame.groupBy(key).count().where("count > 1").isEmpty():
-        return frame
-    others = [c for c in frame.columns if c != key]
-    return frame.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(*[c if c == key else F.col(f"_r.{c}").alias(c) for c in frame.columns])
+def ids_repeat(frame: DataFrame, key: str) -> bool:
+    """Whether several rows share an id or have none."""
+    return not frame.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def numbered(frame: DataFrame, key: str) -> DataFrame:
+    """The rows with ``_row``, unique numbers in the order of ``key`` (nulls last), written as a table."""
+    parts = [F.xxhash64(*[c for c in frame.columns if c != key]), F.monotonically_increasing_id()]
+    ordered = frame.select("*", *[p.alias(f"_o{i}") for i, p in enumerate(parts)]).orderBy(F.asc_nulls_last(key), "_o0", "_o1")
+    return written(ordered.select(*frame.columns, F.monotonically_increasing_id().alias("_row")))
+
+
+def folded(frame: DataFrame, key: str, content: list[str], nulls: bool = False) -> DataFrame:
+    """One row for all that are equal in ``key`` and ``content``, the least; rows without key stay as they are, unless
+    ``nulls`` has them folded by content."""
+    keys = [key, *content]
+    rest = [c for c in frame.columns if c not in keys]
+    known = frame if nulls else frame.where(F.col(key).isNotNull())
+    if rest:
+        least = known.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r"))
+        known = least.select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in frame.columns])
+    else:
+        known = known.distinct()
+    return known if nulls else known.unionByName(frame.where(F.col(key).isNull()))
+
+
+def own_rows(frame: DataFrame, fold: bool = True, nulls: bool = False) -> DataFrame:
+    """Documents with ``_row``, a number of their own: the id, where no two rows share one or have none. Else rows equal
+    in id and text are folded (if ``fold``) and the rows are numbered in the order of their ids."""
+    if not ids_repeat(frame, "doc_id"):
+        return frame.withColumn("_row", F.col("doc_id"))
+    return numbered(folded(frame, "doc_id", ["text"], nulls) if fold else frame, "doc_id")
+
+
+def renamed(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Results by row number (as ``doc_id``) under the ids of the numbered rows(doc_id, _row)."""
+    ids = rows.select(F.col("_row").alias("_n"), F.col("doc_id").alias("_id"))
+    return found.join(ids, F.col("doc_id") == F.col("_n")).select(*[F.col("_id").alias(c) if c == "doc_id" else c for c in found.columns])
 
 
 def rekeyed(column: str) -> Column:

@@ -218,14 +218,23 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
     Takes documents(doc_id long, text); other columns are ignored. Two documents link when 100 * intersection >=
     percent * union of their sets of distinct ``shingle``-word shingles (words: runs of anything but ASCII white
-    space, A-Z in lower case; a text of fewer words is one shingle). Returns one row a document id: ``doc_id,
+    space, A-Z in lower case; a text of fewer words is one shingle). Returns one row a document: ``doc_id,
     n_shingles, class_id`` (least id of the same set) and ``component_id`` (least id reachable by links).
 
-    Null, empty and wordless texts have no shingles and link with nothing. A row with a null id links with nothing.
-    Rows that repeat an id are one document (of its least text); an empty table gives no rows.
+    Null, empty and wordless texts have no shingles and link with nothing. A row with a null id is a document of its own
+    that links with nothing. Rows equal in id and text are one document, other texts under the same id are documents
+    of their own. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    texts = common.one_row_each(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if common.ids_repeat(texts.where("doc_id is not null"), "doc_id"):
+        rows = common.numbered(common.folded(texts, "doc_id", ["text"]), "doc_id")
+        found = similar_sets(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), shingle, percent, orders)
+        # Numbers have the order of the ids, so the least number of a group is that of its least id.
+        for name in ("doc_id", "class_id", "component_id"):
+            ids = rows.select(F.col("_row").alias(name), F.col("doc_id").alias("_id"))
+            found = common.skew_join(found, ids, name, "left").drop(name).withColumnRenamed("_id", name)
+        return found.select("doc_id", "n_shingles", "class_id", "component_id")
     counts = spark.sparkContext.broadcast(token_counts(texts, shingle, orders))  # 4 MB an order at any size
     lists = [f"prefix{j}" for j in range(orders)]
     fields = "doc_id bigint, n_shingles bigint, class binary, " + ", ".join(f"{p} array<bigint>" for p in lists)

@@ -119,17 +119,20 @@ def _cleaned(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def repeated_windows(documents: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Words covered by a window of ``window`` words that also starts elsewhere, and the text without them.
 
-    Takes documents(doc_id, text); other columns are ignored. Returns one row a document id: ``doc_id, n_words,
+    Takes documents(doc_id, text); other columns are ignored. Returns one row a document: ``doc_id, n_words,
     n_removed, digest`` (SHA-256 of the kept words joined by a space), ``spans`` (start and length in words of what
     was removed; null if all words went with a copy of the whole text) and, with ``with_text``, ``kept`` (the kept
     words; null where nothing was removed: the text stands as it is).
 
     Words are runs of anything but ASCII white space. Windows are judged on the input, in all documents and in
-    the same one. Null and empty texts have no words; rows that repeat an id are one
-    document (of its least text); an empty table gives no rows.
+    the same one. Null and empty texts have no words. Rows equal in id and text are one document; other texts
+    under the same id and rows without id are documents of their own. An empty table gives no rows.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    texts = common.one_row_each(documents.select("doc_id", "text"))
+    texts = documents.select("doc_id", "text")
+    if common.ids_repeat(texts, "doc_id"):
+        rows = common.numbered(common.folded(texts, "doc_id", ["text"]), "doc_id")
+        return common.renamed(repeated_windows(rows.select(F.col("_row").alias("doc_id"), "text"), window, with_text), rows)
     profile = common.written(texts.mapInArrow(lambda b: _profile(b, window), f"doc_id {kind}, n_words bigint, class binary, digest string, prints array<bigint>"))
     classes = common.written(profile.groupBy("class").agg(F.min(F.struct("doc_id")).alias("head"), F.count("*").alias("copies")))
     same = F.col("doc_id").eqNullSafe(F.col("_doc"))

@@ -160,14 +160,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_plan(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """pages(page_id, url, html) with ``payload, digest, refers_to``: of equal payloads of at least
-    ``revisit_from`` bytes the row with the largest id is the response, the others refer to it."""
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
+    ``revisit_from`` bytes the row with the largest id is the response, the others refer to it.
+
+    With a column ``_row`` (numbers in the order of the ids), records are named by id and number."""
+    own = ["_row"] if "_row" in pages.columns else []
+    rows = pages.select("page_id", *own, "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.length("payload") >= revisit_from)
-    heads = large.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null").select("digest", "head")
+    last = [F.max(F.when(F.col("page_id").isNotNull(), F.col(c))).alias("_head_row") for c in own]
+    heads = large.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies"), *last).where("copies > 1 and head is not null").drop("copies")
     # A written table has a known size: a short list of heads is broadcast and the payloads stay where they are; a
     # long one is shuffled with the pages, where a hot digest can be split.
     found = rows.join(common.written(heads), "digest", "left")
-    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
+    found = found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")))
+    if own:
+        name = lambda id_, row: F.concat(F.coalesce(F.concat(F.col(id_).cast("string"), F.lit("#")), F.lit("")), F.col(row))
+        found = found.withColumns({"page_id": name("page_id", "_row"), "refers_to": F.when(F.col("refers_to").isNotNull(), name("refers_to", "_head_row"))})
+    return found.drop("head", "_row", "_head_row")
 
 
 def round_trip(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> DataFrame:
@@ -175,11 +183,14 @@ def round_trip(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> Dat
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, problem``, all taken from the archives.
 
     A null html is an empty payload, a null url becomes about:blank, a null page_id is a page of its own (one that
-    never is the response of others). Rows that repeat an id are one page, of their least content. An empty table
-    gives no rows; other columns are ignored.
+    never is the response of others). Rows equal in id, url and html are one page, other content under the same id is a
+    page of its own. An empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    rows = common.distinct_rows(pages.select("page_id", "url", "html"), "page_id")
+    rows = pages.select("page_id", "url", "html")
+    repeat = common.ids_repeat(rows, "page_id")
+    if repeat:
+        rows = common.numbered(common.folded(rows, "page_id", ["url", "html"]), "page_id")
     write_archives(archive_plan(rows), path, segment)
     records = read_archives(spark, path).select("record_id", "type", "refers_to", "digest", F.length("payload").cast("bigint").alias("bytes"), "problem")
     records = common.written(records)
@@ -189,7 +200,9 @@ def round_trip(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> Dat
     kind = pages.schema["page_id"].dataType
 
     def page(name: str, alias: str):
-        return F.regexp_replace(name, "^" + URN, "").try_cast(kind).alias(alias)
+        bare = F.regexp_replace(name, "^" + URN, "")
+        # A page without id has a number only.
+        return (F.when(bare.rlike("#[0-9]+$"), F.regexp_replace(bare, "#[0-9]+$", "")) if repeat else bare).try_cast(kind).alias(alias)
 
     both = records.where("type = 'response'").select(revisits.columns).unionByName(revisits)
     return both.select(page("record_id", "page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to", "refers_to"), "problem")
