@@ -97,14 +97,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     ``items`` (ids of items with a window in the text, sorted as strings).
 
     Null or empty texts have no words and no hits; an item without words is never found. Rows equal in id
-    and text are one document; other texts under the same id and rows without id are documents of their own. Items with an id of null are not reported. Empty tables give empty results or no hits.
+    and text are one document; other texts under the same id and rows without id are documents of their own. Items with an id of null count as hits, only their
+    id is not listed. Empty tables give empty results or no hits.
     """
     doc_type, item_type = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     texts = documents.select("doc_id", "text")
     if common.ids_repeat(texts, "doc_id"):
         rows = common.numbered(common.folded(texts, "doc_id", ["text"]), "doc_id")
         return common.renamed(contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window), rows)
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
+    items = benchmark.select("item_id", "text")
     items = common.written(items.mapInArrow(lambda b: _item_rows(b, window), f"item_id {item_type}, span int, kind int, h1 bigint, h2 bigint"))
     spans = sorted(r.span for r in items.select("span").distinct().collect())  # at most ``window`` values
     prints = common.written(items.where("kind = 1").select("span", F.col("h1").alias("print")).distinct())
