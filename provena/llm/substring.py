@@ -4,7 +4,9 @@
 2. Every class keeps the least 18-gram of each sliding 35-word window (winnowing), so two places of one
    window keep the same phrase. Phrases kept at two places or more are the recurring phrases.
 3. The documents that hold recurring phrases are dealt into shards. Each shard compiles its phrases into an
-   Aho-Corasick automaton (pyahocorasick over one symbol a word) and streams its documents through it.
+   Aho-Corasick automaton (pyahocorasick over one symbol a word) and streams its documents through it. The words
+   of the phrases are looked up in the shard's own documents by rolling hash, which already locates every place;
+   the automaton finds the same places again, and more where two words share a symbol.
 4. The windows around the occurrences are confirmed by counting their 96-bit hashes over all documents.
 
 Automata stay as small as a shard, so the work grows in proportion to the corpus.
