@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from provena.llm import bpe, common, decontaminate, jaccard, language, licenses, quality, substring, topk, toxicity, warc
+from provena.llm import bpe, centroids, common, decontaminate, jaccard, language, licenses, quality, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +150,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept,
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Vectors as (vec_id, place, x) rows; one assignment and one mean a round."""
+    steps = [
+        """WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, e AS c FROM v
+  ORDER BY sha256('1:' || vec_id) LIMIT 16)"""
+    ]
+    gap = "list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(e) AS e, min({{'d': CAST({gap} AS BIGINT), 'cluster': cluster}}) AS best
+  FROM v, c{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT best.cluster AS cluster, p, sum(e[p]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS u(p) GROUP BY 1, 2),
+c{i + 1} AS (
+  SELECT c{i}.cluster, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM m{i} GROUP BY cluster) n USING (cluster))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, best.cluster AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.cluster = c{rounds}.cluster"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity_scores,
     "op2_quality": quality_scores,
@@ -161,6 +192,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": exact_topk,
     "op9_byte_bpe": byte_bpe,
     "op10_substring_dedup": substring_dedup,
+    "op13_centroids": centroid_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -170,4 +202,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": JACCARD_SQL,
     "op8_exact_topk": TOPK_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op13_centroids": _centroid_sql(),
 }
