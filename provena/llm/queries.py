@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from provena.llm import bpe, centroids, common, decontaminate, jaccard, language, licenses, quality, substring, topk, toxicity, warc
+from provena.llm import bpe, centroids, common, decontaminate, jaccard, language, licenses, quality, spelling, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +150,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept,
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+# crc32 by its table of 256 entries; words are near if one is the other without a letter, or both are equal without
+# the letter at the same place.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(len(x) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h
+  FROM bytes, crc),
+changed AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'k': -other_n, 'other': other}) AS top FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.k >= 10 * n THEN top.other END AS form, CASE WHEN -top.k >= 10 * n THEN -top.k END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS onward FROM formed UNION ALL SELECT walk.word, walk.onward, f.form FROM walk JOIN formed f ON f.word = walk.onward)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM walk WHERE onward IS NULL) USING (word)"""
+
+
 def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"))
 
@@ -192,6 +226,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": exact_topk,
     "op9_byte_bpe": byte_bpe,
     "op10_substring_dedup": substring_dedup,
+    "op11_spelling": spelling_variants,
     "op13_centroids": centroid_clusters,
 }
 
@@ -202,5 +237,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": JACCARD_SQL,
     "op8_exact_topk": TOPK_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op11_spelling": SPELLING_SQL,
     "op13_centroids": _centroid_sql(),
 }
