@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from provena.llm import bpe, centroids, common, decontaminate, jaccard, language, licenses, quality, spelling, substring, topk, toxicity, warc
+from provena.llm import bpe, centroids, common, decontaminate, jaccard, language, licenses, neardup, quality, spelling, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,6 +184,23 @@ walk AS (SELECT word, word AS root, form AS onward FROM formed UNION ALL SELECT
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM walk WHERE onward IS NULL) USING (word)"""
 
 
+def embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+NEARDUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+edges AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.98 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+walk(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT node, b FROM walk JOIN edges ON a = seen)
+SELECT vec_id, (SELECT count(*) FROM edges WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT node, min(seen) AS component_id FROM walk GROUP BY node) ON node = vec_id"""
+
+
 def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"))
 
@@ -227,6 +244,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": byte_bpe,
     "op10_substring_dedup": substring_dedup,
     "op11_spelling": spelling_variants,
+    "op12_embedding_neardup": embedding_neardup,
     "op13_centroids": centroid_clusters,
 }
 
@@ -238,5 +256,6 @@ ORACLES: dict[str, str] = {
     "op8_exact_topk": TOPK_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
     "op11_spelling": SPELLING_SQL,
+    "op12_embedding_neardup": NEARDUP_SQL,
     "op13_centroids": _centroid_sql(),
 }
