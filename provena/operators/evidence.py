@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import bits, codewords, geometry, text, vectors
-from provena.operators.scale import blocked_pairs, exact_quantiles, pinned, ranked, top_rows
+from provena.operators.scale import blocked_pairs, median, pinned, ranked, top_rows
 from provena.session import cut_lineage, shuffle_partitions
 
 BITS = 64
@@ -264,8 +268,7 @@ def inlier_stats(points: DataFrame, max_error: float = 5.0) -> DataFrame:
     errors = points.withColumn("error", F.sqrt((px - F.col("tx")) ** 2 + (py - F.col("ty")) ** 2))
     errors = errors.withColumn("inlier", F.coalesce(F.col("error") <= max_error, F.lit(False)))
     errors = errors.withColumn("inlier_error", F.when(F.col("inlier"), F.col("error")))
-    median = exact_quantiles("inlier_error", {"median_error": 0.5})
-    joined = errors.groupBy("pair").agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"), *median).withColumn("ratio", F.col("inliers") / F.col("matches"))
+    joined = errors.groupBy("pair").agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"), median("inlier_error").alias("median_error")).withColumn("ratio", F.col("inliers") / F.col("matches"))
     accepted = (F.col("inliers") >= 18) & ((F.col("ratio") >= 0.32) | (F.col("inliers") >= 256)) & (F.col("median_error") <= 5.0)
     return joined.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
@@ -282,50 +285,135 @@ def translation_vote(matches: DataFrame, tile_size: int = 128) -> DataFrame:
     ones within 5 px of it, is the translation, snapped to the tile grid. Pairs with fewer than 3 supporters at
     any point, or with an implausible transform, give no row.
 
-    Neighbours meet in 6 px cells. A feature index holds at most MAX_KEYPOINTS points and each matches once, so a
-    pair is bounded; larger inputs fail instead of being cut.
+    The matches of a pair lie together and are taken as arrays; its shifts are sorted by x, and a shift is compared with
+    those of the strip around it only. A feature index holds at most MAX_KEYPOINTS points and each matches once, so a pair is bounded; larger
+    inputs fail instead of being cut.
     """
     facts = ("rotation_degrees", "scale", "offset_x", "offset_y", "query_width", "query_height", "target_width", "target_height")
-    once = _match_once(matches, ("qx", "qy", "tx", "ty"), facts)
-    turn = F.radians("rotation_degrees")
-    cos, sin = F.cos(turn) / F.col("scale"), F.sin(turn) / F.col("scale")
-    at = lambda name: F.col(f"p.{name}").cast("double")
-    moves = once.select(
-        "pair", "query_kp", *facts, cos.alias("cos"), sin.alias("sin"),
-        (at("tx") - (cos * at("qx") - sin * at("qy"))).alias("mx"), (at("ty") - (sin * at("qx") + cos * at("qy"))).alias("my"),
-    )
-    moves = cut_lineage(moves)
-    gap = lambda x, y: F.sqrt((F.col("mx") - F.col(x)) * (F.col("mx") - F.col(x)) + (F.col("my") - F.col(y)) * (F.col("my") - F.col(y)))
-    cell = lambda v, by=0: (F.floor(F.col(v) / 6.0) + by).cast("bigint")
-    around = F.array(*[F.struct(cell("mx", i).alias("cx"), cell("my", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    others = moves.select("pair", F.col("mx").alias("ox"), F.col("my").alias("oy"), F.inline(around))
-    near = moves.select("pair", "query_kp", "mx", "my", cell("mx").alias("cx"), cell("my").alias("cy")).join(others, ["pair", "cx", "cy"]).where(gap("ox", "oy") <= 6.0)
-    support = near.groupBy("pair", "query_kp", "mx", "my").agg(F.count(F.lit(1)).alias("n"))
-    seed = support.groupBy("pair").agg(F.min_by(F.struct("mx", "my"), F.struct(-F.col("n"), F.col("query_kp"))).alias("c"))
-
-    def middle(center: DataFrame, radius: float) -> DataFrame:
-        """Median shift, and number, of the matches within a radius of a centre per pair."""
-        own = moves.join(center.select("pair", F.col("c.mx").alias("ox"), F.col("c.my").alias("oy")), "pair").where(gap("ox", "oy") <= radius)
-        return own.groupBy("pair").agg(F.struct(F.median("mx").alias("mx"), F.median("my").alias("my")).alias("c"), F.count(F.lit(1)).alias("n"))
-
-    settled = middle(middle(seed, 6.0), 5.0).where(F.col("n") >= 3)
-    snap = lambda v, by: F.coalesce(F.col(by) + F.rint((F.col(v) - F.col(by)) / F.lit(float(tile_size))) * tile_size, F.col(v))
-    gridded = F.col("offset_x").isNotNull() & F.col("offset_y").isNotNull()
-    shift = moves.join(settled.select("pair", F.col("c.mx").alias("dx"), F.col("c.my").alias("dy")), "pair").withColumns(
-        {"dx": F.when(gridded, snap("dx", "offset_x")).otherwise(F.col("dx")), "dy": F.when(gridded, snap("dy", "offset_y")).otherwise(F.col("dy"))}
-    )
-    error = gap("dx", "dy")
-    found = shift.groupBy("pair", "dx", "dy").agg(
-        F.count(F.lit(1)).alias("good_matches"), F.count_if(error <= 5.0).alias("inliers"), F.median(F.when(error <= 5.0, error)).alias("median_error"),
-        *[F.first(c).alias(c) for c in ("cos", "sin", *facts[4:])],
-    ).where(F.col("inliers") >= 3)
+    turn, points = F.radians("rotation_degrees"), ("qx", "qy", "tx", "ty")
+    sides = ("cos", "sin", *facts[4:])
+    columns = [F.col(c).cast("double").alias(c) for c in (*points, *facts[2:])]
+    rows = matches.select("pair", "query_kp", (F.cos(turn) / F.col("scale")).alias("cos"), (F.sin(turn) / F.col("scale")).alias("sin"), *columns)
+    rows = rows.repartition(shuffle_partitions(matches.sparkSession), "pair").sortWithinPartitions("pair", "query_kp", *points)
+    schema = "pair string, " + ", ".join(f"{c} double" for c in (*sides, "dx", "dy")) + ", good_matches int, inliers int, median_error double"
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_runs(batches, "pair"):
+            pair, kp = _starts(batch.column("pair")), batch.column("query_kp").to_numpy()
+            if len(kp) and (kp.min() < 0 or kp.max() >= MAX_KEYPOINTS):
+                raise ValueError("a feature index holds more keypoints than its contract allows")
+            # A query keypoint counts once, by its least match.
+            once = np.flatnonzero(pair | np.concatenate([[True], kp[1:] != kp[:-1]]))
+            heads = np.flatnonzero(pair[once])
+            sizes = np.diff(np.append(heads, len(once)))
+            flat = {c: batch.column(c).to_numpy(zero_copy_only=False)[once] for c in (*points, "cos", "sin", *facts[2:4])}
+            mx = flat["tx"] - (flat["cos"] * flat["qx"] - flat["sin"] * flat["qy"])
+            my = flat["ty"] - (flat["sin"] * flat["qx"] + flat["cos"] * flat["qy"])
+            kept, found = _voted_shifts(mx, my, sizes, [flat[c][heads] for c in facts[2:4]], float(tile_size))
+            part = batch.take(pa.array(once[heads[kept]]))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("pair", *sides)] + [pa.array(f) for f in found], ["pair", *sides, "dx", "dy", "good_matches", "inliers", "median_error"])
+
+    found = rows.mapInArrow(vote, schema)
     zero, one = F.lit(0.0), F.lit(1.0)
     found = found.withColumn("homography", F.array(F.col("cos"), -F.col("sin"), F.col("dx"), F.col("sin"), F.col("cos"), F.col("dy"), zero, zero, one))
     found = found.where(geometry.plausible_matched(F.col("homography"), *map(F.col, facts[4:])))
-    return found.select(
-        "pair", "homography", "dx", "dy", F.col("good_matches").cast("int").alias("good_matches"), F.col("inliers").cast("int").alias("inliers"),
-        (F.col("inliers") / F.col("good_matches")).alias("ratio"), "median_error",
-    )
+    return found.select("pair", "homography", "dx", "dy", "good_matches", "inliers", (F.col("inliers") / F.col("good_matches")).alias("ratio"), "median_error")
+
+
+def _starts(keys: pa.Array) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows cut between runs of equal keys, so that no run lies in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(np.flatnonzero(_starts(batch.column(key)))[-1])
+        if held and (last > 0 or batch.column(key)[0] != held[-1].column(key)[0]):
+            held.append(batch.slice(0, last))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        elif not held and last > 0:
+            yield batch.slice(0, last)
+        held.append(batch.slice(last) if last else batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+# Compared shifts that are held at a time.
+_COMPARED = 1 << 21
+
+
+def _shift_gaps(mx: np.ndarray, my: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt((mx - x) * (mx - x) + (my - y) * (my - y))
+
+
+def _supporters(mx: np.ndarray, my: np.ndarray, sizes: np.ndarray, radius: float) -> np.ndarray:
+    """How many shifts of its own pair lie within the radius of each one; pairs follow one another."""
+    pair = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((mx, pair))
+    x, y, own = mx[order], my[order], pair[order]
+    # Strips a little wider than the radius, found pair by pair where they are long, then the exact test.
+    ends = np.cumsum(sizes)
+    first, last = np.arange(len(x)), np.arange(len(x)) + 1
+    for begin, end in zip((ends - sizes)[sizes > 1].tolist(), ends[sizes > 1].tolist(), strict=True):
+        if end - begin <= 16:
+            first[begin:end], last[begin:end] = begin, end
+        else:
+            part = x[begin:end]
+            first[begin:end] = begin + np.searchsorted(part, part - radius * 1.001, "left")
+            last[begin:end] = begin + np.searchsorted(part, part + radius * 1.001, "right")
+    width = last - first
+    counts = np.empty(len(x), np.int64)
+    upto = np.cumsum(width)
+    start = 0
+    while start < len(x):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _COMPARED, "right")))
+        many = width[start:stop]
+        left = np.repeat(np.arange(start, stop), many)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + first[left]
+        near = _shift_gaps(x[right], y[right], x[left], y[left]) <= radius
+        counts[order[start:stop]] = np.bincount(left[near] - start, minlength=stop - start)
+        start = stop
+    return counts
+
+
+def _medians(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Median of each group of values; a group without values gets NaN."""
+    order = np.lexsort((values, group))
+    n = np.bincount(group, minlength=groups)
+    begin, some = np.cumsum(n) - n, n > 0
+    out = np.full(groups, np.nan)
+    low, high = (values[order[begin[some] + at[some]]] for at in ((n - 1) // 2, n // 2))
+    out[some] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return out
+
+
+def _voted_shifts(mx: np.ndarray, my: np.ndarray, sizes: np.ndarray, grid: list[np.ndarray], tile: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs with three supporters throughout, and dx, dy, matches, inliers and median error of each."""
+    n = len(sizes)
+    pair = np.repeat(np.arange(n), sizes)
+    counts = _supporters(mx, my, sizes, 6.0)
+    # The first of those with the most supporters, in keypoint order.
+    best = np.lexsort((np.arange(len(mx)), -counts, pair))[np.cumsum(sizes) - sizes]
+    x, y = mx[best], my[best]
+    for radius in (6.0, 5.0):
+        near = _shift_gaps(mx, my, x[pair], y[pair]) <= radius
+        x, y = _medians(mx[near], pair[near], n), _medians(my[near], pair[near], n)
+    enough = np.bincount(pair[near], minlength=n) >= 3
+    gridded = ~np.isnan(grid[0].astype(float)) & ~np.isnan(grid[1].astype(float))
+    x, y = (np.where(gridded, v + np.rint((s - v) / tile) * tile, s) for s, v in zip((x, y), (g.astype(float) for g in grid), strict=True))
+    error = _shift_gaps(mx, my, x[pair], y[pair])
+    inside = error <= 5.0
+    inliers = np.bincount(pair[inside], minlength=n)
+    kept = np.flatnonzero(enough & (inliers >= 3))
+    middle = _medians(error[inside], pair[inside], n)
+    return kept, [x[kept], y[kept], sizes[kept].astype(np.int32), inliers[kept].astype(np.int32), middle[kept]]
 
 
 def _match_once(matches: DataFrame, points: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:

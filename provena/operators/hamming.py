@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from provena.functions import bits, codewords
 from provena.operators.scale import blocked_pairs, top_rows
+from provena.session import cut_lineage, shuffle_partitions
+
+# Bands of a code: at least this many bits, so that few bands are needed, and at most so many that flips stay listable.
+BAND_BITS = (8, 20)
+
+
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+def code_bands(varying: int, count: int) -> list[list[int]]:
+    """Bit positions of each band: about log2(count) bits, so that a bucket holds about one code."""
+    places = [i for i in range(64) if varying >> i & 1]
+    width = min(max(math.ceil(math.log2(max(count, 2))), BAND_BITS[0]), BAND_BITS[1])
+    bands = max(1, math.ceil(len(places) / width))
+    return [places[j::bands] for j in range(bands)]
 
-_NEAR_SCHEMA = "observed bigint, distance int, position bigint, trace_id string"
-
-
-def _two_nearest(observed: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-    """Per observed code the nearest stored code (first by position) and the runner-up distance."""
-    left = observed["observed"].to_numpy(dtype=np.int64).view(np.uint64)
-    stored = stored.sort_values("position", kind="stable")
-    right = stored["code"].to_numpy(dtype=np.int64).view(np.uint64)
-    copies = stored["copies"].to_numpy()
-    position = stored["position"].to_numpy()
-    trace = stored["trace_id"].to_numpy()
-    distance = np.bitwise_count(left[:, None] ^ right[None, :]).astype(np.int32)
-    first = distance.argmin(axis=1)
-    rows = np.arange(len(left))
-    best = distance[rows, first]
-    distance[rows, first] = np.where(copies[first] > 1, best, 127)
-    second = distance.argmin(axis=1)
-    runner = distance[rows, second]
-    out = [
-        pd.DataFrame({"observed": left.view(np.int64), "distance": best, "position": position[first], "trace_id": trace[first]})
-    ]
-    has_runner = runner < 127
-    # The runner-up only contributes its distance; a shared code counts as its own runner-up.
-    out.append(
-        pd.DataFrame(
-            {
-                "observed": left.view(np.int64)[has_runner],
-                "distance": runner[has_runner],
-                "position": np.where(second == first, position[first] + 1, position[second])[has_runner],
-                "trace_id": trace[second][has_runner],
-            }
-        )
-    )
-    return pd.concat(out)
+
+def likely_radius(bits: int, bands: int, count: int) -> int:
+    """Radius by which a random code has probably met its two nearest of ``count`` random ones."""
+    share, distance = 2.0**-bits, 0
+    while distance < bits and count * share < 4:
+        distance += 1
+        share += math.comb(bits, distance) * 2.0**-bits
+    return max(0, math.ceil((distance + 1) / bands) - 1)
+
+
+def _flips(places: list[int], radius: int) -> np.ndarray:
+    """All codes with ``radius`` of the given bits set."""
+    out = [sum(1 << i for i in picked) for picked in itertools.combinations(places, radius)]
+    return np.array(out, np.uint64)
+
+
+def _probes(batches: Iterator[pa.RecordBatch], bands: list[list[int]], radii: list[int]) -> Iterator[pa.RecordBatch]:
+    """Every value of each band within the radii of an observed code."""
+    lists = [(b, r, _flips(places, r)) for b, places in enumerate(bands) for r in radii if r <= len(places)]
+    for batch in batches:
+        codes, limits = batch.column("observed").to_numpy().view(np.uint64), batch.column("limit").to_numpy()
+        for band, radius, flips in lists:
+            mask = np.uint64(sum(1 << i for i in bands[band]))
+            step = max(1, (1 << 18) // len(flips))
+            for start in range(0, len(codes), step):
+                own = codes[start : start + step]
+                values = ((own & mask)[:, None] ^ flips[None]).ravel()
+                columns = [np.repeat(own, len(flips)).view(np.int64), np.repeat(limits[start : start + step], len(flips)), np.full(len(values), band, np.int32), values.view(np.int64), np.full(len(values), radius, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["observed", "limit", "band", "value", "radius"])
 
 
 def nearest_codes(observed: DataFrame, registry: DataFrame, none_distance: int = 65) -> DataFrame:
@@ -52,20 +67,59 @@ def nearest_codes(observed: DataFrame, registry: DataFrame, none_distance: int =
 
     registry: trace_id, code, position. Equal codes are collapsed on both sides first, so copies
     cost nothing; ties go to the smallest position. With fewer than two records the missing
-    distance is ``none_distance``.
+    distance is ``none_distance``; an empty registry gives no rows.
+
+    Bits in which all stored codes agree add the same to every distance. The others are cut into bands, and both
+    sides meet by equal bands at a growing radius: after radius r, every stored code that differs in less than
+    bands * (r + 1) of them has been met. A query is closed once its second best lies within that.
     """
-    codes = observed.select("observed").distinct().withColumn("_part", F.lit(0))
-    stored = registry.groupBy("code").agg(
-        F.min(F.struct("position", "trace_id")).alias("_f"), F.count(F.lit(1)).alias("copies")
-    ).select(F.lit(0).alias("_part"), "code", "copies", F.col("_f.position").alias("position"), F.col("_f.trace_id").alias("trace_id"))
-    near = blocked_pairs(codes, stored, "_part", "observed", "code", _two_nearest, _NEAR_SCHEMA)
-    two = top_rows(near, ["observed"], [F.col("distance"), F.col("position")], 2)
-    found = two.groupBy("observed").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("trace_id"))).alias("best_trace"),
-        F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("best_distance"),
-        F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("second_distance"),
+    codes = cut_lineage(observed.select("observed").where(F.col("observed").isNotNull()).distinct())
+    stored = registry.where(F.col("code").isNotNull()).groupBy("code").agg(F.min(F.struct("position", "trace_id")).alias("_f"), F.count(F.lit(1)).alias("copies"))
+    stored = cut_lineage(stored.select("code", "copies", F.col("_f.position").alias("position"), F.col("_f.trace_id").alias("trace_id")))
+    facts = stored.agg(F.count(F.lit(1)), F.sum("copies"), F.expr("bit_and(code)"), F.expr("bit_or(code)")).first()
+    near_type = "array<struct<distance:int,position:bigint,trace_id:string,copies:bigint>>"
+    if not facts[0]:
+        shape = "observed bigint, best_trace string, best_distance int, second_distance int"
+        return observed.sparkSession.createDataFrame([], shape)
+    varying = (facts[2] ^ facts[3]) & 0xFFFFFFFFFFFFFFFF
+    bands = code_bands(varying, facts[0])
+    masks = [_signed(sum(1 << i for i in places)) for places in bands]
+    same = F.bit_count(F.col("observed").bitwiseXOR(F.lit(facts[2])).bitwiseAND(F.lit(_signed(~varying & 0xFFFFFFFFFFFFFFFF))))
+    index = stored.select("*", F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col("code").bitwiseAND(F.lit(m)).alias("value")) for b, m in enumerate(masks)])))
+    index = cut_lineage(index)
+
+    gaps = [F.bit_count(F.col("observed").bitwiseXOR(F.col("code")).bitwiseAND(F.lit(m))) for m in masks]
+    # A pair that meets in several bands counts in the nearest one, the first of equals.
+    here = F.lit(True)
+    for b, gap in enumerate(gaps):
+        here = here & ((F.col("band") == b) | (gap > F.col("radius")) | ((gap == F.col("radius")) & (F.lit(b) > F.col("band"))))
+    state = codes.withColumns({"near": F.lit(None).cast(near_type), "open": F.lit(True)})
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    runner = F.when(first["copies"] > 1, first["distance"]).otherwise(second["distance"])
+    needed = runner if facts[1] > 1 else first["distance"]
+    widest, radii = max(map(len, bands)), [0, 1]
+    likely = likely_radius(varying.bit_count(), len(bands), facts[0])
+    while True:
+        # Nothing farther than the runner-up so far matters.
+        asked = state.where("open").select("observed", F.coalesce(needed, F.lit(64)).alias("limit")).repartition(shuffle_partitions(observed.sparkSession), "observed")
+        probes = asked.mapInArrow(lambda b, r=tuple(radii): _probes(b, bands, list(r)), "observed bigint, limit int, band int, value bigint, radius int")
+        distance = F.bit_count(F.col("observed").bitwiseXOR(F.col("code")))
+        met = probes.join(index, ["band", "value"]).where((distance <= F.col("limit")) & here)
+        met = met.select("observed", distance.alias("distance"), "position", "trace_id", "copies")
+        two = top_rows(met, ["observed"], [F.col("distance"), F.col("position")], 2)
+        two = two.groupBy("observed").agg(F.collect_list(F.struct("distance", "position", "trace_id", "copies")).alias("_new"))
+        both = F.slice(F.array_sort(F.concat(F.coalesce("near", F.array().cast(near_type)), F.coalesce("_new", F.array().cast(near_type)))), 1, 2)
+        reached = len(bands) * (radii[-1] + 1) - 1
+        open_ = F.coalesce(needed - same > reached, F.lit(True)) if radii[-1] < widest else F.lit(False)
+        state = cut_lineage(state.join(two, "observed", "left").select("observed", both.alias("near"), "open").withColumn("open", F.col("open") & open_))
+        if radii[-1] >= widest or state.where("open").isEmpty():
+            break
+        # What is not near a stored code is about as far as a random one.
+        radii = list(range(radii[-1] + 1, min(widest, max(likely, radii[-1] + 1)) + 1))
+    return state.select(
+        "observed", first["trace_id"].alias("best_trace"), first["distance"].alias("best_distance"),
+        F.coalesce(runner, F.lit(none_distance)).alias("second_distance"),
     )
-    return found.withColumn("second_distance", F.coalesce("second_distance", F.lit(none_distance)))
 
 
 def best_second_gap(near: DataFrame) -> DataFrame:
@@ -147,30 +201,84 @@ def short_code_match(observed: DataFrame, registry: DataFrame, persistent: bool
     )
 
 
-def _words(column: pd.Series) -> np.ndarray:
-    raw = np.frombuffer(b"".join(map(bytes, column)), dtype=np.uint8).reshape(len(column), -1)
-    return np.ascontiguousarray(raw).view(np.uint64)
-
-
-def _descriptor_two(query: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-    left, right = _words(query["descriptor"]), _words(target["descriptor"])
-    distance = np.zeros((len(left), len(right)), dtype=np.int32)
-    for word in range(left.shape[1]):
-        distance += np.bitwise_count(left[:, word, None] ^ right[None, :, word])
-    # One sortable number per cell: distance first, then the target index.
-    mixed = (distance.astype(np.int64) << 32) | target["kp_idx"].to_numpy(dtype=np.int64)[None, :]
-    take = min(2, len(right))
-    if mixed.shape[1] > take:
-        mixed = np.partition(mixed, take - 1, axis=1)[:, :take]
-    flat = mixed.ravel()
-    return pd.DataFrame(
-        {
-            "pair": query["pair"].to_numpy()[np.repeat(np.arange(len(left)), take)],
-            "query_kp": query["kp_idx"].to_numpy()[np.repeat(np.arange(len(left)), take)],
-            "target_kp": flat & 0xFFFFFFFF,
-            "distance": flat >> 32,
-        }
-    )
+def packed_points(points: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Keypoints as one row an owner: lists in keypoint order. A feature index is bounded by contract."""
+    rows = F.array_sort(F.collect_list(F.struct("kp_idx", "descriptor", *extra)))
+    packed = points.groupBy("owner_id").agg(rows.alias("_r"))
+    return packed.select("owner_id", *[F.col(f"_r.{c}").alias(c) for c in ("kp_idx", "descriptor", *extra)])
+
+
+# Rows of a query side that are compared with a target side at a time.
+_COMPARED_ROWS = 512
+
+
+def _matrices(packs: pa.Array) -> Iterator[np.ndarray]:
+    """Descriptors of each list as rows of 64-bit words."""
+    flat = packs.flatten()
+    _, offsets, data = flat.buffers()
+    marks = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    raw = np.frombuffer(data if data is not None else b"", np.uint8)
+    edges = np.concatenate([[0], np.cumsum(packs.value_lengths().to_numpy())])
+    for begin, end in itertools.pairwise(edges):
+        own = np.ascontiguousarray(raw[marks[begin] : marks[end]])
+        yield own.view(np.uint64).reshape(end - begin, -1) if end > begin else np.zeros((0, 1), np.uint64)
+
+
+def _ratio_matches(left: np.ndarray, right: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows whose nearest target row is clearly nearer than the second, with that row and its distance."""
+    found = []
+    for start in range(0, len(left), _COMPARED_ROWS):
+        own = left[start : start + _COMPARED_ROWS]
+        distance = np.zeros((len(own), len(right)), np.int32)
+        for word in range(own.shape[1]):
+            distance += np.bitwise_count(own[:, word, None] ^ right[None, :, word])
+        rows, first = np.arange(len(own)), distance.argmin(axis=1)
+        best = distance[rows, first].copy()
+        distance[rows, first] = np.iinfo(np.int32).max
+        good = np.flatnonzero(best < ratio * distance.min(axis=1))
+        found.append((good + start, first[good], best[good]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def matched_pairs(pairs: DataFrame, query_packs: DataFrame, target_packs: DataFrame, ratio: float = 0.75, extra: Sequence[str] = ()) -> DataFrame:
+    """Ratio-test matches of candidate pairs, one row a pair.
+
+    pairs: pair, query_owner, target_owner; packs as ``packed_points`` makes them. Returns pair, the number of
+    keypoints of both sides, the lists query_kp, target_kp and distance, and for each ``extra`` column its lists
+    on both sides as q_<column> and t_<column>. Packs move as one row; no keypoint is shuffled for a pair.
+    """
+    columns = ("kp_idx", "descriptor", *extra)
+    side = lambda packs, p: packs.select(F.col("owner_id").alias(f"{p}_owner"), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    both = pairs.select("pair", "query_owner", "target_owner").join(side(query_packs, "q"), F.col("query_owner") == F.col("q_owner"))
+    both = both.join(side(target_packs, "t"), F.col("target_owner") == F.col("t_owner"))
+    both = both.select("pair", *[f"{p}_{c}" for p in "qt" for c in columns])
+    kinds = {c: query_packs.schema[c].dataType.simpleString() for c in extra}
+    names = ["pair", "n_query", "n_target", "query_kp", "target_kp", "distance", *[f"{p}_{c}" for p in "qt" for c in extra]]
+    schema = "pair string, n_query int, n_target int, query_kp array<int>, target_kp array<int>, distance array<int>" + "".join(f", {p}_{c} {kinds[c]}" for p in "qt" for c in extra)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = {p: batch.column(f"{p}_kp_idx").value_lengths().to_numpy() for p in "qt"}
+            begins = {p: np.cumsum(n) - n for p, n in sizes.items()}
+            marks, picks = [0], {"q": [], "t": [], "d": []}
+            for i, (left, right) in enumerate(zip(_matrices(batch.column("q_descriptor")), _matrices(batch.column("t_descriptor")), strict=True)):
+                if len(left) and len(right) > 1:
+                    own, other, distance = _ratio_matches(left, right, ratio)
+                    picks["q"].append(own + begins["q"][i])
+                    picks["t"].append(other + begins["t"][i])
+                    picks["d"].append(distance)
+                    marks.append(marks[-1] + len(own))
+                else:
+                    marks.append(marks[-1])
+            at = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in picks.items()}
+            edges = pa.array(np.array(marks, np.int32))
+            lists = lambda values: pa.ListArray.from_arrays(edges, values)
+            taken = lambda p, c: lists(batch.column(f"{p}_{c}").flatten().take(pa.array(at[p])))
+            arrays = [batch.column("pair"), pa.array(sizes["q"], pa.int32()), pa.array(sizes["t"], pa.int32())]
+            arrays += [taken("q", "kp_idx"), taken("t", "kp_idx"), lists(pa.array(at["d"].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(arrays + [taken(p, c) for p in "qt" for c in extra], names)
+
+    return both.mapInArrow(compare, schema)
 
 
 def descriptor_matches(pairs: DataFrame, query_points: DataFrame, target_points: DataFrame, ratio: float = 0.75) -> DataFrame:
@@ -178,34 +286,19 @@ def descriptor_matches(pairs: DataFrame, query_points: DataFrame, target_points:
 
     pairs: pair, query_owner, target_owner. Keypoints: owner_id, kp_idx, descriptor (8*n bytes).
     """
-    left = pairs.select("pair", F.col("query_owner").alias("owner_id")).join(query_points, "owner_id").select("pair", "kp_idx", "descriptor")
-    right = pairs.select("pair", F.col("target_owner").alias("owner_id")).join(target_points, "owner_id").select("pair", "kp_idx", "descriptor")
-    local = blocked_pairs(left, right, "pair", "kp_idx", "kp_idx", _descriptor_two, "pair string, query_kp int, target_kp int, distance int")
-    two = top_rows(local, ["pair", "query_kp"], [F.col("distance"), F.col("target_kp")], 2)
-    both = two.groupBy("pair", "query_kp").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("target_kp"))).alias("target_kp"),
-        F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"),
-        F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("second"),
-    )
-    return both.where(F.col("second").isNotNull() & (F.col("distance") < F.lit(ratio) * F.col("second"))).select(
-        "pair", "query_kp", "target_kp", "distance"
-    )
+    found = matched_pairs(pairs, packed_points(query_points), packed_points(target_points), ratio)
+    return found.select("pair", F.inline(F.arrays_zip("query_kp", "target_kp", "distance")))
 
 
 def descriptor_ratio_match(pairs: DataFrame, query_points: DataFrame, target_points: DataFrame, ratio: float = 0.75) -> DataFrame:
     """Good-match count and quality (count / smaller side) of every candidate pair."""
-    sizes = lambda points, name: points.groupBy("owner_id").agg(F.count(F.lit(1)).alias(name))
-    sized = (
-        pairs.join(sizes(query_points, "nq").withColumnRenamed("owner_id", "query_owner"), "query_owner", "left")
-        .join(sizes(target_points, "nt").withColumnRenamed("owner_id", "target_owner"), "target_owner", "left")
-        .fillna(0, ["nq", "nt"])
-    )
-    usable = sized.where((F.col("nq") >= 2) & (F.col("nt") >= 2))
-    good = descriptor_matches(usable, query_points, target_points, ratio).groupBy("pair").agg(F.count(F.lit(1)).alias("good"))
-    return sized.join(good, "pair", "left").select(
+    found = matched_pairs(pairs, packed_points(query_points), packed_points(target_points), ratio)
+    usable = (F.col("n_query") >= 2) & (F.col("n_target") >= 2)
+    good = found.select(F.col("pair").alias("_pair"), F.when(usable, F.size("distance")).otherwise(F.lit(0)).alias("good"), F.least("n_query", "n_target").alias("least"))
+    return pairs.join(good, F.col("pair") == F.col("_pair"), "left").select(
         "pair",
         F.coalesce("good", F.lit(0)).cast("bigint").alias("good_matches"),
-        F.round(F.coalesce(F.coalesce("good", F.lit(0)) / F.nullif(F.least("nq", "nt"), F.lit(0)), F.lit(0.0)), 6).alias("quality"),
+        F.round(F.coalesce(F.col("good") / F.nullif("least", F.lit(0)), F.lit(0.0)), 6).alias("quality"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from provena.session import cut_lineage, shuffle_partitions
 
@@ -39,8 +39,6 @@ def ranked(
     )
     placed = cut_lineage(placed).withColumn("_pid", F.shiftright("_mid", 33))
     # One row per (group, partition): the partition count bounds the rows of one group here.
-    from pyspark.sql import Window
-
     runs = placed.groupBy(*group, "_pid").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -61,15 +59,66 @@ def ranked(
     return joined.select(*frame.columns, rank, *([total] if total else []))
 
 
-def exact_quantiles(value: str, probabilities: dict[str, float], method: str = "linear") -> list[Column]:
-    """Aggregate columns of exact quantiles: ``linear`` interpolation or ``nearest`` rank (ceil(p*n)).
+def median(value: str) -> Column:
+    """Exact median as an aggregate, for groups that a contract bounds; NULL is left out."""
+    return F.percentile(value, 0.5)
+
+
+def group_quantiles(frame: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float], method: str = "linear") -> DataFrame:
+    """Exact quantiles of each group: ``linear`` interpolation or ``nearest`` rank (ceil(p*n)). Returns the group columns
+    and one column a probability; values of NULL are left out, groups of NULL are groups.
 
-    They belong into the aggregate that also takes counts, ends and means, so rows are read once; groups of NULL
-    keep their row. The buffer of a group holds its distinct values with their counts.
+    One plan for groups of any size. Equal values are counted first, so that no single value is hot; distinct values
+    are range-partitioned on (group, value) and written once. A value's rank is its running count inside its
+    partition, shifted by the counts of its group in the partitions before; the value of a rank is the least one whose
+    running count reaches it. No task holds more of a group than a range partition.
     """
-    if method == "linear":
-        return [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
-    return [F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY `{value}`)").alias(name) for name, p in probabilities.items()]
+    keys = [*map(F.col, group), F.col("_v")]
+    counted = frame.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counted.repartitionByRange(shuffle_partitions(frame.sparkSession), *keys).withColumn("_pid", F.spark_partition_id())
+    placed = cut_lineage(placed)
+    inside = Window.partitionBy(*group, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed_sums = placed.withColumn("_upto", F.sum("_n").over(inside))
+    over_group = Window.partitionBy(*group)
+    runs = placed.groupBy(*group, "_pid").agg(F.sum("_n").alias("_own"))
+    runs = runs.select(
+        *[F.col(c).alias(f"_g_{c}") for c in group], F.col("_pid").alias("_g_pid"),
+        (F.sum("_own").over(over_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own")).alias("_before"),
+        F.sum("_own").over(over_group).alias("_total"),
+    )
+    match = F.col("_pid") == F.col("_g_pid")
+    for column in group:
+        match = match & F.col(column).eqNullSafe(F.col(f"_g_{column}"))
+    # No quantile looks at other values than those around its rank.
+    rows = placed_sums.join(runs, match).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    total = F.col("_total")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    found = [F.max("_total").alias("_total")]
+    for name, p in probabilities.items():
+        if method == "linear":
+            low = F.floor((total - 1) * F.lit(p))
+            found += [at(low + 1).alias(f"_l_{name}"), at(F.ceil((total - 1) * F.lit(p)) + 1).alias(f"_h_{name}")]
+        else:
+            found.append(at(F.greatest(F.lit(1), F.ceil(F.lit(p) * total))).alias(f"_l_{name}"))
+    best = rows.groupBy(*group).agg(*found)
+    out = []
+    for name, p in probabilities.items():
+        low = F.col(f"_l_{name}")
+        if method == "linear":
+            place, high = (total - 1) * F.lit(p), F.col(f"_h_{name}")
+            mixed = (F.floor(place) + 1 - place) * low + (place - F.floor(place)) * high
+            low = F.when(low == high, low).otherwise(mixed)
+        out.append(low.alias(name))
+    return best.select(*group, *out)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of ``right``, which has one row a key, beside the rows of ``left``; a key of NULL is a key."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for column in keys:
+        match = match & F.col(column).eqNullSafe(F.col(f"_r_{column}"))
+    return left.join(named, match, "left").drop(*[f"_r_{c}" for c in keys])
 
 
 def split_hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, how: str = "inner", spread_right: str | None = None) -> DataFrame:
@@ -163,7 +212,5 @@ def pinned(frame: DataFrame, **columns: Column) -> DataFrame:
 
 def top_rows(frame: DataFrame, group: Sequence[str], order: Iterable[Column], limit: int, rank: str = "rank") -> DataFrame:
     """First ``limit`` rows a group; Spark cuts each map task to ``limit`` rows before the shuffle."""
-    from pyspark.sql import Window
-
     spec = Window.partitionBy(*group).orderBy(*order)
     return frame.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= limit)

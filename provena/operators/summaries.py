@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provena.operators.scale import exact_quantiles
+from provena.operators.scale import beside, group_quantiles
 
 
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
@@ -139,30 +139,28 @@ def manifest_counts(samples: DataFrame) -> DataFrame:
     )
 
 
-def _spread(value: str) -> list[Column]:
-    ends = [F.min(value).alias("min"), F.avg(value).alias("mean")]
-    spread = exact_quantiles(value, {"p5": 0.05, "p50": 0.5, "p95": 0.95})
-    return [ends[0], *spread, ends[1]]
-
-
 _SPREAD = ("min", "p5", "p50", "p95", "mean")
+_POINTS = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
 
 
 def metric_distribution(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    found = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(*_spread(value))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.min(value).alias("min"), F.avg(value).alias("mean"))
+    found = beside(ends, group_quantiles(rows, group, value, _POINTS), group)
     return found.select(*group, *[F.round(c, 6).alias(c) for c in _SPREAD])
 
 
 def latency_percentiles(cases: DataFrame, group: list[str], value: str = "detection_ms") -> DataFrame:
     """Nearest-rank P50 and P95 and the maximum."""
-    ranks = exact_quantiles(value, {"p50": 0.5, "p95": 0.95}, "nearest")
-    return cases.where(F.col(value).isNotNull()).groupBy(*group).agg(*ranks, F.max(value).alias("max"))
+    top = cases.where(F.col(value).isNotNull()).groupBy(*group).agg(F.max(value).alias("max"))
+    ranks = group_quantiles(cases, group, value, {"p50": 0.5, "p95": 0.95}, "nearest")
+    return beside(top, ranks, group).select(*group, "p50", "p95", "max")
 
 
 def stage_timing(events: DataFrame) -> DataFrame:
     """stage, duration_ms, candidate_count, fallback_count to per-stage statistics; stages without a duration are left out."""
     counts = [F.count(F.lit(1)).alias("events"), F.sum("candidate_count").alias("candidates"), F.sum("fallback_count").alias("fallbacks")]
-    found = events.groupBy("stage").agg(*counts, *_spread("duration_ms")).where(F.col("min").isNotNull())
+    ends = [F.min("duration_ms").alias("min"), F.avg("duration_ms").alias("mean")]
+    found = beside(events.groupBy("stage").agg(*counts, *ends).where(F.col("min").isNotNull()), group_quantiles(events, ["stage"], "duration_ms", _POINTS), ["stage"])
     return found.select("stage", "events", "candidates", "fallbacks", *[F.round(c, 6).alias(c) for c in _SPREAD])
 
 

@@ -26,7 +26,7 @@ AUDIT_SCHEMA = schemas.TABLES["audit_events"]
 def scan_registry(spark: SparkSession, root: str, tables: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Typed tables under ``root``; schemas are given, so nothing is read to infer them.
 
-    Batches appended by ``append_generation_batch`` count only once their marker row exists.
+    Batches appended by ``append_generation_batch`` count only once they are committed.
     """
     from provena.sources.sinks import committed
 

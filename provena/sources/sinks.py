@@ -2,35 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from provena import schemas
 from provena.operators.listing import keep_latest
 from provena.session import cut_lineage
+from provena.sources import folders
 
-MARKER = "_batches"
-MARKER_SCHEMA = "batch_id string, tables array<string>"
+LOG = "_log"
 # Header of the listing export.
 CSV_HEADER = ("文件名", "用户", "Trace ID", "水印版本", "嵌入时间", "状态", "置信度", "原图", "水印图")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+# --- commit log ----------------------------------------------------------------------------------
+#
+# A registry folder holds, for each table, base files, appended batches and compacted versions. Commit n is the file n of
+# the log, which only one writer can create: {"kind": "batch", "batch_id", "tables"} makes a batch count, and
+# {"kind": "compact", "upto", "tables"} says that version ``upto`` of a table stands for its base and all commits so far.
 
 
-def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of one table: its base files and every batch whose marker was written."""
+def _entry(number: int) -> str:
+    return f"{number:020d}"
+
+
+def commits(spark: SparkSession, root: str) -> list[dict]:
+    """Entries of the log in order, each with its number."""
+    found = [n for n in folders.listed(spark, f"{root}/{LOG}") if n.isdigit()]
+    if not found:
+        return []
+    lines = spark.read.text([f"{root}/{LOG}/{n}" for n in found]).select("value", F.col("_metadata.file_name").alias("name")).collect()
+    return sorted(({**json.loads(r.value), "number": int(r.name)} for r in lines), key=lambda e: e["number"])
+
+
+def _folder(root: str, table: str, batch_id: str) -> str:
+    return f"{root}/{table}/batches/batch_id={batch_id}"
+
+
+def _paths(spark: SparkSession, root: str, table: str, log: list[dict], after: int | None = None) -> dict[str, str]:
+    """Folders that hold the rows of a table, by the name of the part; with ``after`` only later batches."""
+    batches = [e for e in log if e["kind"] == "batch" and table in e["tables"]]
+    if after is not None:
+        return {e["batch_id"]: _folder(root, table, e["batch_id"]) for e in batches if e["number"] > after}
+    versions = [e["upto"] for e in log if e["kind"] == "compact" and table in e["tables"]]
+    first = {}
+    if versions:
+        first[f"compact-{max(versions)}"] = f"{root}/{table}/compact/version={max(versions)}"
+        batches = [e for e in batches if e["number"] > max(versions)]
+    elif folders.exists(spark, f"{root}/{table}/base"):
+        first["base"] = f"{root}/{table}/base"
+    return first | {e["batch_id"]: _folder(root, table, e["batch_id"]) for e in batches}
+
+
+def _read(spark: SparkSession, table: str, paths: list[str]) -> DataFrame:
     schema = schemas.table_schema(table)
-    batches = f"{root}/{table}/batches"
-    base = f"{root}/{table}/base"
-    rows = spark.read.schema(schema).parquet(base) if _exists(spark, base) else spark.createDataFrame([], schema)
-    if not _exists(spark, batches) or not _exists(spark, f"{root}/{MARKER}"):
-        return rows
-    marked = spark.read.schema(MARKER_SCHEMA).json(f"{root}/{MARKER}/*").select("batch_id").distinct()
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])
-    appended = spark.read.schema(with_batch).parquet(batches).join(marked, "batch_id", "left_semi")
-    return rows.unionByName(appended.select(*rows.columns))
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of one table as of the last commit."""
+    return _read(spark, table, list(_paths(spark, root, table, commits(spark, root)).values()))
+
+
+def committed_parts(spark: SparkSession, root: str, table: str) -> dict[str, DataFrame]:
+    """The same rows by part: those of the base and of each batch, as long as all of their files are there."""
+    log = commits(spark, root)
+    whole = _paths(spark, root, table, [e for e in log if e["kind"] == "batch"])
+    if not all(folders.exists(spark, f"{p}/_SUCCESS") for name, p in whole.items() if name != "base"):
+        whole = _paths(spark, root, table, log)
+    return {name: _read(spark, table, [path]) for name, path in whole.items()}
+
+
+def compact(spark: SparkSession, root: str, tables: list[str] | None = None) -> int | None:
+    """Rewrite what is committed as one version a table; returns the number that it reaches, None without commits.
+
+    Batches that others commit meanwhile stay beside the version, and readers see one state or the other.
+    """
+    log = commits(spark, root)
+    if not log:
+        return None
+    upto = log[-1]["number"]
+    names = tables or sorted({t for e in log for t in e["tables"]})
+    for name in names:
+        rows = _read(spark, name, list(_paths(spark, root, name, log).values()))
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/compact/version={upto}")
+    number = upto + 1
+    while not folders.create(spark, f"{root}/{LOG}/{_entry(number)}", json.dumps({"kind": "compact", "upto": upto, "tables": names})):
+        number += 1
+    return upto
+
+
+def remove_compacted(spark: SparkSession, root: str) -> None:
+    """Delete batches and versions that the last but one compaction had taken in; readers of the last one need none."""
+    log = commits(spark, root)
+    versions = [e for e in log if e["kind"] == "compact"]
+    if len(versions) < 2:
+        return
+    old = versions[-2]
+    for table in old["tables"]:
+        gone = [_folder(root, table, e["batch_id"]) for e in log if e["kind"] == "batch" and e["number"] <= old["upto"]]
+        gone += [f"{root}/{table}/compact/version={e['upto']}" for e in versions[:-2] if e["upto"] != old["upto"]]
+        folders.remove(spark, *gone)
 
 
 IDENTITIES = {"owner_trace": ["owner_user_id", "trace_id"], "group_tag": ["source_group_id", "auth_tag"]}
@@ -76,29 +149,51 @@ def split_collisions(batch: DataFrame, records: DataFrame) -> tuple[DataFrame, D
     return accepted, rejected
 
 
-def append_generation_batch(root: str, batch_id: str, tables: dict[str, DataFrame]) -> bool:
-    """Append all tables of a batch or none: data first, the marker row last.
-
-    Records that clash by an identity fail the batch (``split_collisions`` tells which to leave out beforehand).
-    Repeating a batch id is a no-op once its marker exists; a half-written batch is overwritten.
-    """
+def stage_batch(root: str, batch_id: str, tables: dict[str, DataFrame]) -> bool:
+    """Write the data of a batch; it counts once it is committed. False if the batch is committed already."""
     spark = next(iter(tables.values())).sparkSession
-    marker = f"{root}/{MARKER}/{batch_id}"
-    if _exists(spark, f"{marker}/_SUCCESS"):
+    if any(e.get("batch_id") == batch_id for e in commits(spark, root)):
         return False
-    if "v4_records" in tables:
-        _, rejected = split_collisions(tables["v4_records"], committed(spark, root, "v4_records"))
-        clash = rejected.select("record_id", "reason").first()
-        if clash:
-            raise ValueError(f"record {clash.record_id}: {clash.reason}")
     for name, frame in tables.items():
         ordered = frame.select(*[F.col(f.name).cast(f.dataType) for f in schemas.table_schema(name).fields])
-        ordered.write.mode("overwrite").parquet(f"{root}/{name}/batches/batch_id={batch_id}")
-    row = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.array(*map(F.lit, sorted(tables))).alias("tables"))
-    row.write.mode("overwrite").json(marker)
+        ordered.write.mode("overwrite").parquet(_folder(root, name, batch_id))
     return True
 
 
+def commit_batch(spark: SparkSession, root: str, batch_id: str, tables: list[str]) -> bool:
+    """Make a staged batch count, if no record clashes with what is committed; False if it was committed before.
+
+    The number of a commit is taken by creating its file, so that of several writers one gets it. The others look at
+    what was committed meanwhile, test their records against that, and try the next number.
+    """
+    checked: int | None = None
+    while True:
+        log = commits(spark, root)
+        if any(e.get("batch_id") == batch_id for e in log):
+            return False
+        if "v4_records" in tables:
+            others = _read(spark, "v4_records", list(_paths(spark, root, "v4_records", log, checked).values()))
+            _, rejected = split_collisions(_read(spark, "v4_records", [_folder(root, "v4_records", batch_id)]), others)
+            clash = rejected.select("record_id", "reason").first()
+            if clash:
+                folders.remove(spark, *[_folder(root, t, batch_id) for t in tables])
+                raise ValueError(f"record {clash.record_id}: {clash.reason}")
+        checked = log[-1]["number"] if log else -1
+        if folders.create(spark, f"{root}/{LOG}/{_entry(checked + 1)}", json.dumps({"kind": "batch", "batch_id": batch_id, "tables": sorted(tables)})):
+            return True
+
+
+def append_generation_batch(root: str, batch_id: str, tables: dict[str, DataFrame]) -> bool:
+    """Append all tables of a batch or none: data first, its commit last.
+
+    Records that clash by an identity fail the batch (``split_collisions`` tells which to leave out beforehand), also
+    when the other record was committed by another writer meanwhile. Repeating a batch id is a no-op once it is
+    committed; a half-written batch is overwritten.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    return stage_batch(root, batch_id, tables) and commit_batch(spark, root, batch_id, list(tables))
+
+
 def csv_projection(records: DataFrame) -> DataFrame:
     confidence = F.coalesce(F.nullif(F.col("confidence").cast("double"), F.lit(0.0)), F.col("conf").cast("double"), F.lit(0.0))
     values = ("name", "user_id", "trace_id", None, "created_at", "status", None, "original_url", "download_url")

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provena.operators.listing import keep_latest
 from provena.operators.matching import digest_index, indexed_file_match
 from provena.session import cut_lineage
+from provena.sources import folders
+from provena.sources.sinks import committed_parts
 
 THROTTLE_LIMIT, THROTTLE_WINDOW = 5, "300 seconds"
 IDLE_SECONDS, ABSOLUTE_SECONDS = 1800, 86400
@@ -56,13 +59,73 @@ def login_throttle(attempts: DataFrame, limit: int = THROTTLE_LIMIT) -> DataFram
     )
 
 
+def counter_deltas(increments: DataFrame) -> DataFrame:
+    """increments: ts, owner_user_id, counter_key, delta. Sums under the plain key (no day) and under the dated key."""
+    day = F.to_date("ts")
+    keys = F.array(
+        F.struct("counter_key", F.lit(None).cast("date").alias("day")),
+        F.struct(F.concat("counter_key", F.lit(":"), F.date_format("ts", "yyyy-MM-dd")).alias("counter_key"), day.alias("day")),
+    )
+    rows = increments.where(F.col("delta") > 0).select("owner_user_id", F.inline(keys), "delta")
+    return rows.groupBy("owner_user_id", "counter_key", "day").agg(F.sum("delta").alias("counter_value"))
+
+
 def running_counters(increments: DataFrame) -> DataFrame:
     """increments: ts, owner_user_id, counter_key, delta. Totals, also under the dated key."""
-    keys = F.array("counter_key", F.concat("counter_key", F.lit(":"), F.date_format("ts", "yyyy-MM-dd")))
-    return (
-        increments.where(F.col("delta") > 0).select("owner_user_id", F.explode(keys).alias("counter_key"), "delta")
-        .groupBy("owner_user_id", "counter_key").agg(F.sum("delta").alias("counter_value"))
-    )
+    return counter_deltas(increments).drop("day")
+
+
+COUNTER_ROW = "owner_user_id bigint, counter_key string, day date, counter_value bigint"
+_COUNTER_KEYS = ("owner_user_id", "counter_key", "day")
+
+
+def _counter_rows(spark: SparkSession, folder: str, parts: list[tuple[str, int]]) -> DataFrame:
+    """Rows of the named parts of a counter table, several a key."""
+    paths = [f"{folder}/{kind}/{kind}={number}" for kind, number in parts]
+    return spark.read.schema(COUNTER_ROW).parquet(*paths) if paths else spark.createDataFrame([], COUNTER_ROW)
+
+
+def counter_sink(increments: DataFrame, folder: str, compact_every: int = 8, keep_days: int = 2) -> None:
+    """Drain a stream of increments into a table of counters; the stream itself keeps no state.
+
+    A micro-batch adds its own sums as one part, named by its number, so that a re-run batch replaces itself. Every
+    ``compact_every`` batches the parts since the last base are merged into a new base; dated keys more than
+    ``keep_days`` before the latest day leave it for a closed part that is never merged again, so the base holds the
+    plain keys and a few days. Late increments of a closed day make another closed row. ``counter_totals`` adds all up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        sums = counter_deltas(batch)
+        sums.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in COUNTER_ROW.split(", ")]).write.mode("overwrite").parquet(f"{folder}/delta/delta={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        before = [n for n in folders.numbers(spark, f"{folder}/base", "base") if n < batch_id]
+        deltas = [n for n in folders.numbers(spark, f"{folder}/delta", "delta") if (max(before) if before else -1) < n <= batch_id]
+        parts = [("base", max(before))] if before else []
+        merged = _counter_rows(spark, folder, parts + [("delta", n) for n in deltas]).groupBy(*_COUNTER_KEYS).agg(F.sum("counter_value").alias("counter_value"))
+        merged = cut_lineage(merged)
+        latest = merged.agg(F.max("day")).first()[0]
+        over = F.coalesce(F.col("day") < F.date_sub(F.lit(latest), keep_days), F.lit(False))
+        merged.where(over).write.mode("overwrite").parquet(f"{folder}/closed/closed={batch_id}")
+        # The base counts once it is whole; it is written last.
+        merged.where(~over).write.mode("overwrite").parquet(f"{folder}/base/base={batch_id}")
+        # Parts that the base before this one had taken in are of no use to any reader.
+        if before:
+            folders.remove(spark, *[f"{folder}/delta/delta={n}" for n in folders.numbers(spark, f"{folder}/delta", "delta") if n <= max(before)])
+            folders.remove(spark, *[f"{folder}/base/base={n}" for n in before if n != max(before)])
+
+    increments.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def counter_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a key of what ``counter_sink`` has taken in."""
+    bases = folders.numbers(spark, f"{folder}/base", "base")
+    last = max(bases) if bases else -1
+    parts = [("base", last)] if bases else []
+    parts += [("closed", n) for n in folders.numbers(spark, f"{folder}/closed", "closed") if n <= last]
+    parts += [("delta", n) for n in folders.numbers(spark, f"{folder}/delta", "delta") if n > last]
+    return _counter_rows(spark, folder, parts).groupBy("owner_user_id", "counter_key").agg(F.sum("counter_value").alias("counter_value"))
 
 
 def stage_metrics(events: DataFrame, length: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
@@ -125,34 +188,54 @@ def session_step(state: tuple | None, kind: str, at: float, user: int, idle: flo
     return (issued, at, owner, False), "accepted"
 
 
+# Rows of a key that leave a step at a time.
+_STEP_ROWS = 10000
+SESSION_KINDS = ("issue", "use", "revoke")
+
+
+def _arrivals(batches: Iterator[pd.DataFrame], read: Callable[[pd.DataFrame], list[np.ndarray]]) -> list[np.ndarray]:
+    """Chunks of a key reduced to a few numbers a row, in the order of the last columns: time first, then the others."""
+    parts = [read(batch) for batch in batches]
+    columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
+    order = np.lexsort(columns[::-1])
+    return [c[order] for c in columns]
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
 def sessions(events: DataFrame, idle: float = IDLE_SECONDS, absolute: float = ABSOLUTE_SECONDS) -> DataFrame:
     """events: ts, token, user_id, kind (issue / use / revoke). One outcome row per event.
 
     State per token is four values. An event-time timer drops a token once its absolute expiry has
-    passed the watermark; later uses then find no session and are rejected, as they must be.
+    passed the watermark; later uses then find no session and are rejected, as they must be. The events of one token in
+    one micro-batch are held as three numbers each and leave in chunks.
     """
+    codes = {kind: i for i, kind in enumerate(SESSION_KINDS)}
+
+    def read(batch: pd.DataFrame) -> list[np.ndarray]:
+        return [_micros(batch["ts"]), batch["kind"].map(codes).fillna(1).to_numpy(np.int8), batch["user_id"].to_numpy(np.int64)]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         held = tuple(state.get)[:4] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "order"], kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            at = row.ts.timestamp()
-            held, event = session_step(held, row.kind, at, int(row.user_id), idle, absolute)
-            out.append((key[0], int(row.user_id), row.ts, event))
+        times, kinds, users = _arrivals(batches, read)
+        for start in range(0, len(times), _STEP_ROWS):
+            part = slice(start, start + _STEP_ROWS)
+            out = []
+            for at, kind, user in zip(times[part].tolist(), kinds[part].tolist(), users[part].tolist(), strict=True):
+                held, event = session_step(held, SESSION_KINDS[kind], at / 1e6, user, idle, absolute)
+                out.append(event)
+            yield pd.DataFrame({"token": key[0], "user_id": users[part], "at": times[part].astype("datetime64[us]"), "event": out})
         if held is not None:
             state.update((*held, True))
             expiry = int((held[0] + absolute) * 1000)
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["token", "user_id", "at", "event"])
 
-    ordered = events.withColumn("order", F.when(F.col("kind") == "issue", 0).when(F.col("kind") == "use", 1).otherwise(2))
-    return ordered.groupBy("token").applyInPandasWithState(
-        step, SESSION_ROW, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return events.groupBy("token").applyInPandasWithState(step, SESSION_ROW, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- jobs ----------------------------------------------------------------------------------------
@@ -185,12 +268,18 @@ def job_step(state: tuple, kind: str, worker: str | None, now: float, lease_seco
     return state
 
 
+JOB_KINDS = ("create", "claim", "renew", "complete", "fail", "cancel")
+
+
 def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds: float = 1000) -> DataFrame:
     """events: ts, job_id, worker_id, kind (create / claim / renew / complete / fail / cancel).
 
     Emits lease_expired and past_deadline rows from event-time timers; a terminal state wins and
-    releases the job's state. Events that the rules of ``job_step`` refuse change nothing.
+    releases the job's state. Events that the rules of ``job_step`` refuse change nothing. Events of one moment are
+    taken in the order of the kinds above, then of the workers. A micro-batch's events of one job are held as
+    three numbers each, beside the distinct names of their workers.
     """
+    codes = {kind: i for i, kind in enumerate(JOB_KINDS)}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = tuple(state.get) if state.exists else ("", "", 0.0, 0.0, False)
@@ -209,10 +298,23 @@ def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds
         if state.hasTimedOut:
             due(state.getCurrentWatermarkMs() / 1000)
         else:
-            for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples(index=False):
-                now = row.ts.timestamp()
+            names: dict[str | None, int] = {}
+
+            def read(batch: pd.DataFrame) -> list[np.ndarray]:
+                workers = [w if isinstance(w, str) else None for w in batch["worker_id"]]
+                numbers = [names.setdefault(w, len(names)) for w in workers]
+                return [_micros(batch["ts"]), batch["kind"].map(codes).fillna(len(codes)).to_numpy(np.int8), np.array(numbers, np.int64)]
+
+            times, kinds, workers = _arrivals(batches, read)
+            order, called = _by_name(times, kinds, workers, list(names))
+            for i in order:
+                now = int(times[i]) / 1e6
                 due(now)
-                held = job_step(held, row.kind, row.worker_id, now, lease_seconds, deadline_seconds)
+                kind = JOB_KINDS[kinds[i]] if kinds[i] < len(JOB_KINDS) else ""
+                held = job_step(held, kind, called[workers[i]], now, lease_seconds, deadline_seconds)
+                if len(out) >= _STEP_ROWS:
+                    yield pd.DataFrame(out, columns=["job_id", "at", "event"])
+                    out.clear()
         status, _, lease, deadline, reported = held
         if status in ("queued", "running"):
             state.update(held)
@@ -221,11 +323,19 @@ def lease_monitor(events: DataFrame, lease_seconds: float = 30, deadline_seconds
             state.setTimeoutTimestamp(max(int(soonest * 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["job_id", "at", "event"])
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "at", "event"])
 
     return events.groupBy("job_id").applyInPandasWithState(step, JOB_ROW, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _by_name(times: np.ndarray, kinds: np.ndarray, workers: np.ndarray, names: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+    """Order by time, kind and the name of the worker (none first)."""
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or ""))] = np.arange(len(names))
+    return np.lexsort((place[workers], kinds, times)), names
+
+
 # --- matching and audit --------------------------------------------------------------------------
 
 
@@ -237,6 +347,37 @@ def exact_match_stream(suspects: DataFrame, records: DataFrame, delay: str = "1
     return indexed_file_match(once.drop("ts"), by_owner, by_all)
 
 
+def match_sink(suspects: DataFrame, registry: str, folder: str, delay: str = "1 hour") -> None:
+    """Answer a stream of suspects from the registry folder that ``append_generation_batch`` writes to.
+
+    Rows are those of ``exact_match_stream``, in ``folder``/rows. Each committed part of the registry is reduced to its
+    digests once and kept in ``folder``/index. Before a micro-batch the parts are listed: where none was added, the index
+    of the batch before serves; else the new parts alone are reduced, and the index is summed up anew.
+    """
+    once = suspects.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "cross_owner", "md5", "sha256"]).drop("ts")
+    held: dict[str, object] = {}
+
+    def index(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        parts = committed_parts(spark, registry, "v4_records")
+        if held.get("parts") != sorted(parts):
+            done = set(folders.names(spark, f"{folder}/index", "part"))
+            for name in parts:
+                if name not in done:
+                    digest_index(parts[name])[0].write.mode("overwrite").parquet(f"{folder}/index/part={name}")
+            shape = "owner_user_id int, md5 binary, sha256 binary, n_records bigint, first_id string"
+            files = [f"{folder}/index/part={name}" for name in parts]
+            rows = spark.read.parquet(*files) if files else spark.createDataFrame([], shape)
+            counts = (F.sum("n_records").alias("n_records"), F.min("first_id").alias("first_id"))
+            by_owner = cut_lineage(rows.groupBy("owner_user_id", "md5", "sha256").agg(*counts))
+            held.update(parts=sorted(parts), index=(by_owner, cut_lineage(by_owner.groupBy("md5", "sha256").agg(*counts))))
+        return held["index"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        indexed_file_match(batch, *index(batch.sparkSession)).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    once.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
 def audit_append(events: DataFrame) -> DataFrame:
     """Allow-listed audit columns; free-form details never reach the sink."""
     return events.select(*[c for c in AUDIT_COLUMNS if c in events.columns])

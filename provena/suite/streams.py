@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from provena import schemas
 from provena.session import ensure_checkpoint_dir
+from provena.sources import sinks
 from provena.sources.registry import scan_events_stream
 from provena.streaming import monitors
 from provena.suite.base import query, records, table
@@ -61,8 +63,8 @@ def login_throttle(spark: SparkSession, folder: str) -> DataFrame:
 def running_counters(spark: SparkSession, folder: str) -> DataFrame:
     out = work_folder(spark, "counters")
     rows = events_stream(spark, folder).select("ts", F.col("user_id").alias("owner_user_id"), F.col("event_type").alias("counter_key"), F.lit(1).alias("delta"))
-    monitors.run_available(monitors.running_counters(rows), out)
-    return monitors.latest_rows(spark, out, ["owner_user_id", "counter_key"]).select("owner_user_id", "counter_key", "counter_value")
+    monitors.counter_sink(rows, out)
+    return monitors.counter_totals(spark, out)
 
 
 @query(
@@ -80,7 +82,23 @@ def stage_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.unix_timestamp("window_start").alias("window_start"), "stage", "events", F.round("mean_ms", 6).alias("mean_ms"), "max_ms", "candidates", "fallbacks")
 
 
-@query("sessions")
+# One step an event of a token: what its session was, and what the event makes of it.
+_SESSIONS_SQL = f"""WITH RECURSIVE k AS (
+  SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS token, user_id, epoch_us(ts) AS moment, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS kind FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY moment, kind) AS n FROM k),
+walk AS (
+  SELECT token, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS user_id, CAST(NULL AS BIGINT) AS moment, CAST(NULL AS BIGINT) AS issued, CAST(NULL AS BIGINT) AS used, false AS gone, '' AS event
+  FROM (SELECT DISTINCT token FROM k)
+  UNION ALL
+  SELECT token, n, user_id, moment, CASE kind WHEN 0 THEN moment ELSE issued END, CASE WHEN kind = 0 OR event = 'accepted' THEN moment ELSE used END, kind <> 0 AND (gone OR event IN ('expired', 'revoked')), event
+  FROM (SELECT w.token, e.n, e.user_id, e.moment, e.kind, w.issued, w.used, w.gone,
+          CASE WHEN kind = 0 THEN 'issued' WHEN issued IS NULL OR gone THEN 'rejected' WHEN e.moment >= least(used + {monitors.IDLE_SECONDS * 10**6}, issued + {monitors.ABSOLUTE_SECONDS * 10**6}) THEN 'expired'
+               WHEN kind = 2 THEN 'revoked' ELSE 'accepted' END AS event
+        FROM walk w JOIN e ON e.token = w.token AND e.n = w.n + 1))
+SELECT token, user_id, moment, event FROM walk WHERE n > 0"""
+
+
+@query("sessions", _SESSIONS_SQL)
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """User-days as tokens: sign-ups issue, errors revoke, every other event is a use."""
     out = work_folder(spark, "sessions")
@@ -88,10 +106,38 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     rows = events_stream(spark, folder).select("ts", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("token"), "user_id", kind.alias("kind"))
     monitors.run_available(monitors.sessions(rows), out, "append")
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
-    return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("lease_monitor")
+    return rows.select("token", "user_id", F.unix_micros("at").alias("moment"), "event")
+
+
+# One step an event of a job: what has come due before it, then what it changes; timers at the watermark last.
+_LEASES_SQL = """WITH RECURSIVE k AS (
+  SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS job_id, CAST(event_id % 2 AS VARCHAR) AS worker, epoch_us(ts) AS moment,
+         CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 9 END AS kind FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, kind, worker) AS n FROM k),
+ends AS (SELECT max(moment) - 600000000 AS mark FROM k),
+walk AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS n, '' AS status, '' AS owner, CAST(0 AS BIGINT) AS lease, CAST(0 AS BIGINT) AS deadline, false AS told, CAST(NULL AS BIGINT) AS lease_out, CAST(NULL AS BIGINT) AS past_out
+  FROM (SELECT DISTINCT job_id FROM k)
+  UNION ALL
+  SELECT job_id, n,
+         CASE WHEN made THEN 'queued' WHEN taken THEN 'running' WHEN done THEN 'finished' ELSE status END, CASE WHEN taken THEN worker ELSE owner END,
+         CASE WHEN taken THEN moment + 30000000 ELSE lease END, CASE WHEN made THEN moment + 1000000000 ELSE deadline END, NOT (made OR taken) AND told, lease_out, past_out
+  FROM (SELECT *, kind = 0 AND status = '' AS made,
+               moment < deadline AND ((kind = 1 AND (status = 'queued' OR (status = 'running' AND lease < moment))) OR (kind = 2 AND status = 'running' AND owner = worker)) AS taken,
+               kind IN (3, 4) AND status = 'running' AND owner = worker AS done
+        FROM (SELECT job_id, n, moment, kind, worker, owner, lease, deadline, told OR lease_due OR past_due AS told, CASE WHEN past_due THEN 'overdue' ELSE status END AS status,
+                     CASE WHEN lease_due THEN lease END AS lease_out, CASE WHEN past_due THEN deadline END AS past_out
+              FROM (SELECT w.job_id, e.n, e.moment, e.kind, e.worker, w.status, w.owner, w.lease, w.deadline, w.told,
+                           status = 'running' AND NOT told AND lease < e.moment AND lease <= deadline AS lease_due, status IN ('queued', 'running') AND deadline <= e.moment AS past_due
+                    FROM walk w JOIN e ON e.job_id = w.job_id AND e.n = w.n + 1)))),
+last AS (SELECT *, (SELECT mark FROM ends) AS mark FROM walk QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1)
+SELECT job_id, lease_out AS moment, 'lease_expired' AS event FROM walk WHERE lease_out IS NOT NULL
+UNION ALL SELECT job_id, past_out, 'past_deadline' FROM walk WHERE past_out IS NOT NULL
+UNION ALL SELECT job_id, lease, 'lease_expired' FROM last WHERE status = 'running' AND NOT told AND lease <= deadline AND lease + 1000 < mark
+UNION ALL SELECT job_id, deadline, 'past_deadline' FROM last WHERE status IN ('queued', 'running') AND deadline < mark"""
+
+
+@query("lease_monitor", _LEASES_SQL)
 def lease_monitor(spark: SparkSession, folder: str) -> DataFrame:
     """Users as jobs: sign-ups create, views claim, clicks renew, purchases complete, errors fail."""
     out = work_folder(spark, "leases")
@@ -99,7 +145,7 @@ def lease_monitor(spark: SparkSession, folder: str) -> DataFrame:
     rows = events_stream(spark, folder).select("ts", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), (F.col("event_id") % 2).cast("string").alias("worker_id"), F.element_at(names, F.col("event_type")).alias("kind"))
     monitors.run_available(monitors.lease_monitor(rows), out, "append")
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
-    return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("job_id", F.unix_micros("at").alias("moment"), "event")
 
 
 @query(
@@ -123,6 +169,42 @@ def exact_match_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "exact_match_refreshed",
+    """WITH d AS (SELECT doc_id, doc_id * 3 % 7 AS user_id, lang = 'es' AS cross_owner, md5(text) AS h, doc_id % 3 = 0 AS early FROM documents WHERE text IS NOT NULL),
+       q AS (SELECT user_id, cross_owner, h, bool_or(early) AS early FROM d GROUP BY ALL),
+       r AS (SELECT doc_id, doc_id % 7 AS owner, text, doc_id % 2 = 0 AS stored FROM documents WHERE text IS NOT NULL AND lang NOT IN ('de', 'fr')),
+       f AS (SELECT doc_id, owner, stored, md5(text) AS h FROM r UNION SELECT doc_id, owner, stored, md5(lower(text)) FROM r),
+       n AS (SELECT q.user_id, q.cross_owner, q.h, count(DISTINCT f.doc_id) AS n FROM q LEFT JOIN f ON f.h = q.h AND (q.cross_owner OR f.owner = q.user_id) AND (f.stored OR NOT q.early) GROUP BY ALL)
+       SELECT CASE n WHEN 0 THEN 'continue' WHEN 1 THEN 'success' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM n GROUP BY 1""",
+)
+def exact_match_refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """Suspects of two arrivals against a registry that a second batch joins in between; the index is kept and extended."""
+    out = work_folder(spark, "refreshed")
+    docs = table(spark, folder, "documents").where(F.col("text").isNotNull())
+    digest = lambda text, f: F.unhex(f(F.encode(text, "UTF-8")))
+    sha = lambda c: F.sha2(c, 256)
+    held = {
+        "record_id": F.col("doc_id").cast("string"), "owner_user_id": F.col("doc_id") % 7, "trace_id": F.concat(F.lit("trace-"), F.col("doc_id").cast("string")),
+        "status": F.when(F.col("lang").isin("de", "fr"), F.lit("deleted")).otherwise(F.lit("active")),
+        "original_file_md5": digest(F.col("text"), F.md5), "original_file_sha256": digest(F.col("text"), sha),
+        "watermarked_file_md5": digest(F.lower("text"), F.md5), "watermarked_file_sha256": digest(F.lower("text"), sha),
+    }
+    fields = schemas.table_schema("v4_records").fields
+    stored = docs.select("doc_id", *[held.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    asked = docs.select(
+        F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") % 60).alias("ts"), F.col("doc_id").alias("query_id"), (F.col("doc_id") * 3 % 7).alias("user_id"), (F.col("lang") == "es").alias("cross_owner"),
+        digest(F.col("text"), F.md5).alias("md5"), digest(F.col("text"), sha).alias("sha256"),
+    )
+    early = F.col("query_id") % 3 == 0
+    for batch, arriving in ((0, early), (1, ~early)):
+        sinks.append_generation_batch(f"{out}/registry", f"batch-{batch}", {"v4_records": stored.where(F.col("doc_id") % 2 == batch).drop("doc_id")})
+        asked.where(arriving).write.mode("append").parquet(f"{out}/in")
+        monitors.match_sink(spark.readStream.schema(asked.schema).parquet(f"{out}/in"), f"{out}/registry", out)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("audit_append", "SELECT CAST(event_id AS VARCHAR) AS event_id, user_id AS actor_user_id, event_type AS action FROM events")
 def audit_append(spark: SparkSession, folder: str) -> DataFrame:
     out = work_folder(spark, "audit")
