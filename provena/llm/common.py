@@ -19,6 +19,9 @@ from provena.session import ensure_checkpoint_dir
 CHUNK_BYTES = 2 << 20
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Hashes of a chunk are taken in slices of about so many bytes and words, however long a text is.
+SLICE_BYTES, SLICE_WORDS = 1 << 20, 1 << 17
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0xD6E8FEB86659FD93
 _WORD_STEP = 0xA0761D6478BD642F
@@ -233,13 +236,20 @@ class Words:
         return len(self.starts)
 
     def _hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(_BYTE_STEP, len(self.data))
-        values = _CODES[self.data]
-        values *= up
-        total = np.add.reduceat(values, self.starts) * down[self.starts]
-        return mixed(total + (self.ends - self.starts).astype(np.uint64) * _GOLDEN)
+        """Hashes of the words, taken in slices of whole words: a hash does not depend on where its word lies."""
+        out = np.empty(len(self.starts), np.uint64)
+        row = 0
+        while row < len(out):
+            begin = int(self.starts[row])
+            stop = max(row + 1, int(np.searchsorted(self.ends, begin + SLICE_BYTES, "right")))
+            starts = self.starts[row:stop] - begin
+            values = _CODES[self.data[begin : int(self.ends[stop - 1])]]
+            up, down = _powers(_BYTE_STEP, len(values))
+            values *= up
+            total = np.add.reduceat(values, starts) * down[starts]
+            out[row:stop] = mixed(total + (self.ends - self.starts)[row:stop].astype(np.uint64) * _GOLDEN)
+            row = stop
+        return out
 
     def text_of(self) -> np.ndarray:
         """Text number of each word."""
@@ -250,13 +260,17 @@ class Words:
         n = len(self)
         if n < size:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        up, down = _powers(_WORD_STEP, n)
-        sums = np.zeros(n + 1, np.uint64)
-        words = mixed(self.hash + np.uint64(salt)) if salt else self.hash
-        np.cumsum(words * up, out=sums[1:])
-        total = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-        last = self.first[1:][self.text_of()[: n - size + 1]]
-        return mixed(total + np.uint64(size)), np.arange(size, n + 1) <= last
+        out = np.empty(n - size + 1, np.uint64)
+        # Slices overlap by the words of a gram; its hash does not depend on where it lies.
+        for begin in range(0, len(out), SLICE_WORDS):
+            stop = min(begin + SLICE_WORDS, len(out))
+            words = self.hash[begin : stop + size - 1]
+            up, down = _powers(_WORD_STEP, len(words))
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum((mixed(words + np.uint64(salt)) if salt else words) * up, out=sums[1:])
+            out[begin:stop] = mixed((sums[size:] - sums[:-size]) * down[: stop - begin] + np.uint64(size))
+        last = np.repeat(self.first[1:], self.count)[: len(out)]
+        return out, np.arange(size, n + 1) <= last
 
     def winnowed(self, size: int, span: int) -> tuple[np.ndarray, np.ndarray]:
         """Winnowing: positions of the least ``size``-gram of every ``span``-word window, and their hashes.

@@ -3,13 +3,14 @@
 1. Texts of equal words are one class; a class of several documents recurs as a whole.
 2. Every class keeps the least 18-gram of each sliding 35-word window (winnowing), so two places of one
    window keep the same phrase. Phrases kept at two places or more are the recurring phrases.
-3. The documents that hold recurring phrases are dealt into shards. Each shard compiles its phrases into an
-   Aho-Corasick automaton (pyahocorasick over one symbol a word) and streams its documents through it. The words
-   of the phrases are looked up in the shard's own documents by rolling hash, which already locates every place;
-   the automaton finds the same places again, and more where two words share a symbol.
+3. Each recurring phrase is spelled once, by the least document that holds it: a symbol for each of its words.
+   Phrases and the documents that hold them are dealt into shards. A shard compiles the phrases that it was dealt
+   into an Aho-Corasick automaton (pyahocorasick) and streams its documents through it; the places of phrases are
+   those that the automaton finds.
 4. The windows around the occurrences are confirmed by counting their 96-bit hashes over all documents.
 
-Automata stay as small as a shard, so the work grows in proportion to the corpus.
+Automata stay as small as a shard, so the work grows in proportion to the corpus. Two words may share a symbol: then
+an automaton finds a place more, whose windows step 4 leaves out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from provena.llm import common
@@ -55,25 +57,37 @@ def _symbols(words: common.Words) -> np.ndarray:
     return ((words.hash >> np.uint64(44)).astype(np.uint32) & np.uint32(_SYMBOLS)) + np.uint32(_PLANE)
 
 
+def _spelled(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The symbols of the phrases that a document was asked to spell."""
+    size = phrase_size(window)
+    for batch in batches:
+        for part in common.chunks(batch, "text"):
+            words = common.Words(part.column("text"), common.WHITE_EXACT)
+            at, prints = words.winnowed(size, window)
+            asked = part.column("asked")
+            lists = asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            # A phrase is spelled by its own document alone: both sides carry the number of the text.
+            keyed = lambda text, prints: common.mixed(prints + common.mixed(text.astype(np.uint64) + np.uint64(1)))
+            wanted = keyed(np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy()), lists)
+            _, _, pick = np.intersect1d(wanted, keyed(words.text_of()[at], prints), return_indices=True)
+            symbols = _symbols(words)[at[pick][:, None] + np.arange(size)]
+            yield common.batch_of(["print", "phrase"], [common.signed(prints[pick]), common.as_binaries(symbols.ravel(), np.full(len(pick), size))])
+
+
 def _located(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Windows around each place of a recurring phrase: the automaton of a shard, then its documents."""
     names = ["doc_id", "h1", "h2", "start"]
     size = phrase_size(window)
     for batch in batches:
         for part in common.chunks(batch, "text"):
-            words = common.Words(part.column("text"), common.WHITE_EXACT)
-            symbols = _symbols(words)
-            text = symbols.tobytes().decode("utf-32-le")
-            grams, inside = words.grams(size)
-            phrases = part.column("phrases").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            places = np.flatnonzero(inside & np.isin(grams, phrases))
-            _, one = np.unique(grams[places], return_index=True)
             automaton = ahocorasick.Automaton()
-            for place in places[one]:
-                automaton.add_word(text[place : place + size], size)
+            for phrase in pc.unique(part.column("phrases").flatten()).to_pylist():
+                automaton.add_word(phrase.decode("utf-32-le"), size)
             hits = []
-            if len(one):
+            words = common.Words(part.column("text"), common.WHITE_EXACT)
+            if len(automaton):
                 automaton.make_automaton()
+                text = _symbols(words).tobytes().decode("utf-32-le")
                 for row in range(part.num_rows):
                     begin = int(words.first[row])
                     hits += [begin + end - size + 1 for end, _ in automaton.iter(text[begin : int(words.first[row + 1])])]
@@ -140,8 +154,11 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, with_text: bool
     same = F.col("doc_id").eqNullSafe(F.col("_doc"))
     heads = profile.select("doc_id", "prints").join(classes.select(F.col("head.doc_id").alias("_doc")), same)
     places = heads.select("doc_id", F.explode("prints").alias("print"))
-    counts = places.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    hits = common.skew_join(places, counts, "print").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("print").alias("phrases"))
+    counts = common.written(places.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct("doc_id")).alias("owner")).where("n > 1").select("print", "owner.doc_id"))
+    asked = counts.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("print").alias("asked"))
+    owners = texts.join(asked, same).select("text", "asked")
+    spelled = common.written(owners.mapInArrow(lambda b: _spelled(b, window), "print bigint, phrase binary"))
+    hits = common.skew_join(places, spelled, "print").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("phrase").alias("phrases"))
 
     # Shards are bounded slices of the partitions that this join deals.
     shards = texts.join(hits, same).select("doc_id", "text", "phrases")
@@ -149,7 +166,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, with_text: bool
     again = located.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.struct("h1", "h2").alias("_again"))
     starts = common.written(located.join(again, F.struct("h1", "h2") == F.col("_again")).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("starts")))
     brief = common.written(profile.drop("prints"))
-    common.discard(located, profile)
+    common.discard(located, profile, counts, spelled)
     cleaned = texts.join(starts, same).select("doc_id", "text", "starts")
     fields = f"doc_id {kind}, spans array<struct<start:bigint,length:bigint>>, n_removed bigint, digest string, kept string"
     cleaned = cleaned.mapInArrow(lambda b: _cleaned(b, window), fields)
