@@ -17,15 +17,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.llm import common
 
-BINS = 256
+# A cell returns at most k bins a query, so many bins cost memory only: ranges of 2^24 values take two rounds.
+BINS = 4096
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
-LIMIT = 1 << 62
+# Squared length of a scaled vector; products of two such vectors stay within a long.
+LIMIT = 1 << 60
 
 
 def quantized(vector: str, scale: int) -> Column:
-    """floor(scale * x) of each component, null if the vector is null or a component is null or not finite."""
+    """floor(scale * x) of each component, null if the vector is null or too long, or a component is null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.when(F.col(vector).isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")))
+    square = F.aggregate(F.col(vector), F.lit(0.0), lambda n, x: n + (x.cast("double") * scale) * (x.cast("double") * scale))
+    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
+    return F.when(F.col(vector).isNotNull() & ~bad & (square < float(LIMIT)), whole)
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -95,9 +99,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024)
     Takes vectors(vec_id long, embedding array); ``queries`` is a condition on vec_id. Returns ``query_id, rank``
     (from 1), ``vec_id, score``, ties to the smaller vec_id; a query with fewer candidates gets all of them.
 
-    Rows take no part if the id or the vector is null, or if a component is null or not finite. Rows that repeat
+    Rows take no part if the id or the vector is null, if a component is null or not finite, or if the squared length
+    of the scaled vector is 2^60 or more, as its scores may leave a long. Rows that repeat
     an id are one row (of the least vector). Vectors of another length than the query's are no candidates, so an
-    empty vector only meets empty ones, with score 0. Scores beyond 2^62 are refused. An empty table gives no rows.
+    empty vector only meets empty ones, with score 0. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized("embedding", scale).alias("v"))
@@ -110,8 +115,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024)
     if bound[1] is None:
         return spark.createDataFrame([], shape)
     reach = math.ceil(math.sqrt(bound[0]) * math.sqrt(bound[1]) * (1 + 1e-9)) + 1
-    if reach >= LIMIT:
-        raise ValueError("scores may leave the range of a long")
 
     candidates, n = _blocks(rows, CANDIDATE_ROWS)
     blocks, _ = _blocks(asked, QUERY_ROWS)
