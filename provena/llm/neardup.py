@@ -121,7 +121,7 @@ def _visits(home: np.ndarray, guest: np.ndarray, depth: int) -> tuple[np.ndarray
 
 def _placed(batches: Iterator[pa.RecordBatch], tables: int, cosine: float, reach: float) -> Iterator[pa.RecordBatch]:
     """Rows of (head, label, dim, v, depth, mean) by table and tile; ``own`` marks the tile a row belongs to."""
-    names = ["head", "weight", "label", "dim", "v", "home", "guest", "table", "tile", "own"]
+    names = ["head", "label", "dim", "home", "guest", "table", "tile", "own"]
     for batch in batches:
         dims, depths = batch.column("dim").to_numpy(), batch.column("depth").to_numpy()
         for dim, depth in sorted(set(zip(dims.tolist(), depths.tolist(), strict=True))):
@@ -132,7 +132,7 @@ def _placed(batches: Iterator[pa.RecordBatch], tables: int, cosine: float, reach
             for t in range(tables):
                 rows, tiles = _visits(home[:, t], guest[:, t], depth)
                 take = pa.array(rows)
-                columns = [part.column(c).take(take) for c in ("head", "weight", "label", "dim", "v")] + [b.take(take) for b in bits]
+                columns = [part.column(c).take(take) for c in ("head", "label", "dim")] + [b.take(take) for b in bits]
                 yield common.batch_of(names, [*columns, np.full(len(rows), t, np.int32), tiles, tiles == home[rows, t]])
 
 
@@ -223,9 +223,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     depth = F.least(F.lit(MAX_DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / TILE)))).cast("int")
     means = means.select(F.struct("label", "dim").alias("set"), depth.alias("depth"), "mean")
     ready = common.skew_join(classes.withColumn("set", F.struct("label", "dim")), means, "set")
-    kind = classes.schema["v"].dataType.simpleString()
-    fields = f"head bigint, weight bigint, label {label}, dim int, v {kind}, home array<bigint>, guest array<bigint>, table int, tile bigint, own boolean"
-    ready = ready.select("head", "weight", "label", "dim", "v", "depth", "mean")
+    fields = f"head bigint, label {label}, dim int, home array<bigint>, guest array<bigint>, table int, tile bigint, own boolean"
+    ready = ready.select("head", "label", "dim", "v", "depth", "mean")
     placed = ready.mapInArrow(lambda b: _placed(b, tables, cosine, reach), fields)
     keys = ["label", "dim", "table", "tile"]
     placed = common.written(placed)
@@ -236,10 +235,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     spread = lambda own, other: F.struct(F.pmod(F.xxhash64("head", F.lit(3)), F.col(own)).cast("int").alias("at"), F.sequence(F.lit(0), F.col(other) - 1).alias("all"))
     ask = dealt.withColumn("_s", spread("left", "right")).select("*", F.col("_s.at").alias("q"), F.explode("_s.all").alias("c"), F.lit(0).alias("side"))
     answer = dealt.where("own").withColumn("_s", spread("right", "left")).select("*", F.explode("_s.all").alias("q"), F.col("_s.at").alias("c"), F.lit(1).alias("side"))
-    columns = [*keys, "q", "c", "side", "head", "weight", "v", "home", "guest"]
+    columns = [*keys, "q", "c", "side", "head", "home", "guest"]
     least = wanted_collisions(DIRECTIONS, window, recall)
-    cells = ask.select(*columns).union(answer.select(*columns)).groupBy(*keys, "q", "c")
+    # Vectors join last, and move once for each cell that they are in.
+    cells = ask.select(*columns).union(answer.select(*columns))
+    cells = cells.join(classes.select("head", "weight", "v"), "head").groupBy(*keys, "q", "c")
     found = common.written(cells.applyInArrow(lambda t: _cell(t, cosine, window, least, tables), "a bigint, b bigint, n bigint"))
+    common.discard(placed)
     counts = found.where("n is not null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("others"))
     reached = jaccard.components(found.where("n is null").select("a", "b"))
     named = classes.select("key", "head", "weight").join(counts, "head", "left").join(reached.withColumnRenamed("node", "head"), "head", "left")
