@@ -344,18 +344,14 @@ def codeword_match(observations: DataFrame, records: DataFrame) -> DataFrame:
     observations: query_id, user_id, cross_owner, source_group_id, codeword, confidences.
     records: record_id, source_group_id, owner_user_id, codeword (of a verified tag), status.
     """
+    # Scope comes first: records meet the observations of their owner, and those that ask across owners as a part more.
+    group, star = F.col("source_group_id").cast("string"), F.lit("*")
     live = records.where(F.col("status") == "active")
-    parted = lambda f: f.withColumn("_part", F.col("source_group_id").cast("string"))
+    stored = live.select("record_id", "codeword", F.explode(F.array(F.concat(group, F.lit("|"), F.col("owner_user_id").cast("string")), F.concat(group, F.lit("|"), star))).alias("_part"))
+    asked = F.concat(group, F.lit("|"), F.when(F.col("cross_owner"), star).otherwise(F.col("user_id").cast("string")))
+    seen = observations.select("query_id", "source_group_id", "codeword", "confidences", asked.alias("_part")).where(F.col("_part").isNotNull())
     schema = "query_id bigint, source_group_id bigint, record_id bigint, bit_errors int, erasure_count int, corrected_symbols int, blind boolean"
-    hits = blocked_pairs(
-        parted(observations.select("query_id", "source_group_id", "codeword", "confidences")),
-        parted(live.select("record_id", "source_group_id", "codeword")),
-        "_part", "query_id", "record_id", _accepted_pairs, schema,
-    )
-    scope = observations.select("query_id", "source_group_id", "user_id", "cross_owner")
-    owners = live.select("record_id", "owner_user_id")
-    hits = hits.join(scope, ["query_id", "source_group_id"]).join(owners, "record_id")
-    hits = hits.where(F.col("cross_owner") | (F.col("owner_user_id") == F.col("user_id")))
+    hits = blocked_pairs(seen, stored.where(F.col("_part").isNotNull()), "_part", "query_id", "record_id", _accepted_pairs, schema)
     any_blind = hits.where(F.col("blind")).select("query_id", "source_group_id").distinct().withColumn("_b", F.lit(True))
     kept = hits.join(any_blind, ["query_id", "source_group_id"], "left").where(F.col("_b").isNull() | F.col("blind"))
     return kept.select("query_id", "source_group_id", "record_id", "bit_errors", "erasure_count", "corrected_symbols")

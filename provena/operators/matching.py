@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from provena.functions import text
 from provena import schemas
@@ -223,7 +223,7 @@ def orphan_rows(child: DataFrame, child_keys: Sequence[str], parent: DataFrame,
 def constraint_violations(tables: dict[str, DataFrame], rules: dict[str, schemas.Constraints] | None = None) -> DataFrame:
     """(table, kind, rule, row_key) of everything that breaks the declared rules of the given tables.
 
-    ``check`` and ``foreign`` name the row, ``unique`` the values of the repeated key. Rules on tables that are not
+    ``check`` and ``foreign`` name the row, ``unique`` the values of the repeated key. Rules on tables, or on child columns, that are not
     given are left out; NULL passes checks and keys with a NULL never clash, as in SQL.
     """
     rules = schemas.constraints() if rules is None else rules
@@ -234,15 +234,16 @@ def constraint_violations(tables: dict[str, DataFrame], rules: dict[str, schemas
 
     for name, frame in tables.items():
         own = rules[name]
+        shown_key = F.hex(own.key) if isinstance(frame.schema[own.key].dataType, T.BinaryType) else F.col(own.key)
         if own.checks:
-            add(check_violations(frame, own.key, own.checks), name, "check", F.col("constraint"), F.col(own.key))
+            add(check_violations(frame, own.key, own.checks), name, "check", F.col("constraint"), shown_key)
         for rule, keys in own.unique.items():
             shown = [(F.hex(k) if t == "binary" else F.col(k).cast("string")).alias(k) for k, t in frame.select(*keys).dtypes]
             whole = frame.dropna(subset=list(keys)).select(*shown)
             add(duplicate_keys(whole, keys), name, "unique", F.lit(rule), F.concat_ws("|", *keys))
         for rule, (child_keys, parent, parent_keys) in own.foreign.items():
-            if parent in tables:
-                add(orphan_rows(frame, child_keys, tables[parent], parent_keys), name, "foreign", F.lit(rule), F.col(own.key))
+            if parent in tables and {*child_keys} <= {*frame.columns}:
+                add(orphan_rows(frame, child_keys, tables[parent], parent_keys), name, "foreign", F.lit(rule), shown_key)
     return reduce(DataFrame.unionByName, found)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -11,6 +12,8 @@ from provena.session import cut_lineage, shuffle_partitions
 
 # One block pair of a blocked comparison holds at most about this many rows a side.
 BLOCK_ROWS = 2048
+# Keys that a join splits at most; with more shuffle partitions than these, keys of a larger share are hot.
+MAX_HOT_KEYS = 10_000
 
 
 def _name(item: str | Column) -> Column:
@@ -126,28 +129,32 @@ def split_hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], sprea
 
     A key with more rows than an even shuffle partition of its side is cut into parts of that size: left rows
     by ``spread_by``, and with ``spread_right`` (inner joins) right rows as well, each side repeated for the parts
-    of the other. At most as many keys a side as there are shuffle partitions are hot, so their list is safe to broadcast.
+    of the other. At most as many keys a side as there are shuffle partitions are hot, so their list is small. Each side
+    is read once more to find them.
     """
-    partitions = shuffle_partitions(left.sparkSession)
-
-    def hot(frame: DataFrame, name: str) -> DataFrame:
-        share = frame.count() / partitions
-        sizes = frame.groupBy(*keys).count().where(F.col("count") > F.lit(max(share, 1.0)))
-        return sizes.select(*keys, F.ceil(F.col("count") / F.lit(max(share, 1.0))).cast("int").alias(name))
-
-    parts = hot(left, "_nl")
-    if spread_right:
-        parts = parts.join(hot(right, "_nr"), list(keys), "full")
-    else:
-        parts = parts.withColumn("_nr", F.lit(1))
-
-    def placed(frame: DataFrame, own: str, by: str | None, other: str) -> DataFrame:
-        rows = frame.join(F.broadcast(parts), list(keys), "left")
-        n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
-        mine = F.pmod(F.xxhash64(by), n_own).cast("int") if by else F.lit(0)
+    spark, partitions = left.sparkSession, shuffle_partitions(left.sparkSession)
+    key = F.xxhash64(*keys)
+
+    def hot(frame: DataFrame) -> dict[int, int]:
+        """Parts of each hot key, by its hash: one aggregate counts the rows and sketches the most frequent keys."""
+        items = min(partitions, MAX_HOT_KEYS)
+        seen = frame.select(key.alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h, {items}, {10 * items})").alias("top")).first()
+        share = max(seen["n"] / partitions, 1.0)
+        return {row["item"]: math.ceil(row["count"] / share) for row in seen["top"] or [] if row["item"] is not None and row["count"] > share}
+
+    own, other = hot(left), hot(right) if spread_right else {}
+    if not own and not other:
+        return left.join(right, list(keys), how)
+    # Any number of parts gives the same rows, so counts may be estimates.
+    parts = F.broadcast(spark.createDataFrame([(h, own.get(h, 1), other.get(h, 1)) for h in sorted({*own, *other})], "_h bigint, _nl int, _nr int"))
+
+    def placed(frame: DataFrame, mine: str, by: str | None, others: str) -> DataFrame:
+        rows = frame.withColumn("_h", key).join(parts, "_h", "left")
+        n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (mine, others))
+        at = F.pmod(F.xxhash64(by), n_own).cast("int") if by else F.lit(0)
         side = {"_nl": "_sl", "_nr": "_sr"}
-        rows = rows.withColumns({side[own]: mine, side[other]: F.sequence(F.lit(0), n_other - 1)})
-        return rows.withColumn(side[other], F.explode(side[other])).drop("_nl", "_nr")
+        rows = rows.withColumns({side[mine]: at, side[others]: F.sequence(F.lit(0), n_other - 1)})
+        return rows.withColumn(side[others], F.explode(side[others])).drop("_nl", "_nr", "_h")
 
     return placed(left, "_nl", spread_by, "_nr").join(placed(right, "_nr", spread_right, "_nl"), [*keys, "_sl", "_sr"], how).drop("_sl", "_sr")
 

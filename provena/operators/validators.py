@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text
 from provena.operators.scale import pinned
@@ -37,7 +39,7 @@ class Item:
 
     def pin(self, frame: DataFrame) -> DataFrame:
         """Read kind and text of the named fields once a row; the rules then use plain columns."""
-        columns = {}
+        columns = {"item__object": _is_object(self.column)}
         for name in self.pinned_fields:
             columns[f"{name}__kind"] = F.schema_of_variant(F.try_variant_get(self.column, f"$.{name}", "variant"))
             columns[f"{name}__text"] = F.try_variant_get(self.column, f"$.{name}", "string")
@@ -67,9 +69,13 @@ class Item:
         return F.coalesce(F.length(self.text(name)) > 0, F.lit(False))
 
 
+def _is_object(item: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+
+
 def _of_objects(rules: list[tuple[Column, Column | str]]) -> list[tuple[Column, Column | str]]:
-    """An item that is not an object breaks one rule; the others hold for objects only."""
-    is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    """A pinned item that is not an object breaks one rule; the others hold for objects only."""
+    is_object = F.col("item__object")
     return [(~is_object, "must be an object"), *[(is_object & broken, message) for broken, message in rules]]
 
 
@@ -80,13 +86,22 @@ def _quoted(value: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
+# Rules whose messages are made in one step: compiled code of too many of them at once is too long to be optimised.
+_RULES_A_STEP = 10
+
+
 def _rows(frame: DataFrame, keys: list[str], rules: list[tuple[Column, Column | str]]) -> DataFrame:
     """Broken rules as rows; rules are (broken, message)."""
     entries = []
     for place, (broken, message) in enumerate(rules):
         message = F.lit(message) if isinstance(message, str) else message
         entries.append(F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(place).alias("rule"), message.alias("message"))))
-    return frame.select(*keys, F.inline(F.array_compact(F.array(*entries))))
+    steps = {f"_r{i}": F.array_compact(F.array(*entries[i : i + _RULES_A_STEP])) for i in range(0, len(entries), _RULES_A_STEP)}
+    if len(steps) > 1:
+        for name, step in steps.items():
+            frame = pinned(frame, **{name: step})
+        return frame.select(*keys, F.inline(F.concat(*steps)))
+    return frame.select(*keys, F.inline(*steps.values()))
 
 
 def explode_items(manifests: DataFrame, field: str) -> DataFrame:
@@ -112,13 +127,19 @@ def header_errors(manifests: DataFrame, field: str) -> DataFrame:
     )
 
 
-def _repeats(items: DataFrame, key: Column, name: str) -> DataFrame:
-    """Index of every item whose key appeared at an earlier index."""
-    keyed = items.select("manifest_id", "index", key.alias("k")).where(F.col("k").isNotNull())
-    first = keyed.groupBy("manifest_id", "k").agg(F.min("index").alias("first"))
-    return keyed.join(first, ["manifest_id", "k"]).where(F.col("index") > F.col("first")).select(
-        "manifest_id", "index", F.lit(True).alias(name)
-    )
+def _repeats(items: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Items with a flag for each key: whether it appeared at an earlier index of the manifest; a NULL key repeats nothing.
+
+    The least index of a key is taken over narrow rows, where those without a key stand alone; the few that repeat
+    then join the items once.
+    """
+    narrow = items.select("manifest_id", "index", *[key.alias(name) for name, key in keys.items()])
+    for name in keys:
+        alone = F.when(F.col(name).isNull(), F.col("index"))
+        first = F.min("index").over(Window.partitionBy("manifest_id", name, alone))
+        narrow = narrow.withColumn(name, F.col(name).isNotNull() & (F.col("index") > first))
+    marked = narrow.where(reduce(Column.__or__, map(F.col, keys)))
+    return items.join(marked, ["manifest_id", "index"], "left")
 
 
 def _with_files(items: DataFrame, path: Column, files: DataFrame | None, prefix: str) -> DataFrame:
@@ -171,10 +192,7 @@ def negative_manifest_errors(
     path = doc.text("relative_path")
     safe = text.is_safe_path(path, prefix)
     status = doc.text("status")
-    marked = (
-        items.join(_repeats(items, F.when(doc.filled("id"), doc.text("id")), "dup_id"), ["manifest_id", "index"], "left")
-        .join(_repeats(items, F.when(safe, text.normalized_path(path)), "dup_path"), ["manifest_id", "index"], "left")
-    )
+    marked = _repeats(items, {"dup_id": F.when(doc.filled("id"), doc.text("id")), "dup_path": F.when(safe, text.normalized_path(path))})
     marked = _with_files(marked, path, files, "f_")
     good_ext = text.has_image_extension(path)
     rules = [
@@ -219,10 +237,7 @@ def route_manifest_errors(
     good_attempt = F.coalesce(attempt > 0, F.lit(False))
     keyed = doc.filled("source_id") & good_route & good_attempt
     attempt_key = F.when(keyed, F.concat_ws("\u0001", doc.text("source_id"), doc.text("route"), attempt.cast("string")))
-    marked = (
-        items.join(_repeats(items, attempt_key, "dup_attempt"), ["manifest_id", "index"], "left")
-        .join(_repeats(items, F.when(safe_output, text.normalized_path(output)), "dup_path"), ["manifest_id", "index"], "left")
-    )
+    marked = _repeats(items, {"dup_attempt": attempt_key, "dup_path": F.when(safe_output, text.normalized_path(output))})
     marked = _with_files(_with_files(marked, source, files, "s_"), output, files, "o_")
     pending, collected = status == "pending_collection", status == "collected"
     name = lambda p: F.element_at(F.split(p, "/"), -1)

@@ -70,7 +70,9 @@ def _size(column: str, size: int) -> Column:
 
 def constraints() -> dict[str, Constraints]:
     """CHECK, UNIQUE and foreign-key rules of every table (needs an active session)."""
+    owner = {"owner": (("owner_user_id",), "users", ("user_id",))}
     return {
+        "users": Constraints("user_id", {"known_role": F.col("role_key").isin("admin", "user", "auditor")}, {"primary": ("user_id",), "username": ("username",)}),
         "source_groups": Constraints(
             "source_group_id",
             {
@@ -78,7 +80,8 @@ def constraints() -> dict[str, Constraints]:
                 "sha256_length": _size("original_image_sha256", 32),
                 "known_status": F.col("status").isin("active", "disabled", "deleted"),
             },
-            {"owner_sha256": ("owner_user_id", "original_image_sha256")},
+            {"primary": ("source_group_id",), "owner_sha256": ("owner_user_id", "original_image_sha256")},
+            {**owner, "original_media": (("original_media_id",), "media_objects", ("media_id",))},
         ),
         "source_group_embeddings": Constraints(
             "source_group_id",
@@ -98,8 +101,10 @@ def constraints() -> dict[str, Constraints]:
                 "known_variant": F.col("variant").isin("original", "watermarked", "thumbnail"),
                 "byte_size": F.col("byte_size") >= 0,
                 "sha256_length": _size("sha256", 32),
+                "known_status": F.col("status").isin("staged", "active", "deleted"),
             },
-            {"storage_key": ("storage_key",)},
+            {"primary": ("media_id",), "storage_key": ("storage_key",)},
+            owner,
         ),
         "v4_records": Constraints(
             "record_id",
@@ -108,24 +113,33 @@ def constraints() -> dict[str, Constraints]:
                 "md5_lengths": _size("original_file_md5", 16) & _size("watermarked_file_md5", 16),
                 "sha256_lengths": _size("original_file_sha256", 32) & _size("watermarked_file_sha256", 32)
                 & _size("original_pixel_sha256", 32) & _size("watermarked_pixel_sha256", 32),
-                "known_status": F.col("status").isin("active", "disabled", "deleted"),
+                "known_status": F.col("status").isin("staging", "active", "disabled", "deleted"),
+            },
+            {"primary": ("record_id",), "owner_trace": ("owner_user_id", "trace_id"), "group_tag": ("source_group_id", "auth_tag")},
+            {
+                "group_owner": (("source_group_id", "owner_user_id"), "source_groups", ("source_group_id", "owner_user_id")), **owner,
+                "output_media": (("output_media_id",), "media_objects", ("media_id",)), "thumbnail_media": (("thumbnail_media_id",), "media_objects", ("media_id",)),
             },
-            {"owner_trace": ("owner_user_id", "trace_id"), "group_tag": ("source_group_id", "auth_tag")},
-            {"group_owner": (("source_group_id", "owner_user_id"), "source_groups", ("source_group_id", "owner_user_id"))},
         ),
         "auth_sessions": Constraints(
             "token_hash",
             {"token_hash_length": _size("token_hash", 32), "idle_before_absolute": F.col("idle_expires_at") <= F.col("absolute_expires_at")},
+            {"primary": ("token_hash",)},
+            {"user": (("user_id",), "users", ("user_id",))},
         ),
-        "rate_limit_buckets": Constraints("bucket_key", {"request_count": F.col("request_count") >= 0}),
+        "rate_limit_buckets": Constraints("bucket_key", {"request_count": F.col("request_count") >= 0}, {"primary": ("bucket_key",)}),
         "v4_counters": Constraints(
-            "counter_key", {"counter_value": F.col("counter_value") >= 0}, {"owner_key": ("owner_user_id", "counter_key")}
+            "counter_key", {"counter_value": F.col("counter_value") >= 0}, {"owner_key": ("owner_user_id", "counter_key")}, owner
         ),
+        "audit_events": Constraints("event_id", {}, {"primary": ("event_id",)}),
+        "keypoints": Constraints("owner_id", {"keypoint_index": F.col("kp_idx") >= 0}, {"primary": ("owner_id", "kp_idx")}),
         "deep_forensics_jobs": Constraints(
             "job_id",
             {
                 "progress": F.col("progress").between(0, 100),
                 "known_status": F.col("status").isin("queued", "running", "completed", "failed", "cancelled"),
             },
+            {"primary": ("job_id",)},
+            {**owner, "requested_owner": (("requested_owner_user_id",), "users", ("user_id",)), "input_media": (("input_media_id",), "media_objects", ("media_id",))},
         ),
     }

@@ -293,11 +293,30 @@ def view_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "view_index", "kind", "x", "y", "w", "h")
 
 
-@query("suppress_overlaps")
+@query(
+    "suppress_overlaps",
+    """WITH RECURSIVE k AS (
+  SELECT l_suppkey AS image_id, l_returnflag AS kind, l_partkey % 1800 AS x0, l_suppkey * 9 AS y0, l_partkey % 1800 + CAST(trunc(l_quantity * 8) AS BIGINT) AS x1, l_suppkey * 9 + CAST(trunc(l_quantity * 6) AS BIGINT) AS y1,
+         l_extendedprice AS confidence, concat_ws('|', l_orderkey, l_linenumber, l_partkey, CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS box_id FROM lineitem),
+d AS (SELECT image_id, kind, x0, y0, x1, y1, min({'c': -confidence, 'i': box_id}) AS o FROM k GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY image_id, kind ORDER BY o) AS n FROM d),
+walk AS (
+  SELECT image_id, kind, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, box_id VARCHAR)[]) AS kept FROM (SELECT DISTINCT image_id, kind FROM d)
+  UNION ALL
+  SELECT n.image_id, n.kind, n.n,
+         CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(k.x1, n.x1) - greatest(k.x0, n.x0)) * greatest(0, least(k.y1, n.y1) - greatest(k.y0, n.y0))
+           >= 0.55 * greatest(1, (k.x1 - k.x0) * (k.y1 - k.y0) + (n.x1 - n.x0) * (n.y1 - n.y0) - greatest(0, least(k.x1, n.x1) - greatest(k.x0, n.x0)) * greatest(0, least(k.y1, n.y1) - greatest(k.y0, n.y0))))) > 0
+         THEN kept ELSE list_append(kept, {'x0': n.x0, 'y0': n.y0, 'x1': n.x1, 'y1': n.y1, 'box_id': n.o.i}) END
+  FROM walk w JOIN n ON n.image_id = w.image_id AND n.kind = w.kind AND n.n = w.n + 1),
+ends AS (SELECT image_id, kind, unnest(kept) AS b FROM walk QUALIFY row_number() OVER (PARTITION BY image_id, kind ORDER BY n DESC) = 1)
+SELECT image_id, kind, b.box_id AS box_id, b.x0 AS "left", b.y0 AS top, b.x1 AS "right", b.y1 AS bottom FROM ends""",
+)
 def suppress_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as boxes of a supplier's image (the greedy order has no set form in SQL)."""
-    rows = boxes(spark, folder).withColumn("image_id", F.col("top") * 0 + F.floor(F.col("top") / 9))
-    return evidence.suppress_overlaps(rows)
+    """Line items as boxes of a supplier's image; the SQL goes through them from the strongest on."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").cast("string")
+    box_id = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")], cents("l_quantity"), cents("l_extendedprice"))
+    rows = boxes(spark, folder, box_id).withColumn("image_id", F.floor(F.col("top") / 9))
+    return evidence.suppress_overlaps(rows).drop("confidence")
 
 
 @query(

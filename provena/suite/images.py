@@ -163,7 +163,19 @@ def robust_homography(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("pair", "method", "good_matches", "inliers", F.round("reprojection_error", 3).alias("reprojection_error"))
 
 
-@query("descriptor_matches")
+@query(
+    "descriptor_matches",
+    """WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+') AS l FROM documents WHERE text IS NOT NULL),
+       k AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM w) GROUP BY ALL),
+       p AS (SELECT doc_id, word, i, """
+    + ", ".join(f"CAST('0x' || substr(sha256(word), {1 + 8 * j}, 8) AS BIGINT) AS d{j}" for j in range(8))
+    + """ FROM k),
+       c AS (SELECT a.doc_id, a.i, a.word, b.word AS other, CAST("""
+    + " + ".join(f"CAST(bit_count(xor(a.d{j}, b.d{j})) AS INTEGER)" for j in range(8))
+    + """ AS INTEGER) AS gap FROM p a JOIN p b ON b.doc_id = a.doc_id + 1),
+       m AS (SELECT doc_id, i, min(gap) AS first, list_sort(list(gap))[2] AS second FROM c GROUP BY ALL)
+       SELECT doc_id || '|' || (doc_id + 1) AS pair, count(*) AS good_matches, count(*) FILTER (first = 0) AS equal_words FROM m WHERE first < 0.75 * second GROUP BY doc_id""",
+)
 def descriptor_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Ratio-test matches themselves: 32-byte digests of words as descriptors of neighbouring documents."""
     docs = table(spark, folder, "documents")
@@ -190,12 +202,21 @@ _GENERATED_TAG = _hmac_sql(
 
 @query(
     "generate_batch",
-    f"""WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS n, CAST(ceil(octet_length(encode(text)) / (3 * 256 * 128)) AS BIGINT) * 3 * 256 * 128 AS total FROM documents WHERE length(text) > 0),
-       p AS (SELECT doc_id, sha256(array_slice(encode(repeat(text, CAST(ceil(total / n) AS BIGINT))), 1, total)) AS pixels, substr(sha256(doc_id || ':0'), 1, 32) AS trace_id FROM d)
-       SELECT doc_id AS request_id, CAST(doc_id % 7 AS INTEGER) AS owner_user_id, trace_id, upper(substr({_GENERATED_TAG}, 1, 16)) AS auth_tag FROM p""",
+    f"""WITH d AS (SELECT doc_id, text, source, octet_length(encode(text)) AS n, CAST(ceil(octet_length(encode(text)) / (3 * 256 * 128)) AS BIGINT) * 3 * 256 * 128 AS total FROM documents WHERE length(text) > 0),
+       h AS (SELECT doc_id, text, source, total, sha256(array_slice(encode(repeat(text, CAST(ceil(total / n) AS BIGINT))), 1, total)) AS pixels FROM d),
+       o AS (SELECT doc_id % 7 AS owner, pixels, total, 'old-' || min(doc_id) AS old FROM h WHERE doc_id % 2 = 0 GROUP BY ALL),
+       f AS (SELECT doc_id % 7 AS owner, pixels, total, min(doc_id) AS first FROM h GROUP BY ALL),
+       p AS (SELECT h.*, old, first, substr(sha256(doc_id || ':' || CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END), 1, 32) AS trace_id
+             FROM h JOIN f ON f.owner = h.doc_id % 7 AND f.pixels = h.pixels AND f.total = h.total LEFT JOIN o ON o.owner = h.doc_id % 7 AND o.pixels = h.pixels AND o.total = h.total)
+       SELECT doc_id AS request_id, CAST(doc_id % 7 AS INTEGER) AS owner_user_id, trace_id, upper(substr({_GENERATED_TAG}, 1, 16)) AS auth_tag, old AS reused_group, old IS NULL AND first = doc_id AS new_group,
+              '{crypto.CODEC}' AS codec, 'key-1' AS key_id, source AS original_filename, 'active' AS status, md5(text) AS original_file_md5, sha256(text) AS original_file_sha256, pixels AS original_pixel_sha256 FROM p""",
 )
 def generate_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as upload requests: groups, tags, embedding and record rows in one job."""
+    """Documents as upload requests: groups, tags, embedding and record rows in one job.
+
+    Contents that an even document holds have a stored group, and those of every tenth document a record under the tag
+    of its first attempt, so that groups are reused and tags tried again.
+    """
     docs = spread(table(spark, folder, "documents").where(F.length("text") > 0), "doc_id")
     height, rgb = framed(F.col("text"), WIDTH, TILE_ROWS)
     protected = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
@@ -203,11 +224,20 @@ def generate_batch(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("request_id"), (F.col("doc_id") % 7).cast("int").alias("owner_user_id"), F.col("source").alias("filename"), F.encode("text", "UTF-8").alias("content"),
         F.lit(WIDTH).alias("width"), height.alias("height"), rgb.alias("rgb"), protected.alias("protected"),
     )
-    groups = spark.createDataFrame([], "source_group_id string, owner_user_id int, original_image_sha256 binary, image_width int, image_height int")
-    stored = spark.createDataFrame([], "source_group_id string, auth_tag binary, status string")
+    owner, pixels = F.col("owner_user_id"), F.col("original_image_sha256")
+    seen = cut_lineage(requests.select("request_id", "owner_user_id", crypto.pixel_sha256(F.col("rgb")).alias("original_image_sha256"), F.col("width").alias("image_width"), F.col("height").alias("image_height")))
+    content = ["owner_user_id", "original_image_sha256", "image_width", "image_height"]
+    old = seen.where(F.col("request_id") % 2 == 0).groupBy(*content).agg(F.concat(F.lit("old-"), F.min("request_id").cast("string")).alias("source_group_id"))
+    first_tag = crypto.auth_tag(KEY, F.lit(crypto.CODEC), F.lit("key-1"), owner, pixels, generate.trace_id(F.col("request_id"), 0))
+    stored = seen.where(F.col("request_id") % 10 == 0).join(old, content).select("source_group_id", first_tag.alias("auth_tag"), F.lit("active").alias("status"))
+    groups = old.select("source_group_id", *content)
     made = generate.generate_batch(requests, groups, stored, "key-1", KEY, generate.Versions("m", "f", "v"))
     rows = made["v4_records"].where(F.octet_length("watermarked_pixel_sha256") == 32)
-    return rows.select("request_id", "owner_user_id", "trace_id", F.hex("auth_tag").alias("auth_tag"))
+    reused = F.when(F.col("source_group_id").startswith("old-"), F.col("source_group_id")).alias("reused_group")
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("original_file_md5", "original_file_sha256", "original_pixel_sha256")]
+    brought = made["source_groups"].select("request_id", F.lit(True).alias("_new"))
+    rows = rows.join(brought, "request_id", "left").withColumn("new_group", F.coalesce("_new", F.lit(False)))
+    return rows.select("request_id", "owner_user_id", "trace_id", F.hex("auth_tag").alias("auth_tag"), reused, "new_group", "codec", "key_id", "original_filename", "status", *digests)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from provena.functions import crypto, text
 from provena.operators import evidence, filters, listing, matching
@@ -458,6 +458,69 @@ def _registry_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"source_groups": groups, "v4_records": rows}
 
 
+@query(
+    "constraint_gate",
+    """WITH u AS (SELECT c_custkey AS user_id, c_custkey % 1000 AS name, c_nationkey FROM customer),
+       m AS (SELECT o_orderkey AS id, o_custkey % 400 AS owner, o_orderkey // 2 AS storage, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+       j AS (SELECT event_id AS id, user_id AS owner, event_type AS s, value FROM events),
+       c AS (SELECT l_suppkey AS owner, l_linenumber AS k, sum(l_quantity) - 1200 AS v FROM lineitem GROUP BY ALL)
+       SELECT 'users' AS "table", 'check' AS kind, 'known_role' AS rule, CAST(user_id AS VARCHAR) AS row_key FROM u WHERE c_nationkey = 7
+       UNION ALL SELECT 'users', 'unique', 'username', 'user' || name FROM u GROUP BY name HAVING count(*) > 1
+       UNION ALL SELECT 'media_objects', 'check', 'known_variant', 'm' || id FROM m WHERE p LIKE '4%'
+       UNION ALL SELECT 'media_objects', 'check', 'known_status', 'm' || id FROM m WHERE s = 'P'
+       UNION ALL SELECT 'media_objects', 'unique', 'storage_key', 'k' || storage FROM m GROUP BY storage HAVING count(*) > 1
+       UNION ALL SELECT 'media_objects', 'foreign', 'owner', 'm' || id FROM m WHERE owner NOT IN (SELECT user_id FROM u)
+       UNION ALL SELECT 'deep_forensics_jobs', 'check', 'progress', 'j' || id FROM j WHERE floor(value) NOT BETWEEN 0 AND 100
+       UNION ALL SELECT 'deep_forensics_jobs', 'check', 'known_status', 'j' || id FROM j WHERE s = 'view'
+       UNION ALL SELECT 'deep_forensics_jobs', 'foreign', 'owner', 'j' || id FROM j WHERE owner NOT IN (SELECT user_id FROM u)
+       UNION ALL SELECT 'deep_forensics_jobs', 'foreign', 'input_media', 'j' || id FROM j WHERE id NOT IN (SELECT id FROM m)
+       UNION ALL SELECT 'auth_sessions', 'check', 'token_hash_length', upper(md5('t' || id)) FROM j WHERE s = 'error'
+       UNION ALL SELECT 'auth_sessions', 'check', 'idle_before_absolute', upper(CASE s WHEN 'error' THEN md5('t' || id) ELSE sha256('t' || id) END) FROM j WHERE s = 'click'
+       UNION ALL SELECT 'auth_sessions', 'foreign', 'user', upper(CASE s WHEN 'error' THEN md5('t' || id) ELSE sha256('t' || id) END) FROM j WHERE owner NOT IN (SELECT user_id FROM u)
+       UNION ALL SELECT 'v4_counters', 'check', 'counter_value', 'c' || k FROM c WHERE v < 0
+       UNION ALL SELECT 'v4_counters', 'foreign', 'owner', 'c' || k FROM c WHERE owner NOT IN (SELECT user_id FROM u)
+       UNION ALL SELECT 'rate_limit_buckets', 'check', 'request_count', upper(sha256('b' || l_suppkey || ':' || l_linenumber)) FROM lineitem GROUP BY l_suppkey, l_linenumber HAVING sum(l_quantity) < 1200
+       UNION ALL SELECT 'source_group_embeddings', 'unique', 'group_view', 'g' || label || '|' || v FROM (SELECT label, vec_id % 20 AS v FROM embeddings) GROUP BY label, v HAVING count(*) > 1
+       UNION ALL SELECT 'source_group_features', 'check', 'known_kind', 'g' || p_partkey FROM part WHERE p_size = 9
+       UNION ALL SELECT 'source_group_features', 'check', 'sha256_length', 'g' || p_partkey FROM part WHERE p_size = 10
+       UNION ALL SELECT 'audit_events', 'unique', 'primary', 'a' || id // 3 FROM j GROUP BY id // 3 HAVING count(*) > 1
+       UNION ALL SELECT 'keypoints', 'check', 'keypoint_index', conv_id::VARCHAR FROM conversations WHERE turn - 1 < 0
+       UNION ALL SELECT 'keypoints', 'unique', 'primary', conv_id || '|' || (turn - 1) FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1""",
+)
+def constraint_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The other nine registry tables, filled from the driver tables so that some rows break their rules."""
+    text = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    users = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("int").alias("user_id"), F.concat(F.lit("user"), (F.col("c_custkey") % 1000).cast("string")).alias("username"), F.when(F.col("c_nationkey") == 7, F.lit("guest")).otherwise(F.lit("user")).alias("role_key")
+    )
+    media = table(spark, folder, "orders").select(
+        text("m", "o_orderkey").alias("media_id"), (F.col("o_custkey") % 400).cast("int").alias("owner_user_id"), F.when(F.col("o_orderpriority").startswith("4"), F.lit("preview")).otherwise(F.lit("original")).alias("variant"),
+        F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("storage_key"), F.lit(1).alias("byte_size"), F.unhex(F.sha2(F.lit("x"), 256)).alias("sha256"), F.when(F.col("o_orderstatus") == "P", F.lit("lost")).otherwise(F.lit("active")).alias("status"),
+    )
+    events = table(spark, folder, "events")
+    jobs = events.select(
+        text("j", "event_id").alias("job_id"), F.col("user_id").alias("owner_user_id"), F.lit(None).cast("int").alias("requested_owner_user_id"), text("m", "event_id").alias("input_media_id"),
+        F.floor("value").alias("progress"), F.when(F.col("event_type") == "view", F.lit("lost")).otherwise(F.lit("queued")).alias("status"),
+    )
+    token = F.encode(text("t", "event_id"), "UTF-8")
+    late = F.timestamp_seconds(F.when(F.col("event_type") == "click", F.lit(9)).otherwise(F.lit(1)))
+    logins = events.select(
+        F.unhex(F.when(F.col("event_type") == "error", F.md5(token)).otherwise(F.sha2(token, 256))).alias("token_hash"), "user_id", late.alias("idle_expires_at"), F.timestamp_seconds(F.lit(5)).alias("absolute_expires_at")
+    )
+    sums = table(spark, folder, "lineitem").groupBy("l_suppkey", "l_linenumber").agg((F.sum("l_quantity") - 1200).alias("v"))
+    counters = sums.select(F.col("l_suppkey").cast("int").alias("owner_user_id"), text("c", "l_linenumber").alias("counter_key"), F.col("v").alias("counter_value"))
+    buckets = sums.select(F.unhex(F.sha2(F.concat(F.lit("b"), F.concat_ws(":", "l_suppkey", "l_linenumber")), 256)).alias("bucket_key"), F.col("v").alias("request_count"))
+    views = table(spark, folder, "embeddings").select(text("g", "label").alias("source_group_id"), (F.col("vec_id") % 20).alias("view_index"), F.lit(1).alias("owner_user_id"))
+    features = table(spark, folder, "part").select(
+        text("g", "p_partkey").alias("source_group_id"), F.when(F.col("p_size") == 9, F.lit("sift")).otherwise(F.lit("orb")).alias("feature_kind"), F.when(F.col("p_size") == 10, F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(F.lit("f"), 256))).alias("feature_sha256")
+    )
+    audit = events.select(F.concat(F.lit("a"), F.floor(F.col("event_id") / 3).cast("string")).alias("event_id"))
+    points = table(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("owner_id"), (F.col("turn") - 1).alias("kp_idx"))
+    return matching.constraint_violations(
+        {"users": users, "media_objects": media, "deep_forensics_jobs": jobs, "auth_sessions": logins, "v4_counters": counters, "rate_limit_buckets": buckets, "source_group_embeddings": views, "source_group_features": features, "audit_events": audit, "keypoints": points}
+    )
+
+
 @query(
     "constraint_violations",
     """WITH d AS (SELECT *, doc_id % 7 AS owner, doc_id - doc_id % 2 AS g, source || '-' || n_chars % 100 AS trace, substr(upper(md5(text)), 1, CASE lang WHEN 'es' THEN 14 ELSE 16 END) AS tag FROM documents)
@@ -478,13 +541,13 @@ _BOX_SQL = """boxes AS (SELECT l_orderkey AS image_id, 1920 AS image_width, 1080
    l_partkey % 1800 + CAST(l_quantity * 8 AS BIGINT) AS "right", l_suppkey * 9 + CAST(l_quantity * 6 AS BIGINT) AS bottom FROM lineitem)"""
 
 
-def boxes(spark: SparkSession, folder: str) -> DataFrame:
+def boxes(spark: SparkSession, folder: str, box_id: Column | None = None) -> DataFrame:
     left, top = F.col("l_partkey") % 1800, F.col("l_suppkey") * 9
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("image_id"), F.lit(1920).alias("image_width"), F.lit(1080).alias("image_height"), left.alias("left"), top.alias("top"),
         (left + (F.col("l_quantity") * 8).cast("bigint")).alias("right"), (top + (F.col("l_quantity") * 6).cast("bigint")).alias("bottom"),
         F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("confidence"),
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("box_id"),
+        (F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice") if box_id is None else box_id).alias("box_id"),
     )
 
 
