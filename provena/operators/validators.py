@@ -221,8 +221,24 @@ def route_manifest_errors(
 ) -> DataFrame:
     """(manifest_id, index, rule, message) for platform route manifests."""
     doc = Item(pinned_fields=ROUTE_FIELDS)
+    status, attempt = doc.text("status"), doc.integer("attempt")
+    name = lambda p: F.element_at(F.split(p, "/"), -1)
+    suffix = lambda p: F.regexp_extract(name(p), r"^.+(\.[^.]+)$", 1)
+    source, output = doc.text("source_relative_path"), doc.text("output_relative_path")
+    good_route = F.coalesce(doc.text("route").isin(*ROUTES), F.lit(False))
+    good_attempt = F.coalesce(attempt > 0, F.lit(False))
+    stem = F.concat(doc.text("source_id"), F.lit("--"), doc.text("route"), F.lit("--attempt-"), F.when(attempt < 1000, F.lpad(attempt.cast("string"), 3, "0")).otherwise(attempt.cast("string")))
+    # What several rules ask is worked out once an item.
+    facts = {
+        "safe_source": text.is_safe_path(source, source_prefix), "safe_output": text.is_safe_path(output, received_prefix),
+        "image_source": text.has_image_extension(source), "image_output": text.has_image_extension(output),
+        "name_source": name(source), "name_output": name(output), "suffix_source": suffix(source), "suffix_output": suffix(output),
+        "good_route": good_route, "good_attempt": good_attempt, "keyed": doc.filled("source_id") & good_route & good_attempt, "stem": stem,
+        "normal_output": text.normalized_path(output), "sent": text.rfc3339_time(doc.text("sent_at")), "received": text.rfc3339_time(doc.text("received_at")),
+    }
     # Parsed once and written: the duplicate and coverage rules read the items again.
-    items = cut_lineage(doc.pin(explode_items(manifests, "routes")))
+    items = cut_lineage(pinned(doc.pin(explode_items(manifests, "routes")).drop("item"), **{f"fact_{k}": v for k, v in facts.items()}))
+    fact = lambda k: F.col(f"fact_{k}")
     present = items.select("manifest_id", doc.text("route").alias("route")).distinct()
     wanted = manifests.select("manifest_id", F.explode(F.array(*map(F.lit, ROUTES))).alias("route"))
     absent = wanted.join(present, ["manifest_id", "route"], "left_anti").select(
@@ -230,20 +246,11 @@ def route_manifest_errors(
     )
     head = header_errors(manifests, "routes").unionByName(absent)
 
-    source, output, status = doc.text("source_relative_path"), doc.text("output_relative_path"), doc.text("status")
-    safe_source, safe_output = text.is_safe_path(source, source_prefix), text.is_safe_path(output, received_prefix)
-    attempt = doc.integer("attempt")
-    good_route = F.coalesce(doc.text("route").isin(*ROUTES), F.lit(False))
-    good_attempt = F.coalesce(attempt > 0, F.lit(False))
-    keyed = doc.filled("source_id") & good_route & good_attempt
+    safe_source, safe_output, good_route, good_attempt, keyed, stem, sent, received = map(fact, ("safe_source", "safe_output", "good_route", "good_attempt", "keyed", "stem", "sent", "received"))
     attempt_key = F.when(keyed, F.concat_ws("\u0001", doc.text("source_id"), doc.text("route"), attempt.cast("string")))
-    marked = _repeats(items, {"dup_attempt": attempt_key, "dup_path": F.when(safe_output, text.normalized_path(output))})
+    marked = _repeats(items, {"dup_attempt": attempt_key, "dup_path": F.when(safe_output, fact("normal_output"))})
     marked = _with_files(_with_files(marked, source, files, "s_"), output, files, "o_")
     pending, collected = status == "pending_collection", status == "collected"
-    name = lambda p: F.element_at(F.split(p, "/"), -1)
-    suffix = lambda p: F.regexp_extract(name(p), r"^.+(\.[^.]+)$", 1)
-    stem = F.concat(doc.text("source_id"), F.lit("--"), doc.text("route"), F.lit("--attempt-"), F.when(attempt < 1000, F.lpad(attempt.cast("string"), 3, "0")).otherwise(attempt.cast("string")))
-    sent, received = (text.rfc3339_time(doc.text(c)) for c in ("sent_at", "received_at"))
 
     rules = [(~doc.has(f), f"{f} is required") for f in ROUTE_FIELDS]
     rules += [
@@ -270,12 +277,12 @@ def route_manifest_errors(
         (collected & doc.filled("reviewer") & (doc.text("reviewer") == doc.text("operator")), "reviewer must differ from operator for collected route"),
         (collected & ~F.coalesce(doc.text("rejection_reason") == "", F.lit(False)), "rejection_reason must be empty for collected route"),
         (~safe_source, f"source_relative_path must be a safe POSIX path under {source_prefix}"),
-        (safe_source & ~text.has_image_extension(source), "source_relative_path must use a supported image extension"),
-        (safe_source & doc.filled("source_id") & (name(source) != F.concat(doc.text("source_id"), suffix(source))),
+        (safe_source & ~fact("image_source"), "source_relative_path must use a supported image extension"),
+        (safe_source & doc.filled("source_id") & (fact("name_source") != F.concat(doc.text("source_id"), fact("suffix_source"))),
          F.concat(F.lit("source_relative_path basename must equal '"), doc.text("source_id"), F.lit(".<image-ext>'"))),
         (~safe_output, f"output_relative_path must be a safe POSIX path under {received_prefix}"),
-        (safe_output & ~text.has_image_extension(output), "output_relative_path must use a supported image extension"),
-        (safe_output & keyed & (name(output) != F.concat(stem, suffix(output))),
+        (safe_output & ~fact("image_output"), "output_relative_path must use a supported image extension"),
+        (safe_output & keyed & (fact("name_output") != F.concat(stem, fact("suffix_output"))),
          F.concat(F.lit("output_relative_path basename must equal '"), stem, F.lit(".<image-ext>'"))),
         (F.col("dup_path"), F.concat(F.lit("output_relative_path duplicates normalized path '"), output, F.lit("'"))),
     ]
@@ -290,10 +297,10 @@ def route_manifest_errors(
     ]
     if files is not None:
         for path, safe, field, digest, prefix, artifact in (
-            (source, safe_source, "source_relative_path", "source_sha256", "s_", "source "),
-            (output, safe_output, "output_relative_path", "received_sha256", "o_", "output "),
+            (source, safe_source & fact("image_source"), "source_relative_path", "source_sha256", "s_", "source "),
+            (output, safe_output & fact("image_output"), "output_relative_path", "received_sha256", "o_", "output "),
         ):
-            rules += _file_rules(collected & safe & text.has_image_extension(path), field, digest, doc.text(digest), text.extension(path), prefix, "route", artifact)
+            rules += _file_rules(collected & safe, field, digest, doc.text(digest), text.extension(path), prefix, "route", artifact)
     body = _rows(marked, ["manifest_id", "index"], _of_objects(rules))
     return head.select("manifest_id", F.lit(-1).alias("index"), "rule", "message").unionByName(body)
 

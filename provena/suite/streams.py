@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from provena import schemas
 from provena.session import ensure_checkpoint_dir
 from provena.sources import sinks
-from provena.sources.registry import scan_events_stream
+from provena.sources.registry import scan_events_stream, scan_registry
 from provena.streaming import monitors
 from provena.suite.base import query, records, table
 
@@ -169,6 +170,45 @@ def exact_match_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _digest(text: Column, f: Callable[[Column], Column]) -> Column:
+    return F.unhex(f(F.encode(text, "UTF-8")))
+
+
+def _sha(data: Column) -> Column:
+    return F.sha2(data, 256)
+
+
+def _stored_records(docs: DataFrame) -> DataFrame:
+    """Documents as rows of the record table, with their doc_id beside."""
+    held = {
+        "record_id": F.col("doc_id").cast("string"), "owner_user_id": F.col("doc_id") % 7, "trace_id": F.concat(F.lit("trace-"), F.col("doc_id").cast("string")),
+        "status": F.when(F.col("lang").isin("de", "fr"), F.lit("deleted")).otherwise(F.lit("active")),
+        "original_file_md5": _digest(F.col("text"), F.md5), "original_file_sha256": _digest(F.col("text"), _sha),
+        "watermarked_file_md5": _digest(F.lower("text"), F.md5), "watermarked_file_sha256": _digest(F.lower("text"), _sha),
+    }
+    fields = schemas.table_schema("v4_records").fields
+    return docs.select("doc_id", *[held.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+@query(
+    "scan_committed",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, CAST(doc_id % 7 AS INTEGER) AS owner_user_id, 'trace-' || doc_id AS trace_id, CASE WHEN lang IN ('de', 'fr') THEN 'deleted' ELSE 'active' END AS status,
+              md5(text) AS original_file_md5 FROM documents WHERE text IS NOT NULL""",
+)
+def scan_committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry's typed reader over four committed batches, the first two of them compacted, and one that is not."""
+    root = f"{work_folder(spark, 'committed')}/registry"
+    stored = _stored_records(table(spark, folder, "documents").where(F.col("text").isNotNull()))
+    for part in range(4):
+        rows = {"v4_records": stored.where(F.pmod("doc_id", F.lit(4)) == part).drop("doc_id")}
+        sinks.append_generation_batch(root, f"batch-{part}", rows)
+        if part == 1:
+            sinks.compact(spark, root)
+    sinks.stage_batch(root, "staged", {"v4_records": stored.drop("doc_id")})
+    rows = scan_registry(spark, root, ("v4_records",))["v4_records"]
+    return rows.select("record_id", "owner_user_id", "trace_id", "status", F.lower(F.hex("original_file_md5")).alias("original_file_md5"))
+
+
 @query(
     "exact_match_refreshed",
     """WITH d AS (SELECT doc_id, doc_id * 3 % 7 AS user_id, lang = 'es' AS cross_owner, md5(text) AS h, doc_id % 3 = 0 AS early FROM documents WHERE text IS NOT NULL),
@@ -182,19 +222,10 @@ def exact_match_refreshed(spark: SparkSession, folder: str) -> DataFrame:
     """Suspects of two arrivals against a registry that a second batch joins in between; the index is kept and extended."""
     out = work_folder(spark, "refreshed")
     docs = table(spark, folder, "documents").where(F.col("text").isNotNull())
-    digest = lambda text, f: F.unhex(f(F.encode(text, "UTF-8")))
-    sha = lambda c: F.sha2(c, 256)
-    held = {
-        "record_id": F.col("doc_id").cast("string"), "owner_user_id": F.col("doc_id") % 7, "trace_id": F.concat(F.lit("trace-"), F.col("doc_id").cast("string")),
-        "status": F.when(F.col("lang").isin("de", "fr"), F.lit("deleted")).otherwise(F.lit("active")),
-        "original_file_md5": digest(F.col("text"), F.md5), "original_file_sha256": digest(F.col("text"), sha),
-        "watermarked_file_md5": digest(F.lower("text"), F.md5), "watermarked_file_sha256": digest(F.lower("text"), sha),
-    }
-    fields = schemas.table_schema("v4_records").fields
-    stored = docs.select("doc_id", *[held.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    stored = _stored_records(docs)
     asked = docs.select(
         F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") % 60).alias("ts"), F.col("doc_id").alias("query_id"), (F.col("doc_id") * 3 % 7).alias("user_id"), (F.col("lang") == "es").alias("cross_owner"),
-        digest(F.col("text"), F.md5).alias("md5"), digest(F.col("text"), sha).alias("sha256"),
+        _digest(F.col("text"), F.md5).alias("md5"), _digest(F.col("text"), _sha).alias("sha256"),
     )
     early = F.col("query_id") % 3 == 0
     for batch, arriving in ((0, early), (1, ~early)):
