@@ -6,8 +6,9 @@ so only a single longer text makes it larger than its bound.
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -326,7 +327,7 @@ def batch_of(schema: pa.Schema | list[str], arrays: list) -> pa.RecordBatch:
 LETTERS = byte_table(words=bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_label: tuple[int, int], chars: int, extra: tuple[str, ...] = ()) -> pa.Table:
+def training_frame(documents: DataFrame, labels: DataFrame, label: str, per_label: tuple[int, int], chars: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """A bounded sample of labelled texts for a model: at most ``per_label`` rows of label 0 and of 1, the first
     by the hash of their id, of which texts up to ``chars`` characters are used. Learning alone is bounded; scores
     see every text whole."""
@@ -336,8 +337,27 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_label
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label[value])
         picked = own if picked is None else picked.union(own)
     texts = documents.select("doc_id", "text", *extra).where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", *extra, F.col("_label").alias("label"))
-    return rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", *extra, F.col("_label").alias("label"))
+
+
+_TRAINING_ORDER = [("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")]
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_label: tuple[int, int], chars: int, extra: tuple[str, ...] = ()) -> pa.Table:
+    """The rows of ``training_frame`` on the driver, in an order of their own."""
+    return training_frame(documents, labels, label, per_label, chars, extra).toArrow().sort_by(_TRAINING_ORDER)
+
+
+def learned(sample: DataFrame, learn: Callable[[pa.Table], object]) -> object:
+    """What ``learn`` makes of a bounded sample, worked out in one task, so that the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield batch_of(["model"], [pa.array([pickle.dumps(learn(pa.Table.from_batches(held).sort_by(_TRAINING_ORDER)))], pa.binary())])
+
+    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(rows[0]["model"])) if rows else None
 
 
 def word_grams(words: Words, rows: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:

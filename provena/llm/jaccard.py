@@ -240,6 +240,7 @@ def similar_sets(documents: DataFrame, shingle: int = SHINGLE, percent: int = PE
     lists = [f"prefix{j}" for j in range(orders)]
     fields = "doc_id bigint, n_shingles bigint, class binary, " + ", ".join(f"{p} array<bigint>" for p in lists)
     profiles = common.written(texts.mapInArrow(lambda b: _profiles(b, shingle, percent, orders, counts.value), fields))
+    counts.destroy()  # the profiles are written
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = common.written(profiles.where(linked).groupBy(F.col("class").alias("key")).agg(F.min("doc_id").alias("head")))
     # Merge joins: what grows with the corpus is shuffled alike at every size.

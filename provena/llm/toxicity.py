@@ -237,6 +237,10 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
     return net
 
 
+def _learn(rows: pa.Table) -> Network | None:
+    return train(rows["text"].to_pylist(), rows["label"].to_numpy())
+
+
 def _scored(batches: Iterator[pa.RecordBatch], net: Network | None, base: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.chunks(batch, "text"):
@@ -257,8 +261,8 @@ def score(documents: DataFrame, labelled: DataFrame, per_label: tuple[int, int]
     scoring reads all windows of every text. Null, empty and wordless texts score next to 0. If a label is missing
     altogether, every text scores 0. Each row gives a row, repeated ones too; other columns are ignored.
     """
-    rows = common.training_rows(documents, labelled, "toxic", per_label, train_chars)
-    shared = documents.sparkSession.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["label"].to_numpy()))
+    sample = common.training_frame(documents, labelled, "toxic", per_label, train_chars)
+    shared = documents.sparkSession.sparkContext.broadcast(common.learned(sample, _learn))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _scored(b, shared.value, 0.0), f"doc_id {kind}, score double, n_windows bigint")
 
@@ -274,8 +278,8 @@ def _clean(batches: Iterator[pa.RecordBatch], net: Network | None, text: str, th
 
 def reject(documents: DataFrame, labelled: DataFrame, threshold: float = 0.7, per_label: tuple[int, int] = PER_LABEL, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """The rows of ``documents`` that score below ``threshold``, with all their columns; else as ``score``."""
-    rows = common.training_rows(documents, labelled, "toxic", per_label, train_chars)
-    shared = documents.sparkSession.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["label"].to_numpy()))
+    sample = common.training_frame(documents, labelled, "toxic", per_label, train_chars)
+    shared = documents.sparkSession.sparkContext.broadcast(common.learned(sample, _learn))
     # Columns travel under plain numbers, whatever their names.
     numbered = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
     text = f"c{documents.columns.index('text')}"
